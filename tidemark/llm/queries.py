@@ -5,16 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid, ordinal
+from .bpe import round_trip
 from .exact import exact_groups
 from .jaccard import JaccardJoin
 from .lines import line_dedup
+from .packing import pack
 from .simhash import compare_edited
+from .warc import archive_round_trip
+from .wordpiece import token_counts
+
+
+def vocabulary_file(name: str) -> str:
+    """Path of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(spark, docs.where(~langid.held_out()).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label")))
+    return langid.predict(spark, model, docs).withColumn("held_out", langid.held_out())
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JaccardJoin(spark).components(table(spark, sf_dir, "documents"))
 
@@ -23,17 +41,51 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(spark, table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ordinal.fit(spark, docs, table(spark, sf_dir, "labels"))
+    return ordinal.predict(spark, model, docs)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     groups = exact_groups(spark, docs, keep="max")
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op3_simhash, op6_line_dedup, op8_exact_dedup)}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"))
+
+
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"))
+
+
+_OPERATORS = (
+    op1_language_id,
+    op2_ngram_jaccard,
+    op3_simhash,
+    op4_warc_zstd,
+    op5_token_counts,
+    op6_line_dedup,
+    op7_quality_ordinal,
+    op8_exact_dedup,
+    op9_packing,
+    op10_bpe_round_trip,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 
 SQL = {
     "op2_ngram_jaccard": r"""
@@ -52,6 +104,18 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
 JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c ON c.doc_id = d.doc_id
+""",
+    "op4_warc_zstd": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages
+), h AS (
+  SELECT *, sha1(html) AS hex, encode(html) AS raw FROM p
+)
+SELECT page_id, octet_length(raw) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS INTEGER), 5))::BIGINT >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1), 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM h
 """,
     "op6_line_dedup": r"""
 WITH l AS (
