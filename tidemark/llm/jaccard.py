@@ -30,6 +30,11 @@ HEAVY_DF = 32
 HEAVY_ROWS = 1 << 20
 #: A table of document ids is broadcast up to this many rows (8 bytes each); beyond that Spark shuffles.
 BROADCAST_ROWS = 1 << 20
+#: Buckets of more rows than this get up to STAR_ROUNDS more rounds with a new pivot, before their members are paired.
+LARGE_BUCKET = 64
+STAR_ROUNDS = 1
+#: Bins of a set's sketch: counts of its shingles by hash, one byte each. Minima of two sketches bound the overlap from above.
+SKETCH_BINS = 256
 #: Fragments of the ordinary shingles; the heavy ones are one more.
 FRAGMENT_BITS = 2
 #: A profiling task counts recurring shingles over about this many at a time.
@@ -40,29 +45,54 @@ def _class_key(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _sketch(hashes: np.ndarray) -> bytes:
+    """Counts by the upper bits of the hash; empty (no bound) for a set too large for one byte a bin."""
+    counts = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=SKETCH_BINS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def _bounded(percent: int):
+    """Of pairs (a, b, na, nb, sa, sb) those whose sketches allow enough overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                if x and y:
+                    most = int(np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum(dtype=np.int64))
+                    keep[i] = most * (100 + percent) >= percent * (na[i] + nb[i])
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "na", "nb"]).filter(pa.array(keep))
+
+    return run
+
+
 def _recurring(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     tokens, counts = np.unique(np.concatenate(parts), return_counts=True)
     return tokens[counts > 1], counts[counts > 1]
 
 
 def _profile(k: int):
+    names = ["kind", "doc_id", "n", "key", "sketch"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, seen = [], 0, set()
 
         def heavy():
             tokens, counts = _recurring(parts) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             n = len(tokens)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(counts), pa.array(tokens.view(np.int64))], names=["kind", "doc_id", "n", "key"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(counts), pa.array(tokens.view(np.int64)), pa.nulls(n, pa.binary())], names=names)
 
         for batch in batches:
-            sizes, keys = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            sizes, keys, sketches = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [b""] * batch.num_rows
             for row, hashes in shingle_sets(batch.column(1), k):
+                sketches[row] = _sketch(hashes)
                 sizes[row], keys[row] = len(hashes), _class_key(hashes)
                 if keys[row] not in seen:
                     seen.add(int(keys[row]))
                     parts.append(hashes)
                     held += len(hashes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column(0), pa.array(sizes), pa.array(keys)], names=["kind", "doc_id", "n", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column(0), pa.array(sizes), pa.array(keys), pa.array(sketches, pa.binary())], names=names)
             if held > PROFILE_SHINGLES:
                 yield heavy()
                 parts, held, seen = [], 0, set()
@@ -169,19 +199,30 @@ class JaccardJoin:
         ws, spark = self.ws, self.spark
         # the words are wanted as they are; only the two columns are read, so others can't clash
         docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        profile = ws.save(docs.mapInArrow(_profile(self.k), "kind int, doc_id long, n long, key long"), "profile")
+        profile = ws.save(docs.mapInArrow(_profile(self.k), "kind int, doc_id long, n long, key long, sketch binary"), "profile")
         members = profile.where("kind = 0").select("doc_id", "n", "key")
         heavy = self._heavy(profile.where("kind = 1"))
-        classes = ws.save(members.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+        classes = ws.save(profile.where("kind = 0 AND n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
         buckets = self._buckets(docs, heavy)
 
         first = ws.save(buckets.where((F.col("key") != F.col("pivot")) & _possible("meta", "pivot_meta", self.percent)).select(*_ordered("key", "meta", "pivot", "pivot_meta")).distinct(), "pairs")
         links = self._verified(docs, classes, first, heavy)
         comps = ws.save(connected_components(ws, links), "comps")
-        second = self._across(buckets, comps, first)
-        more = self._verified(docs, classes, second, heavy)
-        if not more.isEmpty():
-            comps = ws.save(connected_components(ws, links.select("a", "b").union(more.select("a", "b"))), "comps")
+        compared = first
+        for turn in range(STAR_ROUNDS + 1):
+            placed = self._open(buckets, comps)
+            large = placed.groupBy("token").count().where(F.col("count") > LARGE_BUCKET).select("token")
+            star = turn < STAR_ROUNDS and not large.isEmpty()
+            pairs = self._star(placed, large, turn) if star else self._across(placed)
+            pairs = ws.save(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+            ws.drop(placed)
+            more = self._verified(docs, classes, pairs, heavy)
+            if not more.isEmpty():
+                links = links.union(more)
+                comps = ws.save(connected_components(ws, links), "comps")
+            if not star:
+                break
+            compared = compared.union(pairs)
         # the smallest id of each component, then of each class
         named = classes.join(comps.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "rep", F.coalesce("comp", "key").alias("comp"), F.col("comp").isNull().alias("alone"))
         lowest = named.where("NOT alone").groupBy("comp").agg(F.min("rep").alias("lowest"))
@@ -206,32 +247,49 @@ class JaccardJoin:
         hot = many.join(pivots, "token").select("token", "key", "meta", F.col("p.key").alias("pivot"), F.col("p.meta").alias("pivot_meta"))
         return self.ws.save(light.select("token", "e.key", "e.meta", F.col("p.key").alias("pivot"), F.col("p.meta").alias("pivot_meta")).union(hot), "buckets")
 
-    def _across(self, buckets: DataFrame, comps: DataFrame, done: DataFrame) -> DataFrame:
-        """Pairs of one bucket that are in different components and not yet compared."""
-        own = buckets.select("token", "key", "meta").distinct().join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        own = self.ws.save(own, "placed")
+    def _open(self, buckets: DataFrame, comps: DataFrame) -> DataFrame:
+        """(token, key, meta, comp) of the buckets whose members are in more than one component."""
+        own = self.ws.save(buckets.select("token", "key", "meta").distinct().join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key")), "placed")
         split = own.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
         left = self.ws.save(own.join(split, "token"), "open")
         self.ws.drop(own)
+        return left
+
+    def _star(self, placed: DataFrame, large: DataFrame, turn: int) -> DataFrame:
+        """Pairs of each large bucket: a member of its most frequent component with every row outside that component."""
+        rows = self.ws.save(placed.join(large, "token"), "large")
+        draw = F.xxhash64("key", "token", F.lit(turn))
+        each = rows.groupBy("token", "comp").agg(F.count("*").alias("c"), F.min(F.struct(draw.alias("draw"), "key", "meta")).alias("p"))
+        top = each.groupBy("token").agg(F.max(F.struct("c", "comp", "p")).alias("t")).select("token", F.col("t.comp").alias("top"), F.col("t.p.key").alias("pivot"), F.col("t.p.meta").alias("pivot_meta"))
+        pairs = rows.join(top, "token").where((F.col("comp") != F.col("top")) & _possible("meta", "pivot_meta", self.percent))
+        return pairs.select(*_ordered("key", "meta", "pivot", "pivot_meta")).distinct()
+
+    def _across(self, left: DataFrame) -> DataFrame:
+        """Pairs of one bucket that are in different components."""
         other = left.select("token", F.col("key").alias("key2"), F.col("meta").alias("meta2"), F.col("comp").alias("comp2"))
         pairs = left.join(other, "token").where((F.col("key") < F.col("key2")) & (F.col("comp") != F.col("comp2")) & _possible("meta", "meta2", self.percent))
-        pairs = pairs.select(F.col("key").alias("a"), F.col("key2").alias("b"), _size("meta").alias("na"), _size("meta2").alias("nb")).distinct()
-        return self.ws.save(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        return pairs.select(F.col("key").alias("a"), F.col("key2").alias("b"), _size("meta").alias("na"), _size("meta2").alias("nb")).distinct()
 
     def _verified(self, docs: DataFrame, classes: DataFrame, pairs: DataFrame, heavy) -> DataFrame:
         """Of the pairs (a, b, na, nb) those that link: overlaps by fragment, summed."""
         ws = self.ws
+        sketch = lambda side: classes.select(F.col("key").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
+        sketched = pairs.join(sketch("a"), ["a", "na"]).join(sketch("b"), ["b", "nb"]).select("a", "b", "na", "nb", "sa", "sb")
+        pairs = ws.save(sketched.mapInArrow(_bounded(self.percent), "a long, b long, na long, nb long"), "bounded")
         wanted = pairs.selectExpr("inline(array(struct(a AS key, na AS n), struct(b AS key, nb AS n)))").distinct()
         ids = ws.save(wanted.join(classes, ["key", "n"]).select(F.coalesce("rep", F.lit(-(1 << 63))).alias("id")), "wanted")
         n = ids.count()
         if not n:
             return ws.save(pairs.select("a", "b").limit(0), "links")
         rows = docs.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "id", "left_semi").select("id", "text")
-        sets = ws.save(rows.mapInArrow(_fragments(self.k, heavy), "key long, fragment int, tokens array<long>").dropDuplicates(["key", "fragment"]), "sets")
+        sets = ws.save(rows.mapInArrow(_fragments(self.k, heavy), "key long, fragment int, tokens array<long>"), "sets")
         one = pairs.join(sets.select(F.col("key").alias("a"), "fragment", F.col("tokens").alias("ta")), "a")
         both = one.join(sets.select(F.col("key").alias("b"), "fragment", F.col("tokens").alias("tb")), ["b", "fragment"])
-        partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("part"))
-        summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
+        partial = both.select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ta", "tb")).cast("long").alias("part"))
+        # each fragment's count once, even if rows (and so sets) are repeated
+        counts = [F.max(F.when(F.col("fragment") == f, F.col("part"))).alias(f"f{f}") for f in range((1 << FRAGMENT_BITS) + 1)]
+        summed = partial.groupBy("a", "b", "na", "nb").agg(*counts)
+        summed = summed.withColumn("overlap", sum((F.coalesce(f"f{f}", F.lit(0)) for f in range((1 << FRAGMENT_BITS) + 1)), F.lit(0)))
         p = self.percent
         links = ws.save(summed.where(F.expr(f"overlap * 100 >= {p} * (na + nb - overlap)")).select("a", "b"), "links")
         ws.drop(sets)
