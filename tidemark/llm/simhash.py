@@ -91,6 +91,7 @@ def following(ws: Workspace, rows: DataFrame, partitions: int) -> DataFrame:
 
 def edited(docs: DataFrame, order: DataFrame) -> DataFrame:
     """(key, text) of each document with the last floor(n / 3) characters replaced by the first as many of the next one."""
+    order = order.hint("merge")  # it grows with the documents, so it is never broadcast
     own = docs.join(order, "key").select("key", F.expr("substring(text, 1, cast(n - n div 3 as int))").alias("head"))
     after = docs.withColumnRenamed("key", "next_key").join(order, "next_key").select("key", F.expr("substring(text, 1, cast(n div 3 as int))").alias("tail"))
     return own.join(after, "key").select("key", F.concat("head", "tail").alias("text"))
