@@ -6,8 +6,9 @@ enough, so these prefixes form the buckets in which candidate pairs are sought.
 each candidate pair the overlap of each fragment is counted on its own and the counts are summed.
 
 Documents of equal sets form one class and are never paired. In a bucket all members are first compared with one pivot;
-only members that are then still in different components are compared with each other. So large groups of near copies
-cost about one comparison a member, and no link between components is lost.
+then each class with the partners it shares most buckets with; at last all members that are still in different components
+are compared with each other. So large groups of near copies cost a few comparisons a member, and no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -30,9 +31,12 @@ HEAVY_DF = 32
 HEAVY_ROWS = 1 << 20
 #: A table of document ids is broadcast up to this many rows (8 bytes each); beyond that Spark shuffles.
 BROADCAST_ROWS = 1 << 20
-#: Buckets of more rows than this get up to STAR_ROUNDS more rounds with a new pivot, before their members are paired.
+#: Buckets of more rows than this get STAR_ROUNDS more rounds with a new pivot, before their members are paired.
 LARGE_BUCKET = 64
 STAR_ROUNDS = 1
+#: Before all remaining pairs, so many closest partners of each class are compared, in so many rounds.
+PARTNERS = 8
+CLOSEST_ROUNDS = 2
 #: Bins of a set's sketch: counts of its shingles by hash, one byte each. Minima of two sketches bound the overlap from above.
 SKETCH_BINS = 256
 #: Fragments of the ordinary shingles; the heavy ones are one more.
@@ -209,19 +213,21 @@ class JaccardJoin:
         links = self._verified(docs, classes, first, heavy)
         comps = ws.save(connected_components(ws, links), "comps")
         compared = first
-        for turn in range(STAR_ROUNDS + 1):
+        for turn in range(STAR_ROUNDS + CLOSEST_ROUNDS + 1):
             placed = self._open(buckets, comps)
-            large = placed.groupBy("token").count().where(F.col("count") > LARGE_BUCKET).select("token")
-            star = turn < STAR_ROUNDS and not large.isEmpty()
-            pairs = self._star(placed, large, turn) if star else self._across(placed)
-            pairs = ws.save(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+            if turn < STAR_ROUNDS:
+                large = placed.groupBy("token").count().where(F.col("count") > LARGE_BUCKET).select("token")
+                pairs = self._star(placed, large, turn)
+            elif turn < STAR_ROUNDS + CLOSEST_ROUNDS:
+                pairs = self._closest(self._across(placed).join(compared.select("a", "b"), ["a", "b"], "left_anti"))
+            else:
+                pairs = self._across(placed)
+            pairs = ws.save(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"), "pairs")
             ws.drop(placed)
             more = self._verified(docs, classes, pairs, heavy)
             if not more.isEmpty():
                 links = links.union(more)
                 comps = ws.save(connected_components(ws, links), "comps")
-            if not star:
-                break
             compared = compared.union(pairs)
         # the smallest id of each component, then of each class
         named = classes.join(comps.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "rep", F.coalesce("comp", "key").alias("comp"), F.col("comp").isNull().alias("alone"))
@@ -264,11 +270,17 @@ class JaccardJoin:
         pairs = rows.join(top, "token").where((F.col("comp") != F.col("top")) & _possible("meta", "pivot_meta", self.percent))
         return pairs.select(*_ordered("key", "meta", "pivot", "pivot_meta")).distinct()
 
+    def _closest(self, pairs: DataFrame) -> DataFrame:
+        """Of all pairs those with the most shared prefix entries on either side: they link most often, and once they have, most
+        others are inside one component. The rest comes in the last round."""
+        best = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(F.desc("shared"), "a", "b"))
+        return pairs.withColumns({"ra": best("a"), "rb": best("b")}).where((F.col("ra") <= PARTNERS) | (F.col("rb") <= PARTNERS))
+
     def _across(self, left: DataFrame) -> DataFrame:
-        """Pairs of one bucket that are in different components."""
+        """Pairs of one bucket that are in different components, with the number of buckets that they share."""
         other = left.select("token", F.col("key").alias("key2"), F.col("meta").alias("meta2"), F.col("comp").alias("comp2"))
         pairs = left.join(other, "token").where((F.col("key") < F.col("key2")) & (F.col("comp") != F.col("comp2")) & _possible("meta", "meta2", self.percent))
-        return pairs.select(F.col("key").alias("a"), F.col("key2").alias("b"), _size("meta").alias("na"), _size("meta2").alias("nb")).distinct()
+        return pairs.select(F.col("key").alias("a"), F.col("key2").alias("b"), _size("meta").alias("na"), _size("meta2").alias("nb")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
 
     def _verified(self, docs: DataFrame, classes: DataFrame, pairs: DataFrame, heavy) -> DataFrame:
         """Of the pairs (a, b, na, nb) those that link: overlaps by fragment, summed."""
