@@ -52,3 +52,8 @@ def containment_join(outer: DataFrame, inner: DataFrame, key: list[str], box_out
 def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last row of each key of an append-only log."""
     return df.groupBy(*key).agg(F.max_by(F.struct(*[c for c in df.columns if c not in key]), F.struct(*order)).alias("__row")).select(*key, "__row.*")
+
+
+def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
+    """(key, n) of the keys that more than one row has; empty where keys are unique."""
+    return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")

@@ -114,3 +114,12 @@ def mutual_information(df: DataFrame, flag: str, cls: str) -> DataFrame:
     whole = lambda *by: F.sum("n").over(Window.partitionBy(*(by or (F.lit(0),))))
     s = n.withColumns({"nf": whole("f"), "nc": whole("c"), "all": whole()})
     return s.agg(F.sum(F.col("n") / F.col("all") * F.log2(F.col("n") * F.col("all") / (F.col("nf") * F.col("nc")))).alias("bits"))
+
+
+def temperature_grid(df: DataFrame, probability: str, positive: str, grid: list[float]) -> DataFrame:
+    """(temperature, nll) of two-class probabilities whose log odds are divided by each temperature; one pass over the rows."""
+    p = F.least(F.greatest(F.col(probability), F.lit(1e-12)), F.lit(1 - 1e-12))
+    wrong = F.when(F.col(positive), -1).otherwise(1) * F.log(p / (1 - p))
+    sums = df.select(wrong.alias("z")).agg(*[F.avg(F.log1p(F.exp(F.col("z") / t))).alias(f"t{i}") for i, t in enumerate(grid)])
+    pairs = F.array(*[F.struct(F.lit(float(t)).alias("temperature"), F.col(f"t{i}").alias("nll")) for i, t in enumerate(grid)])
+    return sums.select(F.inline(pairs))

@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import answers
 from ..functions import labels as L
 from ..functions.geometry import box, giou, iof, iou_closed
 from ..operators import detection, folds, joins, metrics, resample, sampling, timeline
 from ..operators import episodes as E
+from ..sources import jsonl
+from ..streaming import stateful
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
@@ -510,3 +513,65 @@ def cluster_bootstrap(spark, d):
     c = table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("top"), F.count("*").alias("bottom"))
     out = resample.bootstrap_ratio(c, "user_id", "top", "bottom", 200)
     return out.select(*[F.round(x, 6).alias(x) for x in out.columns])
+
+
+def event_stream(spark: SparkSession, d: str) -> DataFrame:
+    rows = stateful.parquet_stream(spark, f"{d}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows.select("event_id", "ts", F.unix_micros("ts").alias("us"), "user_id", "event_type")
+
+
+@query(f"WITH {EV}, n AS (SELECT us // {HOUR} * {HOUR} AS start_us, event_type, count(*) AS n FROM ev GROUP BY 1, 2) SELECT * FROM n WHERE start_us + {HOUR} <= (SELECT max(us) FROM ev) - {DAY}")
+def stream_windows(spark, d):
+    out = stateful.run_to_end(stateful.windowed_counts(event_stream(spark, d), "ts", ["event_type"], "1 hour", "1 day"))
+    return out.select(F.unix_micros("start").alias("start_us"), "event_type", "n")
+
+
+@query(f"WITH {RUNS}, w AS (SELECT user_id, run, event_id, event_type, us, us - min(us) OVER (PARTITION BY user_id, run) AS dwell FROM r WHERE event_type IN ('error', 'click')) SELECT user_id, event_id, event_type, dwell FROM w WHERE dwell >= {HOUR} QUALIFY row_number() OVER (PARTITION BY user_id, run ORDER BY us, event_id) = 1")
+def stream_alerts(spark, d):
+    return stateful.run_to_end(stateful.dwell_alerts(event_stream(spark, d), "user_id", "us", "event_id", "event_type", ["error", "click"], HOUR))
+
+
+@query()
+def stream_admission(spark, d):
+    """Rows admitted at a matched rate; a fold, so its test is by brute force."""
+    return stateful.run_to_end(stateful.admit_by_rate(event_stream(spark, d), "user_id", "us", "event_id", DAY))
+
+
+@query("SELECT key, count(*) AS n, count(DISTINCT value) AS n_values FROM (SELECT key, json_extract_string(props, '$.' || key) AS value FROM (SELECT props, unnest(json_keys(props)) AS key FROM events)) GROUP BY 1")
+def dict_source(spark, d):
+    each = jsonl.dict_entries(table(spark, d, "events"), F.col("props"))
+    return each.groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_values"))
+
+
+@query("""WITH a AS (SELECT NOT list_has_any(string_split(replace(string_split(text, '.')[1], ',', ''), ' '), ['No', 'not', 'no']) AS p, turn % 2 = 0 AS y FROM conversations
+), c AS (SELECT count(*) FILTER (p AND y) AS tp, count(*) FILTER (p AND NOT y) AS fp, count(*) FILTER (NOT p AND NOT y) AS tn, count(*) FILTER (NOT p AND y) AS fn FROM a)
+SELECT *, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round((tp + fp) / (tp + fp + tn + fn), 6) AS yes_ratio FROM c""")
+def yes_no_answers(spark, d):
+    p, y = F.col("p"), F.col("y")
+    a = table(spark, d, "conversations").select(answers.says_yes(F.col("text")).alias("p"), (F.col("turn") % 2 == 0).alias("y"))
+    c = a.agg(F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & ~y).alias("tn"), F.count_if(~p & y).alias("fn"))
+    share = lambda a, b: F.round(F.expr(f"try_divide({a}, {b})"), 6)
+    every = "tp + fp + tn + fn"
+    return c.select("tp", "fp", "tn", "fn", share("tp + tn", every).alias("accuracy"), share("tp", "tp + fp").alias("precision"), share("tp", "tp + fn").alias("recall"), share("tp + fp", every).alias("yes_ratio"))
+
+
+@query("WITH v AS (SELECT l_partkey, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (l_returnflag = 'N') AS DOUBLE) AS c FROM lineitem GROUP BY 1) SELECT l_partkey, round((c * least(1, (c - 1) / 3) + (n - c) * least(1, c / 3)) / n, 6) AS score FROM v")
+def soft_votes(spark, d):
+    v = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "N").alias("c"))
+    return v.select("l_partkey", F.round(answers.soft_vote(F.col("c"), F.col("n")), 6).alias("score"))
+
+
+@query("WITH s AS (SELECT p_type, 1 - levenshtein(lower(trim(p_name)), lower(trim(p_brand))) / greatest(length(trim(p_name)), length(trim(p_brand)), 1) AS s FROM part) SELECT p_type, round(avg(CASE WHEN s >= 0.2 THEN s ELSE 0 END), 6) AS similarity, count(*) AS n FROM s GROUP BY 1")
+def answer_similarity(spark, d):
+    s = answers.levenshtein_similarity(F.col("p_name"), F.col("p_brand"), 0.2)
+    return table(spark, d, "part").groupBy("p_type").agg(F.round(F.avg(s), 6).alias("similarity"), F.count("*").alias("n"))
+
+
+@query(f"WITH {_SCORED}, g AS (SELECT unnest(range(1, 41)) / 8.0 AS t), c AS (SELECT pos, least(greatest(score, 1e-12), 1 - 1e-12) AS p FROM s) SELECT t AS temperature, round(avg(ln(1 + exp((CASE WHEN pos THEN -1 ELSE 1 END) * ln(p / (1 - p)) / t))), 5) AS nll FROM c, g GROUP BY 1")
+def temperature_grid(spark, d):
+    return metrics.temperature_grid(_scored(spark, d), "score", "pos", [i / 8 for i in range(1, 41)]).withColumn("nll", F.round("nll", 5))
+
+
+@query("SELECT text, lang, count(*) AS n FROM documents GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_keys(spark, d):
+    return joins.duplicate_keys(table(spark, d, "documents"), ["text", "lang"])
