@@ -36,9 +36,11 @@ LARGE_BUCKET = 64
 STAR_ROUNDS = 1
 #: Before all remaining pairs, so many closest partners of each class are compared, in so many rounds.
 PARTNERS = 8
-CLOSEST_ROUNDS = 2
+CLOSEST_ROUNDS = 1
 #: Bins of a set's sketch: counts of its shingles by hash, one byte each. Minima of two sketches bound the overlap from above.
 SKETCH_BINS = 256
+#: The parities of these counts, 64 to a column: bins whose parity differs bound the symmetric difference from below.
+PARITIES = [f"q{i}" for i in range(SKETCH_BINS // 64)]
 #: Fragments of the ordinary shingles; the heavy ones are one more.
 FRAGMENT_BITS = 2
 #: A profiling task counts recurring shingles over about this many at a time.
@@ -49,10 +51,10 @@ def _class_key(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _sketch(hashes: np.ndarray) -> bytes:
-    """Counts by the upper bits of the hash; empty (no bound) for a set too large for one byte a bin."""
+def _sketch(hashes: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Counts by the upper bits of the hash, empty (no bound) for a set too large for one byte a bin; and their parities."""
     counts = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=SKETCH_BINS)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"", np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
 def _bounded(percent: int):
@@ -77,7 +79,7 @@ def _recurring(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _profile(k: int):
-    names = ["kind", "doc_id", "n", "key", "sketch"]
+    names = ["kind", "doc_id", "n", "key", "sketch", *PARITIES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, seen = [], 0, set()
@@ -85,18 +87,19 @@ def _profile(k: int):
         def heavy():
             tokens, counts = _recurring(parts) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             n = len(tokens)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(counts), pa.array(tokens.view(np.int64)), pa.nulls(n, pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(counts), pa.array(tokens.view(np.int64)), pa.nulls(n, pa.binary()), *[pa.nulls(n, pa.int64()) for _ in PARITIES]], names=names)
 
         for batch in batches:
             sizes, keys, sketches = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [b""] * batch.num_rows
+            parities = np.zeros((len(PARITIES), batch.num_rows), np.int64)
             for row, hashes in shingle_sets(batch.column(1), k):
-                sketches[row] = _sketch(hashes)
+                sketches[row], parities[:, row] = _sketch(hashes)
                 sizes[row], keys[row] = len(hashes), _class_key(hashes)
                 if keys[row] not in seen:
                     seen.add(int(keys[row]))
                     parts.append(hashes)
                     held += len(hashes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column(0), pa.array(sizes), pa.array(keys), pa.array(sketches, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column(0), pa.array(sizes), pa.array(keys), pa.array(sketches, pa.binary()), *map(pa.array, parities)], names=names)
             if held > PROFILE_SHINGLES:
                 yield heavy()
                 parts, held, seen = [], 0, set()
@@ -203,10 +206,10 @@ class JaccardJoin:
         ws, spark = self.ws, self.spark
         # the words are wanted as they are; only the two columns are read, so others can't clash
         docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        profile = ws.save(docs.mapInArrow(_profile(self.k), "kind int, doc_id long, n long, key long, sketch binary"), "profile")
+        profile = ws.save(docs.mapInArrow(_profile(self.k), "kind int, doc_id long, n long, key long, sketch binary, " + ", ".join(f"{q} long" for q in PARITIES)), "profile")
         members = profile.where("kind = 0").select("doc_id", "n", "key")
         heavy = self._heavy(profile.where("kind = 1"))
-        classes = ws.save(profile.where("kind = 0 AND n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
+        classes = ws.save(profile.where("kind = 0 AND n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), *[F.first(q).alias(q) for q in PARITIES]), "classes")
         buckets = self._buckets(docs, heavy)
 
         first = ws.save(buckets.where((F.col("key") != F.col("pivot")) & _possible("meta", "pivot_meta", self.percent)).select(*_ordered("key", "meta", "pivot", "pivot_meta")).distinct(), "pairs")
@@ -214,7 +217,7 @@ class JaccardJoin:
         comps = ws.save(connected_components(ws, links), "comps")
         compared = first
         for turn in range(STAR_ROUNDS + CLOSEST_ROUNDS + 1):
-            placed = self._open(buckets, comps)
+            placed = self._open(buckets, classes, comps)
             if turn < STAR_ROUNDS:
                 large = placed.groupBy("token").count().where(F.col("count") > LARGE_BUCKET).select("token")
                 pairs = self._star(placed, large, turn)
@@ -253,9 +256,11 @@ class JaccardJoin:
         hot = many.join(pivots, "token").select("token", "key", "meta", F.col("p.key").alias("pivot"), F.col("p.meta").alias("pivot_meta"))
         return self.ws.save(light.select("token", "e.key", "e.meta", F.col("p.key").alias("pivot"), F.col("p.meta").alias("pivot_meta")).union(hot), "buckets")
 
-    def _open(self, buckets: DataFrame, comps: DataFrame) -> DataFrame:
-        """(token, key, meta, comp) of the buckets whose members are in more than one component."""
-        own = self.ws.save(buckets.select("token", "key", "meta").distinct().join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key")), "placed")
+    def _open(self, buckets: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
+        """(token, key, meta, comp and the parities) of the buckets whose members are in more than one component."""
+        at = classes.join(comps.withColumnRenamed("node", "key"), "key", "left").select("key", "n", F.coalesce("comp", "key").alias("comp"), *PARITIES)
+        own = buckets.select("token", "key", "meta").distinct().withColumn("n", _size("meta")).join(at, ["key", "n"])
+        own = self.ws.save(own.select("token", "key", "meta", "comp", *PARITIES), "placed")
         split = own.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
         left = self.ws.save(own.join(split, "token"), "open")
         self.ws.drop(own)
@@ -263,7 +268,7 @@ class JaccardJoin:
 
     def _star(self, placed: DataFrame, large: DataFrame, turn: int) -> DataFrame:
         """Pairs of each large bucket: a member of its most frequent component with every row outside that component."""
-        rows = self.ws.save(placed.join(large, "token"), "large")
+        rows = self.ws.save(placed.drop(*PARITIES).join(large, "token"), "large")
         draw = F.xxhash64("key", "token", F.lit(turn))
         each = rows.groupBy("token", "comp").agg(F.count("*").alias("c"), F.min(F.struct(draw.alias("draw"), "key", "meta")).alias("p"))
         top = each.groupBy("token").agg(F.max(F.struct("c", "comp", "p")).alias("t")).select("token", F.col("t.comp").alias("top"), F.col("t.p.key").alias("pivot"), F.col("t.p.meta").alias("pivot_meta"))
@@ -277,9 +282,12 @@ class JaccardJoin:
         return pairs.withColumns({"ra": best("a"), "rb": best("b")}).where((F.col("ra") <= PARTNERS) | (F.col("rb") <= PARTNERS))
 
     def _across(self, left: DataFrame) -> DataFrame:
-        """Pairs of one bucket that are in different components, with the number of buckets that they share."""
-        other = left.select("token", F.col("key").alias("key2"), F.col("meta").alias("meta2"), F.col("comp").alias("comp2"))
-        pairs = left.join(other, "token").where((F.col("key") < F.col("key2")) & (F.col("comp") != F.col("comp2")) & _possible("meta", "meta2", self.percent))
+        """Pairs of one bucket that are in different components, whose parities allow enough overlap, with the number of buckets that they share."""
+        other = left.select("token", *[F.col(c).alias(f"{c}2") for c in ("key", "meta", "comp", *PARITIES)])
+        both, p = _size("meta") + _size("meta2"), self.percent
+        differ = sum((F.bit_count(F.col(q).bitwiseXOR(F.col(f"{q}2"))) for q in PARITIES), F.lit(0))
+        near = (both - differ) * (100 + p) >= both * 2 * p  # the overlap is at most (both - differ) / 2
+        pairs = left.join(other, "token").where((F.col("key") < F.col("key2")) & (F.col("comp") != F.col("comp2")) & _possible("meta", "meta2", p) & near)
         return pairs.select(F.col("key").alias("a"), F.col("key2").alias("b"), _size("meta").alias("na"), _size("meta2").alias("nb")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
 
     def _verified(self, docs: DataFrame, classes: DataFrame, pairs: DataFrame, heavy) -> DataFrame:
