@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, ordinal
-from tidemark.llm.exact import exact_dedup, small
+from tidemark.llm.exact import exact_dedup, sha256, small
 from tidemark.llm.jaccard import JaccardJoin
 from tidemark.llm.packing import pack
 from tidemark.llm.queries import vocabulary_file
@@ -31,12 +31,21 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id. Repeated doc_ids stay or go together;
-    rows with a null doc_id stay unless their group has another."""
+    """One document of each group of near duplicates, that with the smallest doc_id; a null doc_id comes after all others, and
+    of equal ones the smallest digest decides. Rows are told apart by doc_id and text, so other rows of a doc_id (or without
+    one) stay or go by their own text. Of repeated rows with the doc_id and text that stay, one stays."""
     ws = Workspace(spark, "near")
-    groups = JaccardJoin(spark).components(docs)
-    gone = ws.save(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(small(gone), docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+    digest = lambda: F.xxhash64(sha256(F.coalesce("text", F.lit(""))))
+    choices = JaccardJoin(spark).choices(docs.select("doc_id", "text", digest().alias("digest"))).where("n_shingles > 0")
+    many = ws.save(choices.groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__short"), "stays").agg(F.count("*").alias("n")).where("NOT stays OR n > 1"), "choices")
+    gone, twice = many.where("NOT stays"), many.where("stays")
+    marked = docs.withColumn("__digest", digest())
+    same = lambda x: marked["doc_id"].eqNullSafe(x["__id"]) & (marked["__digest"] == x["__short"])
+    left = marked.join(small(gone), same(gone), "left_anti")
+    if not twice.isEmpty():
+        one = left.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "__digest"])
+        left = left.join(twice, same(twice), "left_anti").unionByName(one)
+    return left.drop("__digest")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

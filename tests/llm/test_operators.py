@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import langid, ordinal, simhash, warc
 from tidemark.llm.bpe import ByteStream, MergeList, WordBpe, byte_alphabet, round_trip
 from tidemark.llm.exact import DigestIndex, exact_dedup, exact_groups
@@ -71,6 +72,33 @@ def test_jaccard_empty_and_null_ids(spark, docs):
     assert len(got) == 4 and sum("component_id=3" in x for x in got) == 3
 
 
+def test_near_duplicates_by_row(spark):
+    base = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    near = [t + " end" for t in base]
+    rows = [
+        (None, base[0]),  # goes: near 1
+        (None, base[1]),  # clean, without an id
+        (1, near[0]),
+        (2, base[2]),
+        (7, near[2]),  # goes: near 2
+        (7, base[3]),  # the smallest of its own group
+        (8, near[3]),  # goes: near 7
+        (None, base[4]),  # one of these two goes
+        (None, near[4]),
+        (9, base[5]),
+        (9, base[5]),  # goes: repeated row
+        (None, None),
+        (None, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    left = [(r["doc_id"], r["text"]) for r in out.collect()]
+    one_of = [x for x in left if x[1] in (base[4], near[4])]
+    want = [(None, base[1]), (1, near[0]), (2, base[2]), (7, base[3]), (9, base[5]), (None, None), (None, None)]
+    assert out.columns == docs.columns and len(one_of) == 1
+    assert sorted(map(str, left)) == sorted(map(str, want + one_of))
+
+
 def test_simhash(spark, docs):
     got = {r["doc_id"]: r for r in simhash.compare_edited(spark, docs).collect()}
     rows = {r[0]: r[1] or "" for r in corpus()}

@@ -78,8 +78,9 @@ def _recurring(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return tokens[counts > 1], counts[counts > 1]
 
 
-def _profile(k: int):
-    names = ["kind", "doc_id", "n", "key", "sketch", *PARITIES]
+def _profile(k: int, digests: bool = False):
+    """Of rows (doc_id, text) or, with digests, (doc_id, text, digest): one row each, and the recurring shingles."""
+    names = ["kind", "doc_id", "n", "key", "sketch", *PARITIES, *["digest"] * digests]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, seen = [], 0, set()
@@ -87,7 +88,7 @@ def _profile(k: int):
         def heavy():
             tokens, counts = _recurring(parts) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             n = len(tokens)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(counts), pa.array(tokens.view(np.int64)), pa.nulls(n, pa.binary()), *[pa.nulls(n, pa.int64()) for _ in PARITIES]], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(counts), pa.array(tokens.view(np.int64)), pa.nulls(n, pa.binary()), *[pa.nulls(n, pa.int64()) for _ in names[5:]]], names=names)
 
         for batch in batches:
             sizes, keys, sketches = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [b""] * batch.num_rows
@@ -99,7 +100,7 @@ def _profile(k: int):
                     seen.add(int(keys[row]))
                     parts.append(hashes)
                     held += len(hashes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column(0), pa.array(sizes), pa.array(keys), pa.array(sketches, pa.binary()), *map(pa.array, parities)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column(0), pa.array(sizes), pa.array(keys), pa.array(sketches, pa.binary()), *map(pa.array, parities), *batch.columns[2:]], names=names)
             if held > PROFILE_SHINGLES:
                 yield heavy()
                 parts, held, seen = [], 0, set()
@@ -203,11 +204,34 @@ class JaccardJoin:
         without words have n_shingles 0 and link with nothing. A null id stays null unless its component holds another.
         Repeated rows come out as often as they went in. An empty table gives an empty one.
         """
-        ws, spark = self.ws, self.spark
         # the words are wanted as they are; only the two columns are read, so others can't clash
-        docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        profile = ws.save(docs.mapInArrow(_profile(self.k), "kind int, doc_id long, n long, key long, sketch binary, " + ", ".join(f"{q} long" for q in PARITIES)), "profile")
-        members = profile.where("kind = 0").select("doc_id", "n", "key")
+        members, named = self._named(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+        # the smallest id of each component, then of each class
+        lowest = named.where("NOT alone").groupBy("comp").agg(F.min("rep").alias("lowest"))
+        final = named.join(lowest, "comp", "left").select("key", "n", F.when(F.col("alone"), F.col("rep")).otherwise(F.col("lowest")).alias("component"))
+        return members.join(final, ["key", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+    def choices(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, digest, n_shingles, stays) for each row of docs(doc_id, text, digest), digest a long that tells texts apart.
+
+        Of each component the rows with one (doc_id, digest) stay: the smallest, null ids last. Components are those of the
+        rows' texts, so repeated and null ids tie nothing together. Rows without words stay.
+        """
+        members, named = self._named(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "digest"))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("first")
+        of_class = named.join(members.where("n > 0").groupBy("key", "n").agg(first), ["key", "n"])
+        chosen = of_class.groupBy("comp").agg(F.min("first").alias("first"))
+        final = of_class.drop("first").join(chosen, "comp").select("key", "n", "first")
+        stays = (F.col("n") == 0) | (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.digest") == F.col("digest")))
+        return members.join(final, ["key", "n"], "left").select("doc_id", "digest", F.col("n").alias("n_shingles"), stays.alias("stays"))
+
+    def _named(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members (doc_id, n, key and, if docs has it, digest) and classes (key, n, rep, comp, alone) of docs(doc_id, text[, digest])."""
+        ws = self.ws
+        digests = docs.columns[2:]
+        profile = ws.save(docs.mapInArrow(_profile(self.k, bool(digests)), "kind int, doc_id long, n long, key long, sketch binary, " + ", ".join(f"{q} long" for q in [*PARITIES, *digests])), "profile")
+        docs = docs.select("doc_id", "text")
+        members = profile.where("kind = 0").select("doc_id", "n", "key", *digests)
         heavy = self._heavy(profile.where("kind = 1"))
         classes = ws.save(profile.where("kind = 0 AND n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), *[F.first(q).alias(q) for q in PARITIES]), "classes")
         buckets = self._buckets(docs, heavy)
@@ -232,11 +256,7 @@ class JaccardJoin:
                 links = links.union(more)
                 comps = ws.save(connected_components(ws, links), "comps")
             compared = compared.union(pairs)
-        # the smallest id of each component, then of each class
-        named = classes.join(comps.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "rep", F.coalesce("comp", "key").alias("comp"), F.col("comp").isNull().alias("alone"))
-        lowest = named.where("NOT alone").groupBy("comp").agg(F.min("rep").alias("lowest"))
-        final = named.join(lowest, "comp", "left").select("key", "n", F.when(F.col("alone"), F.col("rep")).otherwise(F.col("lowest")).alias("component"))
-        return members.join(final, ["key", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        return members, classes.join(comps.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "rep", F.coalesce("comp", "key").alias("comp"), F.col("comp").isNull().alias("alone"))
 
     def _heavy(self, counted: DataFrame):
         top = counted.groupBy("key").agg(F.sum("n").alias("df")).where(F.col("df") >= HEAVY_DF).orderBy(F.desc("df"), "key").limit(HEAVY_ROWS).toPandas()
