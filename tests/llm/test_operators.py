@@ -251,6 +251,28 @@ def test_word_pieces(spark, docs):
     assert PieceCounter(path).texts([None, ""]) == ([0, 0], [0, 0])
 
 
+def test_word_pieces_without_marked_twin():
+    path = vocabulary_file("word_bpe_49k.json")
+    of = {c: b for b, c in byte_alphabet().items()}
+    vocab = {tuple(symbols_of(p, "</w>", of)) for p in vocabulary(path) if p == "</w>" or set(p) <= of.keys()}
+    longest = max(map(len, vocab))
+
+    def pieces(w):
+        s, n, i = (*w.encode(), 256), 0, 0
+        while i < len(s):
+            i, n = next(j for j in range(min(len(s), i + longest), i, -1) if j != len(s) - 1 and s[i:j] in vocab), n + 1
+        return n
+
+    rng = random.Random(7)
+    words = ["für", "thre", "漢字仮名交じり文" * 750 + "ê"] + ["".join(rng.choice("aeinrtsléüç") for _ in range(rng.choice([3, 8, 400]))) for _ in range(600)]
+    counter = PieceCounter(path)
+    assert counter.texts(words)[1] == list(map(pieces, words))
+    assert counter.texts([words[2]])[1][0] > 6000
+    marked = [p for p in vocab if p[-1] != 256 and (*p, 256) not in vocab]
+    got = counter.automaton.count_many(np.array([c for p in marked for c in (*p, 256)]), np.cumsum([0] + [len(p) + 1 for p in marked]))
+    assert len(marked) > 6000 and got.min() >= 2
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 

@@ -3,6 +3,9 @@
 The vocabulary is a trie. Where no longer match goes on, a failure link leads to the state of the rest after the greedy
 tokens have been taken off, and the number of those tokens is stored with the link; so a word is counted in one pass over
 its characters, without building a piece.
+
+The end mark alone is no piece. Where the greedy match takes all bytes of a word and leaves only the mark, its last piece is
+split again into the longest pieces that don't leave the mark alone; their number is stored with each piece.
 """
 
 from __future__ import annotations
@@ -38,8 +41,25 @@ def symbols_of(piece: str, mark: str, bytes_of: dict[str, int]) -> list[int]:
     return [bytes_of[c] for c in (piece[: -len(mark)] if last else piece)] + [END] * last
 
 
+def _closing(piece: list[int], children: list[dict[int, int]], ends: list[bool]) -> int:
+    """Pieces of piece and END, each the longest that doesn't leave END alone; 0 if there is no such split."""
+    whole, i, n = [*piece, END], 0, 0
+    while i < len(whole):
+        at, to = 0, 0
+        for j in range(i, len(whole)):
+            at = children[at].get(whole[j], -1)
+            if at < 0:
+                break
+            if ends[at] and j + 1 != len(piece):
+                to = j + 1
+        if not to:
+            return 0
+        i, n = to, n + 1
+    return n
+
+
 class LongestMatch:
-    """Pieces of the greedy longest-match split of words given as symbols (bytes, then END)."""
+    """Pieces of the greedy longest-match split of words given as symbols (bytes, then END); no match leaves END alone."""
 
     def __init__(self, pieces: list[list[int]]):
         children: list[dict[int, int]] = [{}]
@@ -71,6 +91,15 @@ class LongestMatch:
                     link[v], popped[v] = children[z][c], n
             queue.extend((d, w, v) for d, w in children[v].items())
         self.link, self.popped = np.array(link), np.array(popped)
+        # closed[v]: pieces of the piece at v when END follows, for those without a marked twin; 0: not needed or not possible
+        self.closed = np.zeros(len(children), np.int64)
+        if not (END in children[0] and ends[children[0][END]]):
+            for p in pieces:
+                at = 0
+                for c in p:
+                    at = children[at][c]
+                if p[-1] != END and END not in children[at]:
+                    self.closed[at] = _closing(p, children, ends)
         edges = np.array([(v * 512 + c, w) for v, own in enumerate(children) for c, w in own.items()], np.int64)
         self.child = IntTable(edges[:, 0], edges[:, 1])
 
@@ -92,7 +121,12 @@ class LongestMatch:
                 to = self.child.get(state[left] * 512 + c)
                 went = to >= 0
                 state[left[went]] = to[went]
-                left = left[~went]
+                left, c = left[~went], c[~went]
+                ahead = self.closed[state[left]]
+                closes = (c == END) & (ahead > 0)
+                n[left[closes]] += ahead[closes]
+                state[left[closes]] = 0
+                left = left[~closes]
                 stuck = (self.link[state[left]] < 0) | (state[left] == 0)
                 failed[left[stuck]] = True
                 left = left[~stuck]
@@ -112,7 +146,7 @@ class LongestMatch:
 
 
 class PieceCounter:
-    """Pieces by word (A-Z lower-cased, between ASCII white space); a word that can't be split counts as one."""
+    """Pieces by word (A-Z lower-cased, between ASCII white space); a word that no split fits (none, if every byte is a piece with and without the mark) counts as one."""
 
     def __init__(self, path: str, mark: str = "</w>"):
         bytes_of = {c: b for b, c in byte_alphabet().items()}
