@@ -72,6 +72,20 @@ def test_jaccard_empty_and_null_ids(spark, docs):
     assert len(got) == 4 and sum("component_id=3" in x for x in got) == 3
 
 
+def test_jaccard_links(spark):
+    words = [f"w{i}" for i in range(60)]
+    group = [" ".join([*words[: 60 - i], *(f"x{i}" for _ in range(i))]) for i in range(9)]  # one component, not all linked
+    texts = [*group, group[0], group[1].upper(), "a b c", "a b c", "d e f g h i", None, ""]
+    sets = [shingles(t) for t in texts]
+    linked = lambda x, y: bool(x & y) and 100 * len(x & y) >= 80 * len(x | y)
+    pairs, rows = JaccardJoin(spark).links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = {r["doc_id"]: r for r in rows.collect()}
+    assert {k: (r["n_shingles"], r["n_links"]) for k, r in rows.items()} == {i: (len(x), sum(linked(x, y) for j, y in enumerate(sets) if i != j)) for i, x in enumerate(sets)}
+    want = {tuple(sorted((rows[i]["class"], rows[j]["class"]))) for i, x in enumerate(sets) for j, y in enumerate(sets) if x != y and linked(x, y)}
+    got = [tuple(r) for r in pairs.collect()]
+    assert sorted(got) == sorted(want) and len(got) > 8
+
+
 def test_near_duplicates_by_row(spark):
     base = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
     near = [t + " end" for t in base]

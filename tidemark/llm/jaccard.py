@@ -225,17 +225,29 @@ class JaccardJoin:
         stays = (F.col("n") == 0) | (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.digest") == F.col("digest")))
         return members.join(final, ["key", "n"], "left").select("doc_id", "digest", F.col("n").alias("n_shingles"), stays.alias("stays"))
 
+    def links(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+        """All links: (a, b) pairs of linked classes with a < b, each once; and (doc_id, n_shingles, class, n_links) for each row of docs.
+
+        A class holds the rows of one shingle set; class is null for rows without words. n_links: the other rows that a row
+        links with, those of its own class and those of linked classes. Unlike components(), links inside one component are
+        all compared, so a group of m different near copies costs up to m * (m - 1) / 2 comparisons and as many pairs.
+        """
+        docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        members, docs, heavy, classes, buckets = self._prepared(docs)
+        apart = self.spark.createDataFrame([], "node long, comp long")
+        pairs = self.ws.save(self._across(self._open(buckets, classes, apart)).select("a", "b", "na", "nb"), "pairs")
+        links = self._verified(docs, classes, pairs, heavy)
+        sizes = members.where("n > 0").groupBy("key").agg(F.count("*").alias("size"))
+        ends = links.union(links.selectExpr("b", "a")).toDF("key", "other")
+        reached = ends.join(sizes.toDF("other", "others"), "other").groupBy("key").agg(F.sum("others").alias("others"))
+        counts = sizes.join(reached, "key", "left").select("key", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        own = members.select("doc_id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key"))
+        return links, own.join(counts, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
     def _named(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Members (doc_id, n, key and, if docs has it, digest) and classes (key, n, rep, comp, alone) of docs(doc_id, text[, digest])."""
         ws = self.ws
-        digests = docs.columns[2:]
-        profile = ws.save(docs.mapInArrow(_profile(self.k, bool(digests)), "kind int, doc_id long, n long, key long, sketch binary, " + ", ".join(f"{q} long" for q in [*PARITIES, *digests])), "profile")
-        docs = docs.select("doc_id", "text")
-        members = profile.where("kind = 0").select("doc_id", "n", "key", *digests)
-        heavy = self._heavy(profile.where("kind = 1"))
-        classes = ws.save(profile.where("kind = 0 AND n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), *[F.first(q).alias(q) for q in PARITIES]), "classes")
-        buckets = self._buckets(docs, heavy)
-
+        members, docs, heavy, classes, buckets = self._prepared(docs)
         first = ws.save(buckets.where((F.col("key") != F.col("pivot")) & _possible("meta", "pivot_meta", self.percent)).select(*_ordered("key", "meta", "pivot", "pivot_meta")).distinct(), "pairs")
         links = self._verified(docs, classes, first, heavy)
         comps = ws.save(connected_components(ws, links), "comps")
@@ -258,6 +270,18 @@ class JaccardJoin:
             compared = compared.union(pairs)
         return members, classes.join(comps.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "rep", F.coalesce("comp", "key").alias("comp"), F.col("comp").isNull().alias("alone"))
 
+    def _prepared(self, docs: DataFrame):
+        """Members, docs(doc_id, text), heavy shingles, classes and buckets of docs(doc_id, text[, digest])."""
+        ws = self.ws
+        digests = docs.columns[2:]
+        profile = ws.save(docs.mapInArrow(_profile(self.k, bool(digests)), "kind int, doc_id long, n long, key long, sketch binary, " + ", ".join(f"{q} long" for q in [*PARITIES, *digests])), "profile")
+        docs = docs.select("doc_id", "text")
+        members = profile.where("kind = 0").select("doc_id", "n", "key", *digests)
+        heavy = self._heavy(profile.where("kind = 1"))
+        classes = ws.save(profile.where("kind = 0 AND n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), *[F.first(q).alias(q) for q in PARITIES]), "classes")
+        buckets = self._buckets(docs, heavy)
+        return members, docs, heavy, classes, buckets
+
     def _heavy(self, counted: DataFrame):
         top = counted.groupBy("key").agg(F.sum("n").alias("df")).where(F.col("df") >= HEAVY_DF).orderBy(F.desc("df"), "key").limit(HEAVY_ROWS).toPandas()
         tokens = top["key"].to_numpy(np.int64).view(np.uint64)
