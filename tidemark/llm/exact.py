@@ -2,8 +2,8 @@
 
 Each task's rows are a memtable: they are sorted by digest and flushed as one run, a Parquet file with a Bloom filter on
 the digest column. Compaction merges runs into one sorted level and keeps, for every digest, the identifier that stays
-(the smallest, or the largest if asked for) and the number of rows. A lookup joins rows with the index on their digest;
-rows that hit another row's entry are compared with that row's bytes.
+(the smallest, or the largest if asked for) and the number of rows. exact_groups joins rows with the level on their
+digest; rows that hit another row's entry are compared with that row's bytes.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def small(df: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """add() flushes a batch as level-0 runs, compact() merges them, lookup() finds the entry of each row.
+    """add() flushes a batch as level-0 runs, compact() merges them. Rows can't be looked up; nothing reads by the filters yet.
 
     keep: "min" or "max", which identifier of equal digests stays. digest: from a text column to its digest; a weak one
     is legal, since hits are verified by their bytes.
@@ -50,7 +50,7 @@ class DigestIndex:
         return (F.min if self.keep == "min" else F.max)(c)
 
     def add(self, rows: DataFrame) -> None:
-        """Flush the (id, text) rows. The run's filter lets a later lookup skip files without its digests."""
+        """Flush the (id, text) rows. The run's filter would let a lookup skip files without its digests."""
         run = rows.select(self.digest(F.col("text")).alias("digest"), "id").sortWithinPartitions("digest", "id")
         options = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(FILTER_ROWS)}
         self._runs.append(self.ws.save(run, "run", **options))
