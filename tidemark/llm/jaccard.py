@@ -73,9 +73,34 @@ def _bounded(percent: int):
     return run
 
 
-def _recurring(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    tokens, counts = np.unique(np.concatenate(parts), return_counts=True)
-    return tokens[counts > 1], counts[counts > 1]
+class _Recurring:
+    """Counts of tokens that come up more than once among the last PROFILE_SHINGLES ones, in one buffer that is sorted in place."""
+
+    def __init__(self):
+        self.buffer, self.held, self.seen = np.empty(PROFILE_SHINGLES, np.uint64), 0, set()
+
+    def add(self, key: int, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Take a set's tokens (equal sets once); gives the counts whenever the buffer is full."""
+        if key in self.seen:
+            return
+        self.seen.add(key)
+        while len(tokens):
+            part = tokens[: PROFILE_SHINGLES - self.held]
+            self.buffer[self.held : self.held + len(part)] = part
+            self.held += len(part)
+            tokens = tokens[len(part) :]
+            if self.held == PROFILE_SHINGLES:
+                yield self.counts()
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        own = self.buffer[: self.held]
+        own.sort()
+        same = np.zeros(len(own) + 1, bool)
+        np.equal(own[1:], own[:-1], out=same[1:-1]) if len(own) else None
+        starts, ends = np.flatnonzero(~same[:-1] & same[1:]), np.flatnonzero(same[:-1] & ~same[1:])
+        self.held = 0
+        self.seen.clear()
+        return own[starts].view(np.int64), ends - starts + 1
 
 
 def _profile(k: int, digests: bool = False):
@@ -83,12 +108,11 @@ def _profile(k: int, digests: bool = False):
     names = ["kind", "doc_id", "n", "key", "sketch", *PARITIES, *["digest"] * digests]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held, seen = [], 0, set()
+        recurring = _Recurring()
 
-        def heavy():
-            tokens, counts = _recurring(parts) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        def heavy(tokens, counts):
             n = len(tokens)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(counts), pa.array(tokens.view(np.int64)), pa.nulls(n, pa.binary()), *[pa.nulls(n, pa.int64()) for _ in names[5:]]], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(counts), pa.array(tokens), pa.nulls(n, pa.binary()), *[pa.nulls(n, pa.int64()) for _ in names[5:]]], names=names)
 
         for batch in batches:
             sizes, keys, sketches = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [b""] * batch.num_rows
@@ -96,15 +120,10 @@ def _profile(k: int, digests: bool = False):
             for row, hashes in shingle_sets(batch.column(1), k):
                 sketches[row], parities[:, row] = _sketch(hashes)
                 sizes[row], keys[row] = len(hashes), _class_key(hashes)
-                if keys[row] not in seen:
-                    seen.add(int(keys[row]))
-                    parts.append(hashes)
-                    held += len(hashes)
+                for counted in recurring.add(int(keys[row]), hashes):
+                    yield heavy(*counted)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column(0), pa.array(sizes), pa.array(keys), pa.array(sketches, pa.binary()), *map(pa.array, parities), *batch.columns[2:]], names=names)
-            if held > PROFILE_SHINGLES:
-                yield heavy()
-                parts, held, seen = [], 0, set()
-        yield heavy()
+        yield heavy(*recurring.counts())
 
     return run
 
