@@ -19,6 +19,8 @@ import pyarrow as pa
 
 from .inttable import IntTable
 
+#: Fixed value: the characters of the Unicode property White_Space, for a pattern's class.
+WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A worker remembers the ids of at most this many words.
 MEMO_WORDS = 400_000
 #: Symbols that a long piece's buffer holds beside the lookahead.
@@ -238,8 +240,7 @@ class WordBpe:
 
 
 _CONTROLS = re.compile("[\x1c-\x1f]")
-#: White space of the tokenizer's pattern (the Unicode property).
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACE = re.compile(f"[{WHITE_SPACE}]+")
 
 
 class ByteStream:

@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import WHITE_SPACE, byte_alphabet
+
 LONGEST = 1024
 #: Documents that a task holds at a time.
 BUFFER_DOCS = 2048
@@ -40,25 +42,48 @@ class ByteBpe:
 
         import tiktoken
 
-        from .bpe import byte_alphabet
-
         spec = json.load(open(path, encoding="utf-8"))
         back = {c: b for b, c in byte_alphabet().items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(back[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self._core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self._memo: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self._core.encode_ordinary(text), "<u4").tobytes()
+        """ids of a text without special tokens."""
+        if len(text) < LONG_RUN or not _LONG_RUN.search(text):
+            return np.array(self._core.encode_ordinary(text), "<u4").tobytes()
+        # the split pattern recurses over white space; of a long run all but the last character are one piece (all, at the end)
+        out, at = [], 0
+        for run in _LONG_RUN.finditer(text):
+            stop = run.end() - (run.end() < len(text))
+            out += [self._core.encode_ordinary(text[at : run.start()]), self._core._encode_single_piece(text[run.start() : stop])]
+            at = stop
+        return b"".join(np.array(x, "<u4").tobytes() for x in [*out, self._core.encode_ordinary(text[at:])])
 
     def encode(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids; b"" for null and empty texts. Words after single spaces are remembered."""
+        """Little-endian unsigned 32-bit ids; b"" for null and empty texts. Strings of special tokens become those tokens."""
         if not text:
             return b""
-        if any(s in text for s in self.special):
-            return np.array(self._core.encode(text, allowed_special="all"), "<u4").tobytes()
+        if not any(s in text for s in self.special):
+            return self._plain(text)
+        parts = self._cut.split(text)
+        return b"".join(np.array([self.special[p]], "<u4").tobytes() if p in self.special else self._plain(p) for p in parts if p)
+
+    def _plain(self, text: str) -> bytes:
+        """_ids(), with the words after single spaces remembered. A long text is cut before white space, where a word ends anyway."""
+        out, at = [], 0
+        while len(text) - at > 2 * PART_CHARS:
+            cut = _WORD_END.search(text, at + PART_CHARS)
+            if not cut:
+                break
+            out.append(self._part(text[at : cut.start() + 1]))
+            at = cut.start() + 1
+        return b"".join([*out, self._part(text[at:])])
+
+    def _part(self, text: str) -> bytes:
         # before a space that follows no white space the split pattern always has a boundary
         if _RUN.search(text):
             return self._ids(text)
@@ -71,8 +96,7 @@ class ByteBpe:
             for w in rest:
                 if w not in memo:
                     found = self._older.get(w)
-                    found = self._ids(" " + w) if found is None else found
-                    memo[w] = found
+                    memo[w] = self._ids(" " + w) if found is None else found
             out[1:] = map(memo.__getitem__, rest)
             if len(memo) > MEMO_CHUNKS // 2:
                 self._older, self._memo = memo, {}
@@ -83,6 +107,12 @@ class ByteBpe:
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A space after any white space, or characters that count as white space to only one of the two libraries.
 _RUN = re.compile("\\s |[\x1c-\x1f]")
+#: Runs of white space of at least this many characters are kept from the split pattern.
+LONG_RUN = 2048
+_LONG_RUN = re.compile(f"[{WHITE_SPACE}]{{{LONG_RUN},}}")
+#: Longer texts are encoded in parts of about this many characters.
+PART_CHARS = 1 << 16
+_WORD_END = re.compile(f"[^{WHITE_SPACE}](?=[{WHITE_SPACE}])")
 
 
 @dataclass
