@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 from collections import deque
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,10 @@ from pyspark.sql import functions as F
 
 from .bpe import TEXTS_AT_ONCE, byte_alphabet
 from .inttable import IntTable
+from .textbytes import batch_parts
 
+#: Words of more bytes than this are counted one by one; the others of a slice all together.
+LONG_WORD = 64
 #: A worker remembers the counts of at most this many words.
 MEMO_WORDS = 400_000
 _ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
@@ -102,6 +106,7 @@ class LongestMatch:
                     self.closed[at] = _closing(p, children, ends)
         edges = np.array([(v * 512 + c, w) for v, own in enumerate(children) for c, w in own.items()], np.int64)
         self.child = IntTable(edges[:, 0], edges[:, 1])
+        self.edges = edges
 
     def count_many(self, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Pieces of each word symbols[bounds[i]:bounds[i+1]], 0 where some part matches no piece. All words advance together,
@@ -145,6 +150,34 @@ class LongestMatch:
         return out
 
 
+    def count_one(self, symbols: bytes) -> int:
+        """Pieces of one word (its bytes; END is added): the same pass, one symbol after another, so its time is linear in the
+        word and it needs no memory besides."""
+        if not hasattr(self, "_scalar"):
+            self._scalar = dict(self.edges.tolist()), self.link.tolist(), self.popped.tolist(), self.closed.tolist()
+        child, link, popped, closed = self._scalar
+        state = n = 0
+        for c in chain(symbols, (END,)):
+            to = child.get(state * 512 + c)
+            while to is None:
+                if c == END and closed[state]:
+                    n += closed[state]
+                    to = 0
+                elif link[state] < 0 or not state:
+                    return 0
+                else:
+                    n += popped[state]
+                    state = link[state]
+                    to = child.get(state * 512 + c)
+            state = to
+        while state > 0:
+            if link[state] < 0:
+                return 0
+            n += popped[state]
+            state = link[state]
+        return n
+
+
 class PieceCounter:
     """Pieces by word (A-Z lower-cased, between ASCII white space); a word that no split fits (none, if every byte is a piece with and without the mark) counts as one."""
 
@@ -155,11 +188,14 @@ class PieceCounter:
         self.older: dict[str, int] = {}
 
     def _learn(self, words: list[str]) -> dict[str, int]:
+        long = {w: max(self.automaton.count_one(w.encode("utf-8", "surrogatepass")), 1) for w in words if len(w) > LONG_WORD}
+        if long:
+            words = [w for w in words if w not in long]
         flat = np.frombuffer("\n".join([*words, ""]).encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
         stops = np.flatnonzero(flat == 10)
         flat[stops] = END
         got = self.automaton.count_many(flat, np.concatenate(([0], stops + 1)))
-        return dict(zip(words, np.maximum(got, 1).tolist(), strict=True))
+        return dict(zip(words, np.maximum(got, 1).tolist(), strict=True)) | long
 
     def texts(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
         """Words and pieces of each text; 0 and 0 for null and empty ones."""
@@ -175,7 +211,7 @@ class PieceCounter:
         memo.update(learned)
         out = [len(words) for words in split], [sum(map(memo.__getitem__, words)) for words in split]
         for w in learned:
-            if len(w) > 64:
+            if len(w) > LONG_WORD:
                 del memo[w]
         if len(memo) > MEMO_WORDS // 2:
             self.older, self.memo = memo, {}
@@ -194,16 +230,19 @@ _counters: dict[str, PieceCounter] = {}
 
 
 def token_counts(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_words, n_tokens) of each row of docs(doc_id, text); path: a vocabulary file that every worker can read."""
+    """(doc_id, n_words, n_tokens) of each row of docs(doc_id, text); path: a vocabulary file that every worker can read.
+
+    Null, empty and blank texts have 0 words and 0 tokens. Rows are counted one by one: repeated rows come out repeated, a null
+    doc_id stays null, other columns are not read. Words of any length take time in proportion. An empty table gives an empty one.
+    """
 
     def run(batches):
         if path not in _counters:
             _counters[path] = PieceCounter(path)
         counter = _counters[path]
         for batch in batches:
-            for a in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(a, TEXTS_AT_ONCE)
+            for part in batch_parts(batch, 1, TEXTS_AT_ONCE):
                 words, tokens = counter.texts(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
