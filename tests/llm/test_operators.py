@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import langid, ordinal, simhash, warc
-from tidemark.llm.bpe import ByteStream, MergeList, WordBpe, byte_alphabet, round_trip
-from tidemark.llm.exact import DigestIndex, exact_dedup, exact_groups
+from tidemark.llm.bpe import IdDecoder, MergeList, WordBpe, round_trip
+from tidemark.llm.exact import DigestIndex, exact_dedup, exact_groups, known, salted_join
 from tidemark.llm.jaccard import JaccardJoin
 from tidemark.llm.lines import line_dedup
 from tidemark.llm.packing import pack
@@ -133,7 +133,50 @@ def test_simhash(spark, docs):
         want = sum(near(got[k]["fingerprint"], got[j]["fingerprint"]) for j in rows) if k % 50 == 0 else None
         assert got[k]["n_near"] == want
     assert simhash.compare_edited(spark, docs.limit(0)).count() == 0
-    assert simhash.compare_edited(spark, spark.createDataFrame([(None, None), (4, "a"), (4, "b")], "doc_id long, text string")).count() == 2
+
+
+def plain_fingerprints(spark, texts):
+    """Fingerprints by plain Python: only the hash of a term comes from Spark."""
+    terms = {}
+    for t in texts:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").lower()) if x]
+        terms[t] = [w[i : i + 5] for i in range(len(w) - 4)] if len(w) >= 5 else [w + [None] * (5 - len(w))]
+    each = sorted({tuple(x) for v in terms.values() for x in v}, key=str)
+    rows = spark.createDataFrame(each, "a string, b string, c string, d string, e string").select("*", F.xxhash64("a", "b", "c", "d", "e").alias("h")).collect()
+    of = {tuple(r[:5]): r["h"] for r in rows}
+    out = {}
+    for t, v in terms.items():
+        votes = [sum(1 if of[tuple(x)] >> i & 1 else -1 for x in v) for i in range(64)]
+        out[t] = sum(1 << i for i in range(64) if votes[i] > 0)
+    return out
+
+
+def test_simhash_repeated_and_null_ids(spark):
+    rows = [(None, None), (4, "a b c"), (4, "b x y z w v"), (4, "a b c"), (None, "q r s t u v w"), (100, "K l m n o p q r " * 40), (3, "")]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, key int")
+    got = simhash.compare_edited(spark, docs).collect()
+    assert len(got) == len(rows)
+    key = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = [(r["doc_id"], r["text"] or "") for r in sorted(key, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]), reverse=True)]
+    edits = [t[: len(t) - len(t) // 3] + order[(i + 1) % len(order)][1][: len(t) // 3] for i, (_, t) in enumerate(order)]
+    prints = plain_fingerprints(spark, [t for _, t in order] + edits)
+    alike = lambda a, b: round(1 - bin(a ^ b).count("1") / 64, 9)
+    want = []
+    for i, (k, t) in enumerate(order):
+        f, e, n = prints[t], prints[edits[i]], prints[order[(i + 1) % len(order)][1]]
+        want.append((k, len(t), hashlib.sha256(edits[i].encode()).hexdigest(), f"{f:016x}", f"{e:016x}", alike(f, e), alike(f, n)))
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9))) for r in got)
+    assert [r["n_near"] for r in got if r["doc_id"] == 100] == [1]
+
+
+def test_simhash_of_corpus(spark, docs):
+    rows = {r[0]: r[1] or "" for r in corpus()}
+    order = sorted(rows, reverse=True)
+    prints = plain_fingerprints(spark, set(rows.values()))
+    got = {r["doc_id"]: r for r in simhash.compare_edited(spark, docs).collect()}
+    for i, k in enumerate(order):
+        f, n = prints[rows[k]], prints[rows[order[(i + 1) % len(order)]]]
+        assert got[k]["fingerprint"] == f"{f:016x}" and abs(got[k]["near_next"] - (1 - bin(f ^ n).count("1") / 64)) < 1e-9
 
 
 def test_block_tables(spark):
@@ -162,12 +205,55 @@ def test_exact(spark, docs):
     assert exact_groups(spark, ids.limit(0)).count() == 0
 
 
-def test_index_levels(spark):
+def test_exact_clashing_names_and_null_ids(spark):
+    rows = [(None, "a", 1, "x", 5, 7), (None, "a", 2, "x", 5, 7), (3, "b", 3, "x", 5, 7), (3, "b", 4, "x", 5, 7), (None, "b", 5, "x", 5, 7), (4, None, 6, "x", 5, 7), (5, "", 7, "x", 5, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __short long, digest string, id long, short long")
+    left = exact_dedup(spark, docs)
+    assert left.columns == docs.columns
+    assert sorted(str((r["doc_id"], r["text"])) for r in left.collect()) == ["(3, 'b')", "(4, None)", "(None, 'a')"]
+    assert exact_dedup(spark, docs.limit(0)).count() == 0
+
+
+def test_index_levels(spark, monkeypatch):
+    from tidemark.llm import exact
+
+    monkeypatch.setattr(exact, "MEMTABLE_ROWS", 3)
     index = DigestIndex(spark)
     for a in range(9):
         index.add(spark.createDataFrame([(a, "x"), (a + 100, f"t{a}")], "id long, text string"))
-    level = {r["n"]: r["keep_id"] for r in index.compact().where("n > 1").collect()}
-    assert level == {9: 0}
+    index.add(spark.createDataFrame([(i, f"u{i % 7}") for i in range(200, 240)], "id long, text string").coalesce(1))
+    assert index._flushed[-1].select("run").distinct().count() == 14
+    probes = spark.createDataFrame([("x",), ("t3",), ("u5",), ("none",)], "text string").select(exact.sha256(F.col("text")).alias("digest"))
+    want = {(0, 9), (103, 1), (201, 6)}  # 201 % 7 is 5
+    for most in (1024, 0):  # pushed down, joined
+        monkeypatch.setattr(exact, "PROBES", most)
+        assert {(r["keep_id"], r["n"]) for r in index.lookup(probes).collect()} == want
+    level = {r["keep_id"]: r["n"] for r in index.compact().where("n > 1").collect()}
+    texts = [f"u{i % 7}" for i in range(200, 240)]
+    assert level == {0: 9} | {200 + texts.index(t): texts.count(t) for t in texts}
+    assert {(r["keep_id"], r["n"]) for r in index.lookup(probes).collect()} == want
+    assert DigestIndex(spark).lookup(probes).count() == 0
+
+
+def test_known(spark):
+    weak = lambda c: F.substring(F.sha2(F.encode(c, "UTF-8"), 256), 1, 1)
+    old = spark.createDataFrame([(i, f"t{i % 40}") for i in range(60)] + [(None, "t99"), (70, None)], "id long, text string")
+    new = spark.createDataFrame([(1, "t0"), (1, "t39"), (2, "new"), (None, "t20"), (4, ""), (5, "t99")], "id long, text string")
+    for digest in (weak, None):
+        index = DigestIndex(spark, **({"digest": digest} if digest else {}))
+        index.add(old)
+        got = sorted(str(tuple(r)) for r in known(index, old, new).collect())
+        assert got == sorted(map(str, [(1, 0), (1, 39), (2, None), (None, 20), (4, 70), (5, None)]))
+
+
+def test_salted_join(spark, monkeypatch):
+    from tidemark.llm import exact
+
+    left = spark.createDataFrame([(i, i % 3 if i < 900 else 7) for i in range(1000)], "id long, k long")
+    right = left.groupBy("k").agg(F.count("*").alias("n"))
+    for most in (1 << 18, 1):
+        monkeypatch.setattr(exact, "BROADCAST_ROWS", most)
+        assert sorted(tuple(r) for r in salted_join(left, right, ["k"], "n", F.col("id")).select("id", "k", "n").collect()) == sorted((i, i % 3 if i < 900 else 7, 300 if i < 900 else 100) for i in range(1000))
 
 
 def test_lines(spark):
@@ -185,6 +271,15 @@ def test_lines(spark):
         assert got[d]["text"] == want and got[d]["n_removed"] == len(gone[d])
 
 
+def test_lines_repeated_and_null_ids(spark):
+    rows = [(0, "a\nb\nc"), (1, "a\nb\nc"), (1, "x\ny\nz\nw"), (None, "p\nq\nr"), (2, "p\nq\nr\ns"), (5, "l\nm\nn"), (5, "l\nm\nn"), (6, None)]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, key int, pos int")
+    got = sorted(str((r["doc_id"], r["text"], r["n_removed"])) for r in line_dedup(docs).collect())
+    want = [(0, "a\nb\nc", 0), (1, "", 3), (1, "x\ny\nz\nw", 0), (None, "p\nq\nr", 0), (2, "s", 3), (5, "l\nm\nn", 0), (5, "", 3), (6, None, 0)]
+    assert got == sorted(map(str, want))
+    assert line_dedup(docs.limit(0)).count() == 0
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(5, "http://a", "same"), (2, "http://b c", "same"), (9, None, None), (8, "u", ""), (3, "x", "é" * 4000)], "page_id long, url string, html string")
     got = {r["page_id"]: r for r in warc.archive_round_trip(spark, pages.withColumn("digest", F.lit(1))).collect()}
@@ -218,30 +313,72 @@ def test_bpe(spark, docs):
         assert got[k]["decoded_sha256"] == hashlib.sha256(theirs.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
-def test_bpe_stream_is_stable():
-    ours = WordBpe(vocabulary_file("word_bpe_49k.json"))
-    for _ in range(5):
-        word = "".join(RNG.choice("theinabrs") for _ in range(6000))
-        symbols = list(word)
-        symbols[-1] += "</w>"
-        assert list(ours.list.stream(iter(word))) == ours.list.merge(symbols)
-    merges = [("a", "b"), ("b", "c"), ("ab", "c"), ("c", "ab")]
-    small = MergeList({}, merges)
-    for _ in range(300):
-        s = [RNG.choice("abc") for _ in range(RNG.randrange(2, 30))]
-        whole, cut = small.merge(s), RNG.randrange(1, len(s))
-        part = small.merge(s[:cut])
-        ends = lambda ts, limit: [e for e in np.cumsum([len(t) for t in ts]).tolist() if e <= limit]
-        assert ends(whole, cut - small.lookahead) == ends(part, cut - small.lookahead)
-
-
-def test_byte_stream():
-    alphabet, text = byte_alphabet(), "é漢😀a"
-    tokens = [alphabet[b] for b in text.encode()]
-    s = ByteStream()
-    assert "".join(s.push([t]) for t in tokens) + s.close() == text
-    s = ByteStream()
-    assert s.push(tokens[:1]) + s.close() == "�"
+def plain_merge(symbols, ranks):
+    """All occurrences of the pair of lowest rank, from the left, again and again."""
+    while len(symbols) > 1:
+        best = min(zip(symbols, symbols[1:], strict=False), key=lambda p: ranks.get(p, 1 << 60))
+        if best not in ranks:
+            break
+        out, i = [], 0
+        while i < len(symbols):
+            pair = tuple(symbols[i : i + 2]) == best
+            out.append("".join(best) if pair else symbols[i])
+            i += 1 + pair
+        symbols = out
+    return symbols
+
+
+def test_bpe_stream_is_stable(monkeypatch):
+    from tidemark.llm import bpe
+
+    rng = random.Random(17)
+    merges = [("a", "b"), ("b", "c"), ("ab", "c"), ("c", "ab"), ("a", "a"), ("aa", "aa"), ("c", "c")]
+    names = ["a", "b", "c", *["".join(m) for m in merges]]
+    small = MergeList({t: i for i, t in enumerate(names)}, merges)
+    ranks = {m: i for i, m in enumerate(merges)}
+    for buffer, together in ((1, 2), (3, 8), (1024, 64)):
+        monkeypatch.setattr(bpe, "BUFFER", buffer)
+        monkeypatch.setattr(bpe, "TOGETHER", together)
+        words = ["".join(rng.choice("abc") for _ in range(rng.choice([0, 1, 2, 5, 30, 90]))) for _ in range(200)]
+        symbols = np.array([names.index(c) for w in words for c in w], np.int64)
+        got = defaultdict(list)
+        for ids, number in small.stream(symbols, np.cumsum([0, *map(len, words)])):
+            for i, w in zip(ids.tolist(), number.tolist(), strict=True):
+                got[w].append(names[i])
+        assert [got[i] for i in range(len(words))] == [plain_merge(list(w), ranks) for w in words]
+
+
+def test_bpe_long_and_odd_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = vocabulary_file("word_bpe_49k.json")
+    theirs = Tokenizer.from_file(path)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("theinabrsß漢 ") for _ in range(50_000)), "".join(rng.choice("theinabrs漢") for _ in range(20_000)), "x" * 100_000, " " * 200_000, "a\x1cb\u3000c", "Σας ΣΑΣ", "e\u0301<|endoftext|>E\u0301", "<|startoftext|>"]
+    rows = [(i % 3 or None, t, 1) for i, t in enumerate([*texts, texts[-1], None, ""])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens long")
+    got = sorted(map(str, round_trip(docs, path).collect()))
+    want = []
+    for i, t, _ in rows:
+        ids = theirs.encode(t or "", add_special_tokens=False).ids
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        want.append(f"Row(doc_id={i}, n_tokens={len(ids)}, ids_sha256='{sha(np.array(ids, '<u4').tobytes())}', decoded_sha256='{sha(theirs.decode(ids, skip_special_tokens=False).encode())}')")
+    assert got == sorted(want)
+    assert round_trip(docs.limit(0), path).count() == 0
+
+
+def test_decoder():
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = vocabulary_file("byte_bpe_50k.json")
+    theirs, ours = Tokenizer.from_file(path), IdDecoder.of(json.load(open(path)))
+    text = "é漢😀a<|endoftext|> the ☃"
+    ids = np.array(theirs.encode(text, add_special_tokens=False).ids, "<u4")
+    assert "".join(ours.push(ids[i : i + 1].tobytes()) for i in range(len(ids))) + ours.close() == text
+    cut = theirs.encode("😀", add_special_tokens=False).ids[:1]
+    assert ours.push(np.array(cut, "<u4").tobytes()) + ours.close() == theirs.decode(cut, skip_special_tokens=False)
 
 
 def test_word_pieces(spark, docs):

@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, with_row_keys
 
 BITS = 64
 LANES = 32
@@ -102,14 +102,12 @@ def compare_edited(spark: SparkSession, docs: DataFrame, radius: int = RADIUS) -
     """For each row of docs(doc_id, text): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next, and n_near: for every doc_id divisible by 50 the number of documents within the radius (itself included).
 
-    A null text counts as empty. Should doc_ids repeat, the row with the smallest text stands for them; null doc_ids
-    count as one id before all others. An empty table gives an empty one; a single document is its own next one.
+    The next document is the one of the next smaller doc_id; a null doc_id comes after all others, rows of one doc_id follow each
+    other in a fixed order. Each row comes out once, repeated rows too. A null text counts as empty. Other columns are not
+    read. An empty table gives an empty one; a single document is its own next one.
     """
     ws = Workspace(spark, "simhash")
-    lowest = F.lit(-(1 << 63))
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    if not docs.groupBy("key").count().where("count > 1").isEmpty():
-        docs = ws.save(docs.groupBy("key").agg(F.min("text").alias("text")), "docs")
+    docs = with_row_keys(ws, docs).select("key", F.coalesce("text", F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ws.save(following(ws, docs.select("key", F.length("text").cast("long").alias("n")), parts), "order")
     prints = ws.save(fingerprints(docs), "prints")
@@ -118,13 +116,14 @@ def compare_edited(spark: SparkSession, docs: DataFrame, radius: int = RADIUS) -
     others = fingerprints(changed).withColumnRenamed("fingerprint", "f2")
     after = order.select("key", F.col("next_key")).join(prints.select(F.col("key").alias("next_key"), F.col("fingerprint").alias("f3")), "next_key").select("key", "f3")
     counts = ws.save(prints.groupBy("fingerprint").agg(F.count("*").alias("n_docs")), "counts")
-    asked = prints.where("key % 50 = 0 AND key <> -9223372036854775808")
+    doc_id = F.col("key") if dict(docs.dtypes)["key"] == "bigint" else F.col("key.id")
+    asked = prints.where(doc_id % 50 == 0)
     near = near_fingerprints(asked, counts, radius).join(counts.withColumnRenamed("fingerprint", "other"), "other").groupBy("fingerprint").agg(F.sum("n_docs").alias("n_near"))
     found = asked.join(near, "fingerprint").select("key", "n_near")
     joined = prints.join(order.select("key", "n"), "key").join(digests, "key").join(others, "key").join(after, "key").join(found, "key", "left")
     text = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
     return joined.select(
-        F.when(F.col("key") != lowest, F.col("key")).alias("doc_id"),
+        doc_id.alias("doc_id"),
         F.col("n").alias("n_chars"),
         "edited_sha256",
         text("fingerprint").alias("fingerprint"),
