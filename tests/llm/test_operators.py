@@ -105,6 +105,7 @@ def test_near_duplicates_by_row(spark):
         (None, None),
     ]
     docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    docs = docs.withColumns({"digest": F.lit(1), "id": F.lit("x"), "short": F.lit(2), "stays": F.lit(True), "n": F.lit(0)})
     out = corpus_pipeline.near_duplicates(spark, docs, "")
     left = [(r["doc_id"], r["text"]) for r in out.collect()]
     one_of = [x for x in left if x[1] in (base[4], near[4])]
@@ -475,6 +476,32 @@ def test_ordinal(spark):
     assert ordinal.predict(spark, blank, odd).where("kept").count() == 3
 
 
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Null texts and ids, repeated rows, an empty table and columns of clashing names through all stages and run()."""
+    d = "/root/testdata/sf0.001"
+    good = spark.read.parquet(f"{d}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "the same text of some words here and there", "en", "s", 1), (3, None, "en", "s", 0), (3, "", None, "s", 0), (3, "   ", "de", "s", 0)], good.schema)
+    docs = good.unionByName(odd).unionByName(good.limit(3)).unionByName(good.limit(3))
+    docs = docs.withColumns({"key": F.lit(1), "n": F.lit(1), "digest": F.lit("d"), "id": F.lit(0), "label": F.lit("l")})
+    (tmp_path / "d").mkdir()
+    docs.write.parquet(str(tmp_path / "d" / "documents.parquet"))
+    spark.read.parquet(f"{d}/labels.parquet").write.parquet(str(tmp_path / "d" / "labels.parquet"))
+    empty = docs.limit(0)
+    n = docs.count()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns and 0 < out.count() <= n
+        assert stage(spark, empty, d).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, d).count() == 0
+    pieces = corpus_pipeline.run(spark, str(tmp_path / "d")).collect()
+    plain = spark.read.parquet(f"{d}/documents.parquet")
+    assert pieces and {r["doc_id"] for r in pieces} <= {r["doc_id"] for r in plain.select("doc_id").collect()} | {None}
+    by = defaultdict(int)
+    for r in pieces:
+        by[r["doc_id"]] += r["length"]
+    assert all(by[r["doc_id"]] == r["doc_tokens"] for r in pieces if r["doc_id"] is not None)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
