@@ -25,7 +25,11 @@ def parquet_stream(spark: SparkSession, path: str, files: int | None = None) ->
 def run_to_end(stream: DataFrame) -> DataFrame:
     """All that the stream yields from the input there is now, appended to Parquet in the shared folder and read again."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = tempfile.mkdtemp()
     folder = f"{base}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
     writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
