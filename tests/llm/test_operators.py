@@ -254,6 +254,7 @@ def test_salted_join(spark, monkeypatch):
     right = left.groupBy("k").agg(F.count("*").alias("n"))
     for most in (1 << 18, 1):
         monkeypatch.setattr(exact, "BROADCAST_ROWS", most)
+        assert salted_join(left, right.where("k <> 7"), ["k"], "n", F.col("id"), "left").where("n IS NULL").count() == 100
         assert sorted(tuple(r) for r in salted_join(left, right, ["k"], "n", F.col("id")).select("id", "k", "n").collect()) == sorted((i, i % 3 if i < 900 else 7, 300 if i < 900 else 100) for i in range(1000))
 
 

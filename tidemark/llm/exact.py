@@ -38,19 +38,19 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, spread: Column) -> DataFrame:
-    """left.join(right, keys) where right has unique keys and, in count, about how many left rows each has.
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, spread: Column, how: str = "inner") -> DataFrame:
+    """left.join(right, keys, how), inner or left, where right has unique keys and, in count, about how many left rows each has.
 
     Of a key with more than ROWS_PER_SALT rows, right is repeated and left spread by a hash, so no task gets all its rows. The
     table of such keys has a ROWS_PER_SALT-th of the rows of left at most; its size is checked before it is broadcast.
     """
     if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return left.join(F.broadcast(right), keys)
+        return left.join(F.broadcast(right), keys, how)
     salts = F.ceil(F.col(count) / ROWS_PER_SALT).cast("int")
     hot = right.where(F.col(count) > ROWS_PER_SALT).select(*keys, salts.alias("__salts"))
     dealt = left.join(small(hot), keys, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
     copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
-    return dealt.join(copies, [*keys, "__salt"]).drop("__salt")
+    return dealt.join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
 class DigestIndex:

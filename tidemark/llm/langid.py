@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 BINS = 1 << 14
 #: The fit uses at most about this many rows of each language, drawn by a hash of the row's id.
 SAMPLE_PER_LANGUAGE = 800
+#: More labels than this are refused: the weights have a row of BINS for each.
+MOST_LANGUAGES = 512
 UNKNOWN = "und"
 _PIECE = 1 << 20
 
@@ -145,7 +147,9 @@ def fit(spark: SparkSession, rows: DataFrame, per_language: int = SAMPLE_PER_LAN
     are fewer. The same rows give the same model.
     """
     rows = rows.where("label IS NOT NULL").select(F.xxhash64("id", F.lit("sample")).alias("h"), "text", "label")
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels")
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros((0, BINS)), np.ones(BINS), 1.0)
@@ -177,7 +181,9 @@ def fit(spark: SparkSession, rows: DataFrame, per_language: int = SAMPLE_PER_LAN
 
 
 def predict(spark: SparkSession, model: LanguageModel, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, lang_pred, score) for each row, in any order; only these two columns are read."""
+    """(id_col, lang_pred, score) for each row, in any order; only these two columns are read. Repeated rows and null ids come out as
+    they are; null texts and texts without letters are und with score 0; of equal probabilities the first language by name
+    wins. Texts of any length are read whole. An empty table gives an empty one."""
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):

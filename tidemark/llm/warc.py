@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .exact import small
+from .exact import salted_join
 from .workspace import Workspace
 
 #: Fixed values of the formats: magic numbers of a dictionary's skippable frame, of other ones (16 of them), of a frame.
@@ -132,8 +132,9 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     refers to the smallest non-null one, and nothing refers to a null one."""
     pages = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     keyed = pages.select("page_id", F.length("payload").alias("n"), F.sha2("payload", 256).alias("digest")).where(F.col("n") >= least_bytes)
-    repeated = keyed.groupBy("digest", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 AND first IS NOT NULL").select("digest", "n", "first")
-    marked = pages.withColumns({"digest": F.sha2("payload", 256), "n": F.length("payload")}).join(small(repeated), ["digest", "n"], "left")
+    repeated = keyed.groupBy("digest", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 AND first IS NOT NULL")
+    marked = pages.withColumns({"digest": F.sha2("payload", 256), "n": F.length("payload")})
+    marked = salted_join(marked, repeated, ["digest", "n"], "copies", F.col("page_id"), "left")
     return marked.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
