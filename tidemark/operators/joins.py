@@ -57,3 +57,16 @@ def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
     """(key, n) of the keys that more than one row has; empty where keys are unique."""
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def second_opinion(first: DataFrame, second: DataFrame, key: list[str], differs: Column, rejected: Column) -> DataFrame:
+    """first with the columns of second where it has the key, and disagree (false without it); rows that second rejects go."""
+    marked = second.withColumn("__there", F.lit(True))
+    both = first.join(marked, key, "left").where(~F.coalesce(rejected, F.lit(False)))
+    return both.withColumn("disagree", F.coalesce(F.col("__there") & differs, F.lit(False))).drop("__there")
+
+
+def fill_from(rows: DataFrame, source: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """rows with nulls in some columns filled from the source's row of the same key."""
+    other = source.select(*key, *[F.col(c).alias(f"__{c}") for c in columns])
+    return rows.join(other, key, "left").withColumns({c: F.coalesce(c, f"__{c}") for c in columns}).drop(*[f"__{c}" for c in columns])

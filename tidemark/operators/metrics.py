@@ -123,3 +123,13 @@ def temperature_grid(df: DataFrame, probability: str, positive: str, grid: list[
     sums = df.select(wrong.alias("z")).agg(*[F.avg(F.log1p(F.exp(F.col("z") / t))).alias(f"t{i}") for i, t in enumerate(grid)])
     pairs = F.array(*[F.struct(F.lit(float(t)).alias("temperature"), F.col(f"t{i}").alias("nll")) for i, t in enumerate(grid)])
     return sums.select(F.inline(pairs))
+
+
+def class_weights(df: DataFrame, label: str, k: int) -> DataFrame:
+    """(cls, n, weight) of each class id in [0, k): weights go with 1 / sqrt(n), n at least 1, and sum to k. Other ids are ignored."""
+    n = df.where(F.col(label).between(0, k - 1)).groupBy(F.col(label).cast("long").alias("cls")).agg(F.count("*").alias("n"))
+    classes = df.sparkSession.range(k).select(F.col("id").alias("cls"))
+    each = classes.join(F.broadcast(n), "cls", "left").select("cls", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    w = 1 / F.sqrt(F.greatest("n", F.lit(1)))
+    total = each.agg(F.sum(w).alias("total"))
+    return each.join(F.broadcast(total), F.lit(True)).select("cls", "n", (w * k / F.col("total")).alias("weight"))

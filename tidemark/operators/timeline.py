@@ -35,6 +35,39 @@ def with_trailing_majority(df: DataFrame, key: list[str], time: str, label: str,
     return df.withColumn("majority", F.array_max(F.array(*counted))["v"])
 
 
+def with_streak(df: DataFrame, key: list[str], time: list[str], inside: Column, name: str = "streak") -> DataFrame:
+    """Adds the time since the row's stretch of rows with the condition began; 0 for rows without it."""
+    w = ordered(key, time)
+    out = df.withColumn("__in", F.coalesce(inside, F.lit(False)))
+    out = out.withColumn("__from", F.when(F.col("__in") & ~F.coalesce(F.lag("__in").over(w), F.lit(False)), F.col(time[0])))
+    since = F.last("__from", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return out.withColumn(name, F.when(F.col("__in"), F.col(time[0]) - since).otherwise(0)).drop("__in", "__from")
+
+
+def with_rule_state(df: DataFrame, key: list[str], time: str, tie: str, cue: str, window: int, majority: float, aside: int, down: int, history: int, most_uncertain: float = 0.5) -> DataFrame:
+    """Adds state from the row's cue: unknown before the key has that much history; phone_use_alert; off_task_cue after a long streak
+    of heads down or of these and looks aside; possible_distraction after a streak of looks aside; then by the trailing window
+    (t - window, t]: unknown if too much is uncertain, on_task if enough of the rest is screen_oriented, else possible_distraction."""
+    order, side = [time, tie], ["looking_away", "turned_to_peer"]
+    out = with_streak(df, key, order, F.col(cue) == "head_down", "__down")
+    out = with_streak(out, key, order, F.col(cue).isin("head_down", *side), "__off")
+    out = with_streak(out, key, order, F.col(cue).isin(*side), "__side")
+    trail = Window.partitionBy(*key).orderBy(time).rangeBetween(-window + 1, 0)
+    count = lambda v: F.count(F.when(F.col(cue) == v, 1)).over(trail)
+    out = out.withColumns({"__n": F.count("*").over(trail), "__unc": count("uncertain"), "__on": count("screen_oriented"), "__first": F.min(time).over(Window.partitionBy(*key))})
+    rest = F.col("__n") - F.col("__unc")
+    state = (
+        F.when(F.col(time) - F.col("__first") < history, "unknown")
+        .when(F.col(cue) == "phone_use", "phone_use_alert")
+        .when((F.col("__down") >= down) | (F.col("__off") >= down), "off_task_cue")
+        .when(F.col("__side") >= aside, "possible_distraction")
+        .when(F.col("__unc") / F.col("__n") > most_uncertain, "unknown")
+        .when((rest > 0) & (F.try_divide(F.col("__on"), rest) >= majority), "on_task")
+        .otherwise("possible_distraction")
+    )
+    return out.withColumn("state", state).drop("__down", "__off", "__side", "__n", "__unc", "__on", "__first")
+
+
 def with_chunks(df: DataFrame, key: list[str], time: list[str], max_gap: int, max_rows: int, min_rows: int) -> DataFrame:
     """Adds part (numbered by gaps over max_gap) and chunk (at most max_rows rows of a part); chunks under min_rows rows go."""
     w = ordered(key, time)

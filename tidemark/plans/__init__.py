@@ -1 +1,3 @@
-"""Registered queries."""
+"""Queries over the given tables."""
+
+from . import queries, cue_queries  # noqa: F401, I001

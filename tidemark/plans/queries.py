@@ -16,33 +16,15 @@ from ..operators import detection, folds, joins, metrics, resample, sampling, ti
 from ..operators import episodes as E
 from ..sources import jsonl
 from ..streaming import stateful
+from .base import DAY, HOUR, QUERIES, SQL, query, table  # noqa: F401
 
-HOUR = 3_600_000_000
-DAY = 24 * HOUR
 CUES = ["click", "error", "purchase", "signup", "view"]
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-
 EV = "ev AS (SELECT event_id, epoch_us(ts) AS us, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
 EPISODES = f"""{EV}, s AS (
   SELECT *, lag(us) OVER w AS pt, lag(act) OVER w AS pa, max(CASE WHEN act THEN us END) OVER (PARTITION BY user_id, channel ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lst
