@@ -66,8 +66,7 @@ def test_greedy_matching(spark):
         want = set()
         for k in range(6):
             used_g, used_p = set(), set()
-            sign = 1 if small else -1
-            for _, g, p, o in sorted((x for x in pairs if x[0] == k), key=lambda x: (-x[3], sign * x[1], sign * x[2])):
+            for _, g, p, o in sorted((x for x in pairs if x[0] == k), key=lambda x: (-x[3], x[2], x[1]) if small else (-x[3], -x[1], -x[2])):
                 if g not in used_g and p not in used_p:
                     used_g.add(g)
                     used_p.add(p)

@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 
 def keep_by_stride(df: DataFrame, key: list[str], time: str, state: str, stride: int) -> DataFrame:
-    """(key, time, state) of the rows kept: the state differs from the row before, or stride has passed since the last kept one."""
-    item = F.struct(F.col(time).alias("t"), F.col(state).alias("s"))
-    kinds = {n: t for n, t in df.dtypes}
-    zero = F.expr(f"named_struct('last', cast(null AS {kinds[time]}), 'prev', cast(null AS {kinds[state]}), 'kept', cast(array() AS array<struct<t:{kinds[time]},s:{kinds[state]}>>))")
+    """(key, time, state) of the rows kept: the state differs from the row before, or stride has passed since the last kept one.
 
-    def step(acc, x):
-        keep = acc["last"].isNull() | ~acc["prev"].eqNullSafe(x["s"]) | (x["t"] - acc["last"] >= stride)
-        return F.struct(F.when(keep, x["t"]).otherwise(acc["last"]).alias("last"), x["s"].alias("prev"), F.when(keep, F.array_append(acc["kept"], x)).otherwise(acc["kept"]).alias("kept"))
+    A change of state always keeps a row, so each run of one state is a fold of its own over its times.
+    """
+    from .timeline import with_runs
 
-    folded = df.groupBy(*key).agg(F.aggregate(F.array_sort(F.collect_list(item)), zero, step, lambda a: a["kept"]).alias("kept"))
-    return folded.select(*key, F.inline("kept")).select(*key, F.col("t").alias(time), F.col("s").alias(state))
+    kind = dict(df.dtypes)[time]
+    runs = with_runs(df.select(*key, time, state), key, [time, state], state).groupBy(*key, "run", state).agg(F.array_sort(F.collect_list(time)).alias("__ts"))
+    empty = F.expr(f"array_repeat(cast(0 AS {kind}), 0)")
+    kept = F.aggregate("__ts", empty, lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= stride), F.array_append(acc, t)).otherwise(acc))
+    return runs.select(*key, F.explode(kept).alias(time), state)
 
 
 def keep_by_hash(df: DataFrame, key: list[str], order: str, hash_col: str, least: int) -> DataFrame:

@@ -70,3 +70,9 @@ def fill_from(rows: DataFrame, source: DataFrame, key: list[str], columns: list[
     """rows with nulls in some columns filled from the source's row of the same key."""
     other = source.select(*key, *[F.col(c).alias(f"__{c}") for c in columns])
     return rows.join(other, key, "left").withColumns({c: F.coalesce(c, f"__{c}") for c in columns}).drop(*[f"__{c}" for c in columns])
+
+
+def paired(a: DataFrame, b: DataFrame, key: list[str], value: str) -> DataFrame:
+    """(key, a, b, delta): two runs' values of equal keys, such as configuration and seed; keys of one run alone are left out."""
+    left, right = a.select(*key, F.col(value).alias("a")), b.select(*key, F.col(value).alias("b"))
+    return left.join(right, key).withColumn("delta", F.col("a") - F.col("b"))

@@ -109,3 +109,34 @@ def interpolated(df: DataFrame, key: list[str], step: str, value: str, max_gap:
 def best_rows(df: DataFrame, key: list[str], order: list[Column], most: int) -> DataFrame:
     """The first rows of each key; the limit is pushed below the shuffle by the optimizer."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("rank") <= most)
+
+
+def numbered_samples(parts: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Adds sample, a number from 0 in the order of a key's parts."""
+    return parts.withColumn("sample", F.row_number().over(ordered(key, order)) - 1)
+
+
+def with_mode_filter(df: DataFrame, key: list[str], time: list[str], label: str, width: int, name: str = "smooth") -> DataFrame:
+    """Adds the most frequent label (of equal ones the smallest) among width rows around each row; a key's ends are repeated."""
+    half = width // 2
+    w = ordered(key, time)
+    whole = Window.partitionBy(*key)
+    around = df.withColumns({"__near": F.collect_list(label).over(w.rowsBetween(-half, half)), "__at": F.row_number().over(w), "__n": F.count("*").over(whole)})
+    before = F.greatest(half + 1 - F.col("__at"), F.lit(0)).cast("int")
+    after = F.greatest(F.col("__at") + half - F.col("__n"), F.lit(0)).cast("int")
+    padded = F.concat(F.array_repeat(F.element_at("__near", 1), before), F.col("__near"), F.array_repeat(F.element_at("__near", -1), after))
+    votes = F.transform(F.array_distinct(padded), lambda v: F.struct((-F.size(F.filter(padded, lambda x: x == v))).alias("o"), v.alias("v")))
+    return around.withColumn(name, F.array_min(votes)["v"]).drop("__near", "__at", "__n")
+
+
+def oversampled(df: DataFrame, times: int) -> DataFrame:
+    """Each row so many times, with copy counting from 0: a timeline at a higher rate. where("copy = 0") reads it back."""
+    return df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+
+
+def causal_windows(df: DataFrame, key: list[str], time: list[str], value: str, size: int, every: int) -> DataFrame:
+    """The rows at positions 0, every, 2 * every, ... of each key that have size rows up to and with them, and these rows' values as
+    window."""
+    w = ordered(key, time)
+    each = df.withColumns({"__at": F.row_number().over(w), "window": F.collect_list(value).over(w.rowsBetween(-(size - 1), 0))})
+    return each.where((F.col("__at") >= size) & ((F.col("__at") - 1) % every == 0)).drop("__at")

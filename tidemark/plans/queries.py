@@ -338,23 +338,33 @@ def interval_overlaps(spark, d):
     return E.overlapping(ep.where("channel = 'error'"), ep.where("channel = 'click'"), ["user_id"], 0.1, 5 * DAY).select("user_id", "g_id", "p_id", F.round("tiou", 6).alias("tiou"))
 
 
-@query()
+_ONE = "list_reduce({items}, lambda acc, x: CASE WHEN len(list_filter(acc, lambda a: a.g = x[1].g OR a.p = x[1].p)) > 0 THEN acc ELSE list_concat(acc, x) END)"
+
+
+@query(f"""WITH {EPISODES}, c AS (SELECT g.user_id, CAST(g.episode AS BIGINT) AS g, CAST(p.episode AS BIGINT) AS p, (least(g.t_end, p.t_end) - greatest(g.t_start, p.t_start)) / CAST(greatest(g.t_end, p.t_end) - least(g.t_start, p.t_start) AS DOUBLE) AS o
+  FROM ep g JOIN ep p ON g.user_id = p.user_id AND g.channel = 'error' AND p.channel = 'click' AND least(g.t_end, p.t_end) >= greatest(g.t_start, p.t_start)
+), m AS (SELECT user_id, unnest({_ONE.format(items="list([{'g': g, 'p': p, 'o': o}] ORDER BY o DESC, g DESC, p DESC)")}) AS m FROM c WHERE o >= 0.05 GROUP BY 1)
+SELECT user_id, m.g AS g_id, m.p AS p_id, round(m.o, 6) AS tiou FROM m""")
 def episode_matching(spark, d):
-    """Greedy one-to-one matches; a fold, so its test is by brute force."""
+    """Greedy one-to-one matches."""
     ep = _episodes(spark, d, "error", "click").withColumnRenamed("episode", "id")
     pairs = E.overlapping(ep.where("channel = 'error'"), ep.where("channel = 'click'"), ["user_id"], 0.05, 5 * DAY)
     return E.greedy_matches(pairs, ["user_id"]).withColumn("tiou", F.round("tiou", 6))
 
 
-@query()
+_SEQ = "{name} AS (SELECT user_id, string_agg(chr(CAST(65 + {col} AS INTEGER)), '' ORDER BY us, event_id) AS {name} FROM (SELECT *, lag({col}) OVER (PARTITION BY user_id ORDER BY us, event_id) AS b FROM x) WHERE b IS NULL OR b <> {col} GROUP BY 1)"
+
+
+@query(f"{_YP}, {_SEQ.format(name='sy', col='y')}, {_SEQ.format(name='sp', col='p')} SELECT user_id, round(100.0 * (1 - levenshtein(sy, sp) / CAST(greatest(length(sy), length(sp)) AS DOUBLE)), 6) AS edit FROM sy JOIN sp USING (user_id)")
 def edit_scores(spark, d):
-    """Edit score of two run sequences; its test is by brute force."""
-    return E.edit_score(_predicted(spark, d), ["user_id"], ["us", "event_id"], "y", "p").withColumn("edit", F.round("edit", 6))
+    """Edit score of two run sequences."""
+    return E.edit_score(_predicted(spark, d), ["user_id"], ["us", "event_id"], "y", "p").select("user_id", F.round("edit", 6).alias("edit"))
 
 
-@query()
+@query(f"""WITH {RUNS}, k AS (SELECT user_id, event_type, unnest(list_reduce(list([us] ORDER BY us, event_id), lambda acc, x: CASE WHEN x[1] - acc[-1] >= {2 * DAY} THEN list_concat(acc, x) ELSE acc END)) AS us FROM r GROUP BY user_id, run, event_type)
+SELECT user_id, us, event_type FROM k""")
 def stride_dedup(spark, d):
-    """Rows kept by state change or stride; a fold, so its test is by brute force."""
+    """Rows kept by state change or stride."""
     return folds.keep_by_stride(events(spark, d), ["user_id"], "us", "event_type", 2 * DAY)
 
 
@@ -425,9 +435,13 @@ def box_overlaps(spark, d):
     return both.groupBy("acls").agg(F.round(F.avg(iof(a, b)), 6).alias("iof"), F.round(F.avg(giou(a, b)), 6).alias("giou"), F.round(F.avg(iou_closed(a, b)), 6).alias("closed"))
 
 
-@query()
+_HIT = "greatest(least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1), 0) * greatest(least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1), 0)".format(a="a", b="x[1]")
+
+
+@query(f"""WITH b AS ({_sql_boxes('a', 0)}), k AS (SELECT frame, unnest(list_reduce(list([{{'id': aid, 'x1': CAST(ax1 AS DOUBLE), 'y1': CAST(ay1 AS DOUBLE), 'x2': CAST(ax2 AS DOUBLE), 'y2': CAST(ay2 AS DOUBLE)}}] ORDER BY ascore DESC, aid), lambda acc, x:
+  CASE WHEN len(list_filter(acc, lambda a: {_HIT} / ((a.x2 - a.x1) * (a.y2 - a.y1) + (x[1].x2 - x[1].x1) * (x[1].y2 - x[1].y1) - {_HIT}) > 0.3)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS k FROM b GROUP BY 1) SELECT frame, k.id AS aid FROM k""")
 def suppression(spark, d):
-    """Boxes left by non-maximum suppression; a fold, so its test is by brute force."""
+    """Boxes left by non-maximum suppression."""
     return folds.suppress(_boxes(spark, d, "a", 0), ["frame"], "ascore", "aid", "ax1", "ay1", "ax2", "ay2", 0.3)
 
 
@@ -487,7 +501,7 @@ def majority_cap(spark, d):
     return sampling.majority_cap(table(spark, d, "documents").select("doc_id", "lang"), "lang", "en", ["doc_id"], 0.4)
 
 
-@query("""WITH c AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS top, count(*) AS bottom, row_number() OVER (ORDER BY user_id) - 1 AS i FROM events GROUP BY 1
+@query("""WITH c AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS top, count(*) AS bottom, row_number() OVER (ORDER BY substr(md5(CAST(user_id AS VARCHAR)), 1, 3), user_id) - 1 AS i FROM events GROUP BY 1
 ), n AS (SELECT count(*) AS n FROM c), dr AS (SELECT id // n AS rep, CAST('0x' || substr(md5('0|' || CAST(id AS VARCHAR)), 1, 8) AS BIGINT) % n AS i FROM n, (SELECT unnest(range(200 * (SELECT n FROM n))) AS id)
 ), s AS (SELECT rep, sum(top) / CAST(sum(bottom) AS DOUBLE) AS s FROM dr JOIN c USING (i) GROUP BY 1)
 SELECT round((SELECT sum(top) / CAST(sum(bottom) AS DOUBLE) FROM c), 6) AS estimate, round(quantile_cont(s, 0.025), 6) AS low, round(quantile_cont(s, 0.975), 6) AS high FROM s""")
@@ -513,9 +527,10 @@ def stream_alerts(spark, d):
     return stateful.run_to_end(stateful.dwell_alerts(event_stream(spark, d), "user_id", "us", "event_id", "event_type", ["error", "click"], HOUR))
 
 
-@query()
+@query(f"""WITH {EV}, k AS (SELECT user_id, unnest(list_reduce(list([{{'i': event_id, 'u': us}}] ORDER BY event_id), lambda acc, x: CASE WHEN x[1].u < acc[-1].u OR x[1].u - acc[-1].u >= {DAY} THEN list_concat(acc, x) ELSE acc END)) AS k FROM ev GROUP BY 1)
+SELECT user_id, k.i AS event_id, k.u AS us FROM k""")
 def stream_admission(spark, d):
-    """Rows admitted at a matched rate; a fold, so its test is by brute force."""
+    """Rows admitted at a matched rate."""
     return stateful.run_to_end(stateful.admit_by_rate(event_stream(spark, d), "user_id", "us", "event_id", DAY))
 
 
