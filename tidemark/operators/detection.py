@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, iou
+from .metrics import running_sums
+
+#: Points of a curve in one window.
+BLOCK = 1 << 16
 
 
 def true_positives(dets: DataFrame, truth: DataFrame, key: list[str], box_d: Box, box_t: Box, least: float) -> DataFrame:
@@ -17,17 +21,31 @@ def true_positives(dets: DataFrame, truth: DataFrame, key: list[str], box_d: Box
     return dets.join(first, [*key, "det"], "left").withColumn("tp", F.coalesce("tp", F.lit(False)))
 
 
-def detection_ap(marked: DataFrame, by: list[str], truths: DataFrame) -> DataFrame:
-    """Area under the monotone precision-recall curve, by class. truths: (by, n_gt). Equal scores go by det.
-
-    The curve's points of one class are ordered in one window.
-    """
-    w = Window.partitionBy(*by).orderBy(F.desc("score"), "key_order", "det")
-    run = marked.withColumns({"tps": F.sum(F.col("tp").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)), "rank": F.row_number().over(w)})
-    points = run.join(F.broadcast(truths), by).select(*by, "rank", "tp", (F.col("tps") / F.col("rank")).alias("precision"), "n_gt")
-    later = Window.partitionBy(*by).orderBy(F.desc("rank"))
-    env = points.withColumn("envelope", F.max("precision").over(later))
-    return env.groupBy(*by).agg((F.sum(F.when(F.col("tp"), F.col("envelope")).otherwise(0.0)) / F.max("n_gt")).alias("ap"))
+def detection_ap(marked: DataFrame, by: list[str], truths: DataFrame, points: int | None = None) -> DataFrame:
+    """Average precision by class: the area under the monotone precision-recall curve or, with points, the mean of its height at so many
+    recalls from 0 to 1 (11 as a rule). truths: (by, n_gt). Equal scores go by det. A class without truth has none."""
+    rows = marked.select(*by, "key_order", "det", "tp", (-F.col("score")).alias("__down"))
+    run = running_sums(rows, by, "__down", ["key_order", "det"], {"tps": F.col("tp").cast("long"), "rank": F.lit(1)})
+    # equal counts of true positives make one point: the best precision there
+    curve = run.groupBy(*by, "tps").agg(F.max(F.col("tps") / F.col("rank")).alias("precision"), F.min("rank").alias("rank"))
+    env = suffix_max(curve, by, "tps", "precision").join(truths, by)
+    if points is None:
+        return env.where("tps > 0").groupBy(*by).agg((F.sum("envelope") / F.max("n_gt")).alias("ap"))
+    # the first point that reaches a recall has the envelope there
+    at = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
+    need = env.select(*by, "tps", "envelope", "n_gt", at.alias("i")).where(F.col("tps") * (points - 1) >= F.col("i") * F.col("n_gt"))
+    return need.groupBy(*by, "i").agg(F.max("envelope").alias("h")).groupBy(*by).agg((F.sum("h") / points).alias("ap"))
+
+
+def suffix_max(df: DataFrame, by: list[str], order: str, value: str, name: str = "envelope") -> DataFrame:
+    """Adds the largest value among the rows of the group whose order (a whole number from 0) is at least the row's. Rows are taken in
+    blocks of BLOCK; only one row a block meets in the window of the blocks."""
+    cut = df.withColumn("__block", F.floor(F.col(order) / BLOCK))
+    blocks = cut.groupBy(*by, "__block").agg(F.max(value).alias("__top"))
+    w = Window.partitionBy(*by).orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)
+    later = blocks.select(*by, "__block", F.max("__top").over(w).alias("__later"))
+    own = F.max(value).over(Window.partitionBy(*by, "__block").orderBy(F.desc(order)))
+    return cut.withColumn("__own", own).join(later, [*by, "__block"]).withColumn(name, F.greatest("__own", "__later")).drop("__block", "__own", "__later")
 
 
 def class_areas(df: DataFrame, truth: str, pred: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,26 +57,136 @@ def weighted_kappa(cm: DataFrame, k: int) -> DataFrame:
     return seen.join(F.broadcast(by_chance), F.lit(True)).select((1 - F.col("o") / (F.col("e") / F.col("n"))).alias("qwk"))
 
 
-def auroc(df: DataFrame, by: list[str], score: str, positive: str) -> DataFrame:
-    """Area under the ROC curve by mean ranks, by group; null where one class is absent.
+#: Parts that the range of a score is cut into, so that ranks and running sums of one class are not the work of one task.
+PARTS = 1024
+
+
+def running_sums(df: DataFrame, by: list[str], order: str, tie: list[str], sums: dict[str, Column]) -> DataFrame:
+    """df with, for each name, the sum of a column over the rows of its group up to and with this one, by (order, tie).
 
-    Rows of equal scores are first counted together, so no window holds single rows.
+    The range of order (a number, not null) is cut into PARTS parts of equal width: each part has a window of its own, and only one
+    row a part meets in the window of the parts' totals.
     """
-    ties = df.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(F.col(positive).cast("long")).alias("pos"))
-    w = Window.partitionBy(*by).orderBy(score)
-    ranked = ties.withColumn("rank", F.sum("n").over(w) - F.col("n") + (F.col("n") + 1) / 2)
+    ends = df.groupBy(*by).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
+    wide = df.join(ends, by) if by else df.join(F.broadcast(ends), F.lit(True))
+    share = (F.col(order) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
+    parted = wide.withColumn("__part", F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor(share * PARTS), F.lit(PARTS - 1))).otherwise(0).cast("int")).drop("__lo", "__hi")
+    key = [*by, "__part"]
+    totals = parted.groupBy(*key).agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    whole = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__part")
+    before = totals.select(*key, *[(F.sum(f"__{n}").over(whole) - F.col(f"__{n}")).alias(f"__{n}") for n in sums])
+    w = Window.partitionBy(*key).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
+    local = parted.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
+    return local.join(before, key).withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__part", *[f"__{n}" for n in sums])
+
+
+def mean_ranks(df: DataFrame, by: list[str], value: str, *counts: Column) -> DataFrame:
+    """(by, value, n, rank, counts...): the mean rank from 1 of each distinct value, and aggregates of its rows."""
+    ties = df.groupBy(*by, value).agg(F.count("*").alias("n"), *counts)
+    return running_sums(ties, by, value, [], {"__upto": F.col("n")}).withColumn("rank", F.col("__upto") - F.col("n") + (F.col("n") + 1) / 2).drop("__upto")
+
+
+def auroc(df: DataFrame, by: list[str], score: str, positive: str) -> DataFrame:
+    """Area under the ROC curve by mean ranks, by group; null where one class is absent. Rows of equal scores are counted together."""
+    ranked = mean_ranks(df, by, score, F.sum(F.col(positive).cast("long")).alias("pos"))
     s = ranked.groupBy(*by).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     return s.select(*by, F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auroc"))
 
 
 def average_precision(df: DataFrame, by: list[str], score: str, positive: str, tie: str) -> DataFrame:
     """Step-wise average precision; equal scores keep the order of tie. Null where nothing is positive."""
-    w = Window.partitionBy(*by).orderBy(F.desc(score), tie)
-    hit = F.col(positive).cast("long")
-    run = df.withColumn("__hit", hit).withColumns({"__tp": F.sum("__hit").over(w.rowsBetween(Window.unboundedPreceding, 0)), "__rank": F.row_number().over(w)})
+    rows = df.select(*by, (-F.col(score)).alias("__down"), tie, F.col(positive).cast("long").alias("__hit"))
+    run = running_sums(rows, by, "__down", [tie], {"__tp": F.col("__hit"), "__rank": F.lit(1)})
     return run.groupBy(*by).agg(F.try_divide(F.sum(F.when(F.col("__hit") == 1, F.col("__tp") / F.col("__rank"))), F.sum("__hit")).alias("average_precision"))
 
 
+def class_ranking(df: DataFrame, probs: str, truth: str, tie: str) -> DataFrame:
+    """(cls, auroc, average_precision) of each class's probability against all others; null where a class is absent or universal."""
+    each = df.select(truth, tie, F.posexplode(probs).alias("cls", "score")).withColumn("pos", F.col(truth) == F.col("cls"))
+    ap = average_precision(each, ["cls"], "score", "pos", tie)
+    both = auroc(each, ["cls"], "score", "pos").join(ap, "cls")
+    return both.select("cls", "auroc", F.when(F.col("auroc").isNotNull(), F.col("average_precision")).alias("average_precision"))
+
+
+def classwise_calibration(df: DataFrame, probs: str, truth: str, bins: int = 15) -> DataFrame:
+    """(cls, ece) of each class's probability against its frequency, right-closed bins; cls null: the mean of the classes."""
+    each = df.select(truth, F.posexplode(probs).alias("cls", "score")).withColumn("right", (F.col(truth) == F.col("cls")).cast("double"))
+    at = F.least(F.greatest(F.ceil(F.col("score") * bins) - 1, F.lit(0)), F.lit(bins - 1))
+    binned = each.groupBy("cls", at.alias("bin")).agg(F.count("*").alias("n"), F.avg("score").alias("c"), F.avg("right").alias("a"))
+    one = binned.groupBy("cls").agg((F.sum(F.col("n") * F.abs(F.col("a") - F.col("c"))) / F.sum("n")).alias("ece"))
+    return one.unionByName(one.agg(F.lit(None).cast("int").alias("cls"), F.avg("ece").alias("ece")))
+
+
+def probability_losses(df: DataFrame, probs: str, truth: str) -> DataFrame:
+    """(brier, nll): the mean squared distance of the probabilities from the true class (0 to 2), and the mean negative log of its
+    probability, at least 1e-12."""
+    square = F.aggregate(F.transform(probs, lambda p, i: F.pow(p - (i == F.col(truth)).cast("double"), 2)), F.lit(0.0), lambda a, x: a + x)
+    own = F.get(probs, F.col(truth).cast("int"))
+    return df.agg(F.avg(square).alias("brier"), F.avg(-F.log(F.least(F.greatest(own, F.lit(1e-12)), F.lit(1.0)))).alias("nll"))
+
+
+def frame_metrics(df: DataFrame, probs: str, truth: str, tie: str, k: int) -> DataFrame:
+    """(metric, value): accuracy and F1 scores of the top class, losses, calibration errors and mean ranking scores of rows with class
+    probabilities. A negative or null label is an error."""
+    bad = F.col(truth).isNull() | (F.col(truth) < 0) | (F.col(truth) >= k)
+    checked = df.withColumn(truth, F.when(bad, F.raise_error(F.lit("label out of range")).cast("int")).otherwise(F.col(truth)))
+    top = F.array_max(probs)
+    rows = checked.select(probs, truth, tie, (F.array_position(probs, top) - 1).alias("__pred"), top.alias("__conf")).withColumn("__right", F.col("__pred") == F.col(truth))
+    scores = summary(confusion(rows, truth, "__pred", k), k)
+    losses = probability_losses(rows, probs, truth)
+    ece = calibration_error(reliability(rows, "__conf", "__right"))
+    macro_ece = classwise_calibration(rows, probs, truth).where("cls IS NULL").select(F.col("ece").alias("classwise_ece"))
+    ranks = class_ranking(rows, probs, truth, tie).agg(F.avg("auroc").alias("macro_auroc"), F.avg("average_precision").alias("macro_auprc"))
+    out = None
+    for part in (scores, losses, ece, macro_ece, ranks):
+        long = part.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in part.columns])))
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
+def risk_curve(df: DataFrame, probs: str, truth: str, k: int, abstain: int, thresholds: int = 50) -> DataFrame:
+    """(threshold, coverage, selective_error, selective_macro_f1, abstain_accuracy, abstain_macro_f1) at 0, 1/thresholds, ...
+
+    Selective scores are over the rows whose top probability reaches the threshold; for abstain scores the others are called the
+    abstain class. Rows are first counted by (level, truth, prediction), so the curve costs one pass over them.
+    """
+    top = F.array_max(probs)
+    level = F.least(F.floor(F.round(top * thresholds, 9)), F.lit(thresholds - 1)).cast("int")
+    counts = df.groupBy(level.alias("level"), F.col(truth).cast("long").alias("t"), (F.array_position(probs, top) - 1).alias("p")).agg(F.count("*").alias("n"))
+    grid = df.sparkSession.range(thresholds).select(F.col("id").cast("int").alias("at"))
+    # at most thresholds * k * k counts meet the grid
+    seen = counts.join(F.broadcast(grid), F.lit(True)).withColumn("kept", F.col("level") >= F.col("at"))
+    kept = _f1_by(seen.where("kept"), "at", F.col("p"))
+    all_rows = _f1_by(seen, "at", F.when(F.col("kept"), F.col("p")).otherwise(F.lit(abstain)))
+    both = all_rows.join(kept.toDF("at", "kn", "kacc", "kf1"), "at", "left")
+    return both.select((F.col("at") / thresholds).alias("threshold"), (F.coalesce("kn", F.lit(0)) / F.col("n")).alias("coverage"), (1 - F.col("kacc")).alias("selective_error"), F.col("kf1").alias("selective_macro_f1"), F.col("acc").alias("abstain_accuracy"), F.col("f1").alias("abstain_macro_f1"))
+
+
+def _f1_by(counts: DataFrame, by: str, pred: Column) -> DataFrame:
+    """(by, n, acc, f1) of counts(by, t, n) with a prediction: accuracy, and F1 averaged over the classes that are there."""
+    c = counts.select(by, "t", pred.alias("p"), "n")
+    each = c.select(by, F.col("t").alias("c"), F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0).alias("tp"), F.col("n").alias("s"), F.lit(0).cast("long").alias("q")).unionAll(c.select(by, "p", F.lit(0).cast("long"), F.lit(0).cast("long"), "n"))
+    s = each.groupBy(by, "c").agg(*[F.sum(x).alias(x) for x in ("tp", "s", "q")])
+    f1 = F.when(F.col("tp") > 0, 2 * F.col("tp") / (F.col("s") + F.col("q"))).otherwise(F.lit(0.0))
+    return s.groupBy(by).agg(F.sum("s").alias("n"), (F.sum("tp") / F.sum("s")).alias("acc"), F.avg(F.when(F.col("s") > 0, f1)).alias("f1"))
+
+
+def area_under_risk(curve: DataFrame) -> DataFrame:
+    """(aurc): the trapezoid under selective error by coverage, over the covered range; points without an error are left out."""
+    w = Window.partitionBy(F.lit(0)).orderBy("coverage", "threshold")  # one row a threshold
+    p = curve.where("selective_error IS NOT NULL").select("coverage", "selective_error", F.lag("coverage").over(w).alias("c0"), F.lag("selective_error").over(w).alias("e0"))
+    area = F.sum((F.col("coverage") - F.col("c0")) * (F.col("selective_error") + F.col("e0")) / 2)
+    return p.agg((area / F.greatest(F.max("coverage") - F.min("coverage"), F.lit(1e-9))).alias("aurc"))
+
+
+def choose_thresholds(curve: DataFrame, coverage: float = 0.9, accuracy: float = 0.85, disabled: float = 1.01) -> DataFrame:
+    """(display, alert): the highest threshold that still covers so much, and the lowest whose kept rows are right so often; alerts are
+    disabled if there is none."""
+    display = F.max(F.when(F.col("coverage") >= coverage, F.col("threshold")))
+    alert = F.min(F.when(1 - F.col("selective_error") >= accuracy, F.col("threshold")))
+    return curve.agg(display.alias("display"), F.coalesce(alert, F.lit(disabled)).alias("alert"))
+
+
 def reliability(df: DataFrame, confidence: str, right: str, bins: int = 15, right_closed: bool = True) -> DataFrame:
     """(bin, n, confidence, accuracy) of bins of equal width: right-closed with 0 in the first, or left-closed with 1 in the last."""
     at = F.ceil(F.col(confidence) * bins) - 1 if right_closed else F.floor(F.col(confidence) * bins)
@@ -100,12 +210,38 @@ def coverage_risk(df: DataFrame, confidence: str, right: str, thresholds: int =
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Correlation of mean ranks, by group; partitions hold one group's rows."""
-    def ranks(c):
-        w = Window.partitionBy(*by)
-        return F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
-
-    return df.select(*by, ranks(x).alias("rx"), ranks(y).alias("ry")).groupBy(*by).agg(F.corr("rx", "ry").alias("spearman"))
+    """Correlation of mean ranks, by group."""
+    pairs = df.groupBy(*by, x, y).agg(F.count("*").alias("__w"))
+    rank = lambda c, name: mean_ranks(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), by, c).select(*by, c, F.col("rank").alias(name))
+    both = pairs.join(rank(x, "rx"), [*by, x]).join(rank(y, "ry"), [*by, y])
+    w = F.col("__w")
+    s = both.groupBy(*by).agg(F.sum(w).alias("n"), F.sum(w * F.col("rx")).alias("sx"), F.sum(w * F.col("ry")).alias("sy"), F.sum(w * F.col("rx") * F.col("ry")).alias("sxy"), F.sum(w * F.col("rx") * F.col("rx")).alias("sxx"), F.sum(w * F.col("ry") * F.col("ry")).alias("syy"))
+    top = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+    side = lambda a, b: F.col(b) - F.col(a) * F.col(a) / F.col("n")
+    return s.select(*by, F.try_divide(top, F.sqrt(side("sx", "sxx") * side("sy", "syy"))).alias("spearman"))
+
+
+def spearman_ordinal(df: DataFrame, by: list[str], x: str, y: str, tie: str) -> DataFrame:
+    """Correlation of ranks without ties, by group: equal values go by tie."""
+    one = running_sums(df.select(*by, x, y, tie), by, x, [tie], {"rx": F.lit(1)})
+    two = running_sums(one, by, y, [tie], {"ry": F.lit(1)})
+    return two.groupBy(*by).agg(F.corr("rx", "ry").alias("spearman"))
+
+
+def ordinal_scores(df: DataFrame, truth: str, pred: str, k: int) -> DataFrame:
+    """One row of ordinal scores of two level ids: n, accuracy, average_accuracy, macro_f1, mae, qwk, spearman."""
+    cm = confusion(df, truth, pred, k)
+    s = summary(cm, k).select("accuracy", F.col("balanced_accuracy").alias("average_accuracy"), "macro_f1")
+    mae = df.agg(F.count("*").alias("n"), F.avg(F.abs(F.col(truth) - F.col(pred))).alias("mae"))
+    return mae.join(F.broadcast(s), F.lit(True)).join(F.broadcast(weighted_kappa(cm, k)), F.lit(True)).join(F.broadcast(spearman(df, [], truth, pred)), F.lit(True))
+
+
+def flag_rates(df: DataFrame, flag: str, cls: str, high: str, low: str) -> DataFrame:
+    """(cls, n, rate, spread, contrast): the flag's rate in each class, the largest less the smallest rate, and the rate of one class
+    less that of another."""
+    r = df.groupBy(cls).agg(F.count("*").alias("n"), F.avg(F.col(flag).cast("double")).alias("rate"))
+    whole = r.agg((F.max("rate") - F.min("rate")).alias("spread"), (F.max(F.when(F.col(cls) == high, F.col("rate"))) - F.max(F.when(F.col(cls) == low, F.col("rate")))).alias("contrast"))
+    return r.join(F.broadcast(whole), F.lit(True))
 
 
 def mutual_information(df: DataFrame, flag: str, cls: str) -> DataFrame:
