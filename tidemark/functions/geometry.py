@@ -67,3 +67,91 @@ def clip(b: Box, width: Column, height: Column) -> Box:
 def contains_centre(outer: Box, inner: Box) -> Column:
     cx, cy, _, _ = to_cxcywh(inner)
     return cx.between(outer[0], outer[2]) & cy.between(outer[1], outer[3])
+
+
+def int_box(b: Box) -> Box:
+    return tuple(v.cast("int") for v in b)
+
+
+def clip_inside(b: Box, width: int, height: int) -> Box:
+    """Whole corners inside the frame (the last pixel is width - 1)."""
+    inside = lambda v, hi: F.greatest(F.lit(0), F.least(v.cast("int"), F.lit(hi - 1)))
+    return inside(b[0], width), inside(b[1], height), inside(b[2], width), inside(b[3], height)
+
+
+def is_degenerate(b: Box) -> Column:
+    return (b[2] <= b[0]) | (b[3] <= b[1])
+
+
+def padded(b: Box, width: int, height: int, pad: float) -> Box:
+    """Whole corners of the box widened by a share of its sides on each side, inside the frame."""
+    px, py = (b[2] - b[0]) * pad, (b[3] - b[1]) * pad
+    low = lambda v: F.greatest(v, F.lit(0)).cast("int")
+    return low(b[0] - px), low(b[1] - py), F.least(b[2] + px, F.lit(width)).cast("int"), F.least(b[3] + py, F.lit(height)).cast("int")
+
+
+#: share of a person's box, from above, that a crop shows
+CROP_SHARE = {"person": 1.0, "upper_body": 0.65}
+
+
+def crop_box(b: Box, width: int, height: int, mode: str = "head_wide", head: float = 0.3, margin: float = 0.25) -> Box:
+    """A person's box cut to its upper part by mode, with a margin (a fifth more above), whole corners inside the frame."""
+    bottom = b[1] + CROP_SHARE.get(mode, head) * (b[3] - b[1])
+    px, py = (b[2] - b[0]) * margin, (bottom - b[1]) * margin
+    low = lambda v: F.greatest(v.cast("int"), F.lit(0))
+    return low(b[0] - px), low(b[1] - py * 1.2), F.least((b[2] + px).cast("int"), F.lit(width)), F.least((bottom + py).cast("int"), F.lit(height))
+
+
+def keypoint_box(points: Column, person: Box, width: int, height: int, confidence: float, head: list[int], shoulders: list[int], margin: float = 0.25, down: float = 1.5) -> Column:
+    """struct(x1, y1, x2, y2, head_kpts, head_span) around the sure ones of an array of points struct(x, y, c): the head's points and,
+    for context, the shoulders', widened aside and above, and down, but not below the person's box. Null without a head point."""
+    sure = lambda at: F.filter(F.array(*[F.get(points, F.lit(i)) for i in at]), lambda p: p["c"] >= confidence)
+    own = sure(head)
+    every = F.concat(own, sure(shoulders))
+    xs, ys = F.transform(every, lambda p: p["x"]), F.transform(every, lambda p: p["y"])
+    x1, x2, y1, y2 = F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys)
+    span = F.greatest(x2 - x1, y2 - y1)
+    unit = F.greatest(y2 - y1, span)
+    aside = (x2 - x1 + 1) * margin
+    bottom = F.least(y2 + unit * down, person[3])
+    low = lambda v: F.greatest(v.cast("int"), F.lit(0))
+    high = lambda v, most: F.least(v.cast("int"), F.lit(most))
+    found = F.struct(low(x1 - aside).alias("x1"), low(y1 - unit * margin * 1.6).alias("y1"), high(x2 + aside, width).alias("x2"), high(bottom, height).alias("y2"), F.size(own).alias("head_kpts"), span.alias("head_span"))
+    return F.when(F.size(own) > 0, found)
+
+
+def box_features(b: Box, width: int, height: int) -> dict[str, Column]:
+    """Centre, area and edges as shares of the frame, and the aspect ratio; sides are one pixel at least."""
+    w, h = F.greatest(b[2] - b[0], F.lit(1)), F.greatest(b[3] - b[1], F.lit(1))
+    return {
+        "cx": (b[0] + b[2]) / 2 / width, "cy": (b[1] + b[3]) / 2 / height, "area": w * h / F.lit(float(width * height)), "aspect": w / h,
+        "left": b[0] / width, "right": b[2] / width, "top": b[1] / height, "bottom": b[3] / height,
+    }
+
+
+def head_box(b: Box, width: int, height: int, share: float = 0.3) -> Box:
+    """A square at the top of a person's box, in its middle, rounded, inside the frame."""
+    side = F.greatest(share * F.greatest(b[3] - b[1], F.lit(1)), F.lit(8.0))
+    cx, cy = b[0] + F.greatest(b[2] - b[0], F.lit(1)) / 2, b[1] + side / 2
+    low = lambda v: F.bround(F.greatest(v, F.lit(0.0))).cast("int")
+    high = lambda v, most: F.bround(F.least(v, F.lit(float(most)))).cast("int")
+    return low(cx - side / 2), low(cy - side / 2), high(cx + side / 2, width), high(cy + side / 2, height)
+
+
+def plausible(b: Box, width: int, height: int, area_from: float, area_to: float, aspect_from: float, aspect_to: float) -> Column:
+    """The box's share of the frame and its aspect ratio are within bounds; sides are one pixel at least."""
+    f = box_features(b, width, height)
+    return f["area"].between(area_from, area_to) & f["aspect"].between(aspect_from, aspect_to)
+
+
+def flipped(b: Box, width: Column) -> Box:
+    return width - b[2], b[1], width - b[0], b[3]
+
+
+def scaled(b: Box, fx: Column, fy: Column) -> Box:
+    return b[0] * fx, b[1] * fy, b[2] * fx, b[3] * fy
+
+
+def distances(x: Column, y: Column, b: Box) -> Box:
+    """From a point to the left, top, right and bottom edge."""
+    return x - b[0], y - b[1], b[2] - x, b[3] - y

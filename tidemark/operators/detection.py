@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Box, iou
+from ..functions.geometry import Box, area, iou
 from .metrics import running_sums
 
 #: Points of a curve in one window.
 BLOCK = 1 << 16
 
 
-def true_positives(dets: DataFrame, truth: DataFrame, key: list[str], box_d: Box, box_t: Box, least: float) -> DataFrame:
+def true_positives(dets: DataFrame, truth: DataFrame, key: list[str], box_d: Box, box_t: Box, least: float, areas: tuple[float, float] | None = None) -> DataFrame:
     """dets(key, det, score, ...) with tp: its best ground truth (largest IoU, then smallest gt) overlaps by at least least and no
-    better-scored detection has taken it. A second-best ground truth is not tried."""
-    pairs = dets.join(truth, key).withColumn("iou", iou(box_d, box_t))
-    best = pairs.groupBy(*key, "det", "score").agg(F.max_by(F.struct("gt", "iou"), F.struct("iou", -F.col("gt"))).alias("m")).select(*key, "det", "score", "m.gt", "m.iou").where(F.col("iou") >= least)
-    first = best.withColumn("r", F.row_number().over(Window.partitionBy(*key, "gt").orderBy(F.desc("score"), "det"))).where("r = 1").select(*key, "det", F.lit(True).alias("tp"))
-    return dets.join(first, [*key, "det"], "left").withColumn("tp", F.coalesce("tp", F.lit(False)))
+    better-scored detection has taken it. A second-best ground truth is not tried.
+
+    With areas [from, to) also ignored: the best truth's area is outside, or no truth is matched and the detection's is.
+    """
+    pairs = dets.join(truth, key).withColumns({"iou": iou(box_d, box_t), "__out": (area(box_t) < areas[0]) | (area(box_t) >= areas[1]) if areas else F.lit(False)})
+    best = pairs.groupBy(*key, "det", "score").agg(F.max_by(F.struct("gt", "iou", "__out"), F.struct("iou", -F.col("gt"))).alias("m")).select(*key, "det", "score", "m.gt", "m.iou", "m.__out").where(F.col("iou") >= least)
+    ranked = best.withColumn("__first", F.row_number().over(Window.partitionBy(*key, "gt").orderBy(F.desc("score"), "det")) == 1)
+    out = dets.join(ranked.select(*key, "det", "__first", "__out"), [*key, "det"], "left").withColumn("tp", F.coalesce(F.col("__first") & ~F.col("__out"), F.lit(False)))
+    if areas:
+        outside = (area(box_d) < areas[0]) | (area(box_d) >= areas[1])
+        out = out.withColumn("ignored", F.coalesce("__out", outside))
+    return out.drop("__first", "__out")
 
 
 def detection_ap(marked: DataFrame, by: list[str], truths: DataFrame, points: int | None = None) -> DataFrame:
@@ -56,3 +63,115 @@ def class_areas(df: DataFrame, truth: str, pred: str) -> DataFrame:
     s = each.groupBy("cls").agg(F.sum("i").alias("i"), F.sum("t").alias("t"), F.sum("p").alias("p"))
     i, t, p = F.col("i"), F.col("t"), F.col("p")
     return s.select("cls", (i / (t + p - i)).alias("iou"), (2 * i / (t + p)).alias("dice"), F.try_divide(i, t).alias("accuracy"))
+
+
+def proposal_recall(pairs: DataFrame, truths: DataFrame, frame: str, gt: str, rank: str, iou: str, numbers: list[int], thresholds: list[float]) -> DataFrame:
+    """(number, threshold, recall) of the first so many proposals of each frame. Of a frame the best pair is taken again and again, and
+    its truth and proposal leave; pairs(frame, gt, rank from 1, iou) need to have only pairs that overlap.
+
+    The pairs of one frame fold in one array.
+    """
+    item = F.struct((-F.col(iou)).alias("o"), F.col(gt).cast("long").alias("g"), F.col(rank).cast("long").alias("p"))
+    each = pairs.withColumn("number", F.explode(F.array(*map(F.lit, numbers)))).where(F.col(rank) <= F.col("number"))
+    lists = each.groupBy("number", frame).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    zero = F.expr("cast(array() AS array<struct<o:double,g:bigint,p:bigint>>)")
+    step = lambda acc, x: F.when(F.exists(acc, lambda a: (a["g"] == x["g"]) | (a["p"] == x["p"])), acc).otherwise(F.array_append(acc, x))
+    taken = lists.select("number", F.explode(F.aggregate("items", zero, step)).alias("m")).select("number", (-F.col("m.o")).alias("iou"))
+    hits = taken.select("number", F.explode(F.filter(F.array(*map(F.lit, thresholds)), lambda t: t <= F.col("iou"))).alias("threshold")).groupBy("number", "threshold").agg(F.count("*").alias("hits"))
+    grid = truths.agg(F.count("*").alias("n")).select("n", F.explode(F.array(*map(F.lit, numbers))).alias("number")).select("n", "number", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
+    return grid.join(hits, ["number", "threshold"], "left").select("number", "threshold", F.try_divide(F.coalesce("hits", F.lit(0)), "n").alias("recall"))
+
+
+def recall_at_k(dets: DataFrame, truth: DataFrame, key: list[str], box_d: Box, box_t: Box, ks: list[int], least: float) -> DataFrame:
+    """(k, recall): the share of truths(key, gt) that one of the k best-scored detections of their key overlaps by at least least."""
+    ranked = dets.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "det"))).where(F.col("__r") <= max(ks))
+    first = ranked.join(truth, key).where(iou(box_d, box_t) >= least).groupBy(*key, "gt").agg(F.min("__r").alias("r"))
+    hits = first.select(F.explode(F.filter(F.array(*map(F.lit, ks)), lambda k: k >= F.col("r"))).alias("k")).groupBy("k").agg(F.count("*").alias("hits"))
+    grid = truth.agg(F.count("*").alias("n")).select("n", F.explode(F.array(*map(F.lit, ks))).alias("k"))
+    return grid.join(hits, "k", "left").select("k", F.try_divide(F.coalesce("hits", F.lit(0)), "n").alias("recall"))
+
+
+def one_to_one(dets: DataFrame, truth: DataFrame, key: list[str], box_d: Box, box_t: Box, least: float, thresholds: list[float], later_wins: bool = True) -> DataFrame:
+    """(threshold, key, tp): by score, each detection at or over the threshold takes the free truth that it overlaps most, if by at
+    least least; of equal overlaps the later truth (or the first). The detections of one key fold in one array."""
+    sign = -1 if later_wins else 1
+    pairs = dets.join(truth, key).withColumn("__iou", iou(box_d, box_t)).where(F.col("__iou") >= least)
+    offers = pairs.groupBy(*key, "det", "score").agg(F.array_sort(F.collect_list(F.struct((-F.col("__iou")).alias("o"), (F.col("gt") * sign).alias("g")))).alias("c"))
+    each = offers.withColumn("threshold", F.explode(F.filter(F.array(*map(F.lit, thresholds)), lambda t: t <= F.col("score"))))
+    ordered = each.groupBy("threshold", *key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).cast("double").alias("s"), F.col("det").alias("d"), "c"))).alias("ds"))
+
+    def take(used, x):
+        free = F.get(F.filter(x["c"], lambda c: ~F.array_contains(used, c["g"])), F.lit(0))
+        return F.when(free.isNotNull(), F.array_append(used, free["g"])).otherwise(used)
+
+    return ordered.select("threshold", *key, F.size(F.aggregate("ds", F.expr("array_repeat(cast(0 AS bigint), 0)"), take)).cast("long").alias("tp"))
+
+
+def threshold_sweep(dets: DataFrame, truth: DataFrame, key: list[str], box_d: Box, box_t: Box, thresholds: list[float], least: float = 0.5) -> DataFrame:
+    """(threshold, tp, fp, fn, precision, recall, f1, best) of one-to-one matches at each score threshold; best marks the first
+    threshold with the largest F1."""
+    tp = one_to_one(dets, truth, key, box_d, box_t, least, thresholds).groupBy("threshold").agg(F.sum("tp").alias("tp"))
+    n = dets.agg(*[F.count_if(F.col("score") >= t).alias(f"n{i}") for i, t in enumerate(thresholds)])
+    called = n.select(F.inline(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"n{i}").alias("called")) for i, t in enumerate(thresholds)])))
+    rows = called.join(F.broadcast(truth.agg(F.count("*").alias("n"))), F.lit(True)).join(tp, "threshold", "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
+    p, r = F.col("tp") / F.greatest("called", F.lit(1)), F.col("tp") / F.greatest("n", F.lit(1))
+    scored = rows.select("threshold", "tp", (F.col("called") - F.col("tp")).alias("fp"), (F.col("n") - F.col("tp")).alias("fn"), p.alias("precision"), r.alias("recall"), (2 * p * r / F.greatest(p + r, F.lit(1e-9))).alias("f1"))
+    first = scored.agg(F.max_by("threshold", F.struct("f1", -F.col("threshold"))).alias("__t"))
+    return scored.join(F.broadcast(first), F.lit(True)).withColumn("best", F.col("threshold") == F.col("__t")).drop("__t")
+
+
+def mean_ap(dets: DataFrame, truth: DataFrame, frame: str, cls: str, box_d: Box, box_t: Box, thresholds: list[float], ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """(threshold, range, cls, n_gt, ap): average precision at several overlaps and, if given, ranges [from, to) of the truth's area.
+    Truths outside the range are ignored: what they match, and free detections outside it, count neither way. cls null: the mean."""
+    out = None
+    for name, (lo, hi) in (ranges or {"all": (0.0, float("inf"))}).items():
+        for t in thresholds:
+            marked = true_positives(dets, truth, [frame, cls], box_d, box_t, t, (lo, hi)).withColumn("key_order", F.col(frame))
+            inside = truth.where((area(box_t) >= lo) & (area(box_t) < hi)).groupBy(cls).agg(F.count("*").alias("n_gt"))
+            ap = detection_ap(marked.where("NOT ignored"), [cls], inside)
+            one = inside.join(ap, cls, "left").select(F.lit(t).alias("threshold"), F.lit(name).alias("range"), cls, "n_gt", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+            out = one if out is None else out.unionByName(one)
+    mean = out.groupBy("threshold", "range").agg(F.lit(None).cast(dict(out.dtypes)[cls]).alias(cls), F.sum("n_gt").alias("n_gt"), F.avg("ap").alias("ap"))
+    return out.unionByName(mean)
+
+
+def retrieval(queries: DataFrame, gallery: DataFrame, ident: str, row: str, vector: str, ranks: list[int]) -> DataFrame:
+    """(n, mean_ap, cmc_<rank>...): squared distances of each query to all gallery rows but itself, nearest first (ties by row); queries
+    without another row of their identity are left out.
+
+    A stated set of queries meets the whole gallery, query by query; each query's distances are ordered in a window of its own.
+    """
+    q = queries.select(F.col(row).alias("__q"), F.col(ident).alias("__qi"), F.col(vector).alias("__qv"))
+    g = gallery.select(F.col(row).alias("__g"), F.col(ident).alias("__gi"), F.col(vector).alias("__gv"))
+    distance = F.aggregate(F.zip_with("__qv", "__gv", lambda a, b: (a - b).cast("double") * (a - b)), F.lit(0.0), lambda a, x: a + x)
+    # the gallery goes by blocks of queries: both sides are dealt by hash, none is broadcast
+    both = q.join(g, F.col("__q") != F.col("__g")).select("__q", "__g", F.round(distance, 9).alias("d"), (F.col("__qi") == F.col("__gi")).cast("int").alias("hit"))
+    w = Window.partitionBy("__q").orderBy("d", "__g")
+    run = both.withColumns({"rank": F.row_number().over(w), "tp": F.sum("hit").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    each = run.groupBy("__q").agg(F.sum("hit").alias("rel"), F.sum(F.when(F.col("hit") == 1, F.col("tp") / F.col("rank"))).alias("s"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first")).where("rel > 0")
+    return each.agg(F.count("*").alias("n"), F.avg(F.col("s") / F.col("rel")).alias("mean_ap"), *[F.avg((F.col("first") <= r).cast("double")).alias(f"cmc_{r}") for r in ranks])
+
+
+def panoptic_quality(pixels: DataFrame, image: str, void: int = 0) -> DataFrame:
+    """(cls, tp, fp, fn, iou_sum, pq, sq, rq) of counts pixels(image, gt, gt_cls, crowd, pred, pred_cls, n) of overlapping segments; gt
+    or pred void (with class null) is unlabelled.
+
+    Segments of one class match if they overlap by more than half of their union, void left out; crowd segments match nothing.
+    Unmatched predictions that are mostly void or crowd of their class are no errors.
+    """
+    g = pixels.where(F.col("gt") != void).groupBy(image, "gt", "gt_cls", "crowd").agg(F.sum("n").alias("ga"))
+    p = pixels.where(F.col("pred") != void).groupBy(image, "pred", "pred_cls").agg(F.sum("n").alias("pa"), F.sum(F.when(F.col("gt") == void, F.col("n")).otherwise(0)).alias("empty"), F.sum(F.when(F.coalesce("crowd", F.lit(False)) & (F.col("gt_cls") == F.col("pred_cls")), F.col("n")).otherwise(0)).alias("crowded"))
+    both = pixels.where((F.col("gt") != void) & (F.col("pred") != void) & (F.col("gt_cls") == F.col("pred_cls")) & ~F.col("crowd")).groupBy(image, "gt", "gt_cls", "pred").agg(F.sum("n").alias("i"))
+    iou_of = F.col("i") / (F.col("ga") + F.col("pa") - F.col("i") - F.col("empty"))
+    matched = both.join(g.select(image, "gt", "ga"), [image, "gt"]).join(p.select(image, "pred", "pa", "empty"), [image, "pred"]).withColumn("iou", iou_of).where("iou > 0.5")
+    tp = matched.groupBy(F.col("gt_cls").alias("cls")).agg(F.count("*").alias("tp"), F.sum("iou").alias("iou_sum"))
+    missed = g.where("NOT crowd").join(matched, [image, "gt"], "left_anti").groupBy(F.col("gt_cls").alias("cls")).agg(F.count("*").alias("fn"))
+    wrong = p.join(matched, [image, "pred"], "left_anti").where("(empty + crowded) / pa <= 0.5").groupBy(F.col("pred_cls").alias("cls")).agg(F.count("*").alias("fp"))
+    s = tp.join(missed, "cls", "full").join(wrong, "cls", "full").na.fill(0)
+    whole = F.col("tp") + (F.col("fp") + F.col("fn")) / 2
+    return s.select("cls", "tp", "fp", "fn", "iou_sum", F.coalesce(F.try_divide("iou_sum", whole), F.lit(0.0)).alias("pq"), F.coalesce(F.try_divide("iou_sum", "tp"), F.lit(0.0)).alias("sq"), F.coalesce(F.try_divide("tp", whole), F.lit(0.0)).alias("rq"))
+
+
+def region_iou(df: DataFrame, by: list[str], intersection: str, union: str) -> DataFrame:
+    """(by, n, mean_iou, whole_iou): the mean of the regions' overlaps, and the sum of intersections over that of unions."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.coalesce(F.try_divide(intersection, union), F.lit(0.0))).alias("mean_iou"), F.try_divide(F.sum(intersection), F.sum(union)).alias("whole_iou"))
