@@ -76,3 +76,45 @@ def paired(a: DataFrame, b: DataFrame, key: list[str], value: str) -> DataFrame:
     """(key, a, b, delta): two runs' values of equal keys, such as configuration and seed; keys of one run alone are left out."""
     left, right = a.select(*key, F.col(value).alias("a")), b.select(*key, F.col(value).alias("b"))
     return left.join(right, key).withColumn("delta", F.col("a") - F.col("b"))
+
+
+def mapped(rows: DataFrame, lookup: DataFrame, key: list[str], value: str) -> DataFrame:
+    """(mapped, dropped): how many rows a lookup of unique keys maps, and how many have no entry."""
+    both = rows.select(*key).join(lookup.select(*key, value), key, "left")
+    return both.agg(F.count(value).alias("mapped"), F.count_if(F.col(value).isNull()).alias("dropped"))
+
+
+def keys_of(df: DataFrame, key: list[str]) -> DataFrame:
+    return df.select(*key).distinct()
+
+
+def union_of(*sets: DataFrame) -> DataFrame:
+    out = sets[0]
+    for s in sets[1:]:
+        out = out.union(s)
+    return out.distinct()
+
+
+def intersection_of(*sets: DataFrame) -> DataFrame:
+    """Rows that all sets have; each is shuffled once."""
+    out = sets[0]
+    for s in sets[1:]:
+        out = out.intersect(s)
+    return out
+
+
+def difference_of(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.subtract(b)
+
+
+def best_row(df: DataFrame, key: list[str], order: list[Column], smallest: bool = False) -> DataFrame:
+    """The row of each key with the largest (or smallest) order; combined before the shuffle."""
+    rest = [c for c in df.columns if c not in key]
+    pick = F.min if smallest else F.max
+    named = [c.alias(f"__o{i}") for i, c in enumerate(order)]
+    return df.groupBy(*key).agg(pick(F.struct(*named, F.struct(*rest).alias("__row"))).alias("__m")).select(*key, "__m.__row.*")
+
+
+def top_rows(df: DataFrame, key: list[str], order: list[Column], most: int) -> DataFrame:
+    """The first rows of each key; results of parts can be merged by applying it again."""
+    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("__r") <= most).drop("__r")
