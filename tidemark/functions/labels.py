@@ -6,15 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def stripped(value: Column) -> Column:
+    """Without white space at the ends: blanks, tabs and line ends."""
+    return F.regexp_replace(value, r"^\s+|\s+$", "")
+
+
 def coerce_enum(value: Column, allowed: list[str]) -> Column:
-    """The value lower-cased, trimmed, spaces as underscores, if allowed; else unknown if that is allowed, else the last one."""
+    """The value lower-cased, stripped, spaces as underscores, if allowed; else unknown if that is allowed, else the last one."""
     other = "unknown" if "unknown" in allowed else allowed[-1]
-    clean = F.replace(F.lower(F.trim(value)), F.lit(" "), F.lit("_"))
+    clean = F.replace(F.lower(stripped(value)), F.lit(" "), F.lit("_"))
     return F.when(clean.isin(allowed), clean).otherwise(F.lit(other))
 
 
 def coerce_bool(value: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(value.cast("string"))).isin("true", "yes", "1", "y"), F.lit(False))
+    return F.coalesce(F.lower(stripped(value.cast("string"))).isin("true", "yes", "1", "y"), F.lit(False))
 
 
 def parse_answer(text: Column, schema: str) -> Column:
@@ -23,6 +28,15 @@ def parse_answer(text: Column, schema: str) -> Column:
     return F.from_json(F.nullif(F.regexp_extract(rest, r"(?s)\{.*\}", 0), F.lit("")), schema)
 
 
+def parsed_record(text: Column, enums: dict[str, list[str]], flags: list[str]) -> Column:
+    """struct(parsed, model_confidence, fields...) of a model's answer: every field coerced to its closed set, a missing or bad one to its
+    default. Without a JSON object parsed is false, all fields have their defaults and there is no confidence; with one, the
+    confidence is null where it is no number."""
+    found = parse_answer(text, ", ".join([*[f"{f} string" for f in (*enums, *flags)], "model_confidence string"]))
+    fields = [coerce_enum(found[f], v).alias(f) for f, v in enums.items()] + [coerce_bool(found[f]).alias(f) for f in flags]
+    return F.struct(found.isNotNull().alias("parsed"), found["model_confidence"].try_cast("double").alias("model_confidence"), *fields)
+
+
 def first_match(rules: list[tuple[str, Column]], other: str) -> Column:
     """Name of the first rule that holds; a null condition does not hold."""
     out = F.lit(other)

@@ -133,8 +133,8 @@ def greedy_split(df: DataFrame, group: str, parts: dict[str, float], profile: st
         for c, n in r["p"].items():
             seen[best][c] = seen[best].get(c, 0) + n
     kind = dict(df.dtypes)[group]
-    table = df.sparkSession.createDataFrame(pd.DataFrame({"g": pd.Series(list(where), dtype=object), "s": list(where.values())}), f"g {kind}, s string") if where else df.sparkSession.createDataFrame([], f"g {kind}, s string")
-    return df.join(table, df[group].eqNullSafe(table["g"])).drop("g").withColumnRenamed("s", "split")
+    table = df.sparkSession.createDataFrame(pd.DataFrame({"__group": pd.Series(list(where), dtype=object), "split": list(where.values())}), f"__group {kind}, split string") if where else df.sparkSession.createDataFrame([], f"__group {kind}, split string")
+    return df.join(table, df[group].eqNullSafe(table["__group"])).drop("__group")
 
 
 def drawn_split(df: DataFrame, group: str, share_of: float, seed: str = "0") -> DataFrame:

@@ -169,9 +169,9 @@ def majority_label(spark, d):
     return n.groupBy("user_id").agg(F.min(F.struct((-F.col("n")).alias("o"), "event_type")).alias("m")).select("user_id", "m.event_type")
 
 
-@query("""SELECT role, clean, count(*) AS n FROM (SELECT role, CASE WHEN c IN ('user', 'assistant', 'other') THEN c ELSE 'other' END AS clean FROM (SELECT role, replace(lower(trim('  ' || upper(role) || ' ')), ' ', '_') AS c FROM conversations)) GROUP BY 1, 2""")
+@query(r"""SELECT role, clean, count(*) AS n FROM (SELECT role, CASE WHEN c IN ('user', 'assistant', 'other') THEN c ELSE 'other' END AS clean FROM (SELECT role, replace(lower(regexp_replace(chr(9) || ' ' || upper(role) || ' ' || chr(10), '^\s+|\s+$', '', 'g')), ' ', '_') AS c FROM conversations)) GROUP BY 1, 2""")
 def coerce_labels(spark, d):
-    raw = F.concat(F.lit("  "), F.upper("role"), F.lit(" "))
+    raw = F.concat(F.lit("\t "), F.upper("role"), F.lit(" \n"))
     return table(spark, d, "conversations").select("role", L.coerce_enum(raw, ["user", "assistant", "other"]).alias("clean")).groupBy("role", "clean").agg(F.count("*").alias("n"))
 
 
@@ -179,7 +179,19 @@ def coerce_labels(spark, d):
 def parse_answers(spark, d):
     text = F.concat(F.lit("<think>{\"k\": 0}\n</think> The answer is "), F.col("props"), F.lit("."))
     out = table(spark, d, "events").select("event_id", L.parse_answer(text, "k bigint")["k"].alias("k"))
-    return out.select("event_id", "k", L.coerce_bool(F.when(F.col("k") % 2 == 0, " Yes ").otherwise("no")).alias("even"))
+    return out.select("event_id", "k", L.coerce_bool(F.when(F.col("k") % 2 == 0, " Yes\n").otherwise("no")).alias("even"))
+
+
+@query("SELECT event_id % 5 < 4 AS parsed, CASE WHEN event_id % 5 < 4 AND event_type IN ('click', 'view') THEN event_type ELSE 'unknown' END AS activity, event_id % 5 < 4 AND event_id % 2 = 0 AS talking, count(*) AS n, count(*) FILTER (event_id % 5 < 2) AS with_confidence FROM events GROUP BY 1, 2, 3")
+def parsed_records(spark, d):
+    """Records parsed from model answers; those without a JSON object have all defaults."""
+    i = F.col("event_id")
+    confidence = F.when(i % 5 < 2, F.lit("0.5")).otherwise(F.lit('"high"'))
+    body = F.concat(F.lit('{"activity": " '), F.upper("event_type"), F.lit('\\t", "talking": '), F.when(i % 2 == 0, "true").otherwise('"maybe"'), F.lit(', "model_confidence": '), confidence, F.lit("}"))
+    text = F.when(i % 5 < 4, F.concat(F.lit("<think>{}</think>"), body, F.lit(" ok"))).otherwise(F.lit("I can't say"))
+    rec = L.parsed_record(text, {"activity": ["click", "view", "unknown"]}, ["talking"])
+    out = table(spark, d, "events").select(rec.alias("r")).select("r.*")
+    return out.groupBy("parsed", "activity", "talking").agg(F.count("*").alias("n"), F.count("model_confidence").alias("with_confidence"))
 
 
 _REASON = "CASE WHEN l_quantity < 5 THEN 'small' WHEN l_discount > 0.08 THEN 'discount' WHEN l_extendedprice < 2000 THEN 'cheap' END"
