@@ -96,42 +96,59 @@ def with_dustbins(cost: np.ndarray, reject: float) -> list[tuple[int, int]]:
 
 
 def transport_plan(cost: np.ndarray, eps: float = 0.1, rounds: int = 200) -> np.ndarray:
-    """Entropic transport plan between even margins, by scaling in the log domain."""
-    n, m = cost.shape
+    """Entropic transport plan between even margins, by scaling in the log domain; of one matrix, or of many of one shape at once."""
+    n, m = cost.shape[-2:]
 
     def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
         top = x.max(axis=axis, keepdims=True)
         return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
-    kernel, f, g = -cost / eps, np.zeros(n), np.zeros(m)
+    kernel, f, g = -cost / eps, np.zeros(cost.shape[:-1]), np.zeros((*cost.shape[:-2], m))
     for _ in range(rounds):
-        f = -np.log(n) - log_sum(kernel + g, 1)
-        g = -np.log(m) - log_sum(kernel + f[:, None], 0)
-    return np.exp(kernel + f[:, None] + g)
+        f = -np.log(n) - log_sum(kernel + g[..., None, :], -1)
+        g = -np.log(m) - log_sum(kernel + f[..., None], -2)
+    return np.exp(kernel + f[..., None] + g[..., None, :])
 
 
 def assigned(pairs: DataFrame, frame: str, unit: str, box: str, method: str = "cost", reject: float | None = None, eps: float = 0.1) -> DataFrame:
     """(frame, unit, box) of each frame's assignment over pairs(frame, unit, box, cost), all units with all boxes.
 
     cost: of least total cost; with reject, units and boxes may stay free at that cost. transport: the entropic plan of the matrix
-    made square with dustbins (at reject, or the mean and one deviation), rounded to the assignment that it favours most. One
-    frame's matrix is in memory at a time.
+    made square with dustbins (at reject, or the mean and one deviation), rounded to the assignment that it favours most. The
+    matrices of one batch of frames are in memory at a time.
     """
     kinds = dict(pairs.dtypes)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        table = part.pivot(index=unit, columns=box, values="cost").sort_index().sort_index(axis=1)
-        c = table.to_numpy(float)
-        if method == "transport":
-            size = max(c.shape)
-            square = np.full((size, size), c.mean() + c.std() if reject is None else reject)
-            square[: c.shape[0], : c.shape[1]] = c
-            found = [(i, j) for i, j in least_cost(-transport_plan(square, eps)) if i < c.shape[0] and j < c.shape[1]]
-        else:
-            found = least_cost(c) if reject is None else with_dustbins(c, reject)
-        return pd.DataFrame({frame: part[frame].iloc[0], unit: [table.index[i] for i, _ in found], box: [table.columns[j] for _, j in found]})
-
-    return pairs.select(frame, unit, box, "cost").groupBy(frame).applyInPandas(run, f"{frame} {kinds[frame]}, {unit} {kinds[unit]}, {box} {kinds[box]}")
+    def squared(c: np.ndarray) -> np.ndarray:
+        out = np.full((max(c.shape), max(c.shape)), c.mean() + c.std() if reject is None else reject)
+        out[: c.shape[0], : c.shape[1]] = c
+        return out
+
+    def solve(costs: list[np.ndarray]) -> list[list[tuple[int, int]]]:
+        if method != "transport":
+            return [least_cost(c) if reject is None else with_dustbins(c, reject) for c in costs]
+        wide, out = [squared(c) for c in costs], [[] for _ in costs]
+        for size in {len(w) for w in wide}:
+            same = [i for i, w in enumerate(wide) if len(w) == size]
+            for i, plan in zip(same, transport_plan(np.stack([wide[i] for i in same]), eps), strict=True):
+                out[i] = [(u, b) for u, b in least_cost(-plan) if u < costs[i].shape[0] and b < costs[i].shape[1]]
+        return out
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            names, costs = [], []
+            for f, us, bs, cs in part.itertuples(index=False):
+                units, at_u = np.unique(us, return_inverse=True)
+                boxes, at_b = np.unique(bs, return_inverse=True)
+                c = np.empty((len(units), len(boxes)))
+                c[at_u, at_b] = cs
+                names.append((f, units, boxes))
+                costs.append(c)
+            rows = [(f, units[i], boxes[j]) for (f, units, boxes), found in zip(names, solve(costs), strict=True) for i, j in found]
+            yield pd.DataFrame(rows, columns=[frame, unit, box])
+
+    lists = pairs.groupBy(frame).agg(*[F.collect_list(x).alias(n) for n, x in (("u", unit), ("b", box), ("c", F.col("cost").cast("double")))])
+    return lists.mapInPandas(run, f"{frame} {kinds[frame]}, {unit} {kinds[unit]}, {box} {kinds[box]}")
 
 
 def matching_report(truth: DataFrame, found: DataFrame, frame: str, unit: str, box: str, region_ok: DataFrame) -> DataFrame:
