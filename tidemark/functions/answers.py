@@ -26,3 +26,8 @@ def levenshtein_similarity(answer: Column, truth: Column, least: float = 0.5) ->
     a, b = F.lower(F.trim(answer)), F.lower(F.trim(truth))
     s = 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
     return F.when(s >= least, s).otherwise(F.when(s.isNotNull(), 0.0))
+
+
+def exact_match(answer: Column, truth: Column) -> Column:
+    """The trimmed lower-case texts are equal."""
+    return F.lower(F.trim(answer)) == F.lower(F.trim(truth))

@@ -554,14 +554,14 @@ def dict_source(spark, d):
 
 @query("""WITH a AS (SELECT NOT list_has_any(string_split(replace(string_split(text, '.')[1], ',', ''), ' '), ['No', 'not', 'no']) AS p, turn % 2 = 0 AS y FROM conversations
 ), c AS (SELECT count(*) FILTER (p AND y) AS tp, count(*) FILTER (p AND NOT y) AS fp, count(*) FILTER (NOT p AND NOT y) AS tn, count(*) FILTER (NOT p AND y) AS fn FROM a)
-SELECT *, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round((tp + fp) / (tp + fp + tn + fn), 6) AS yes_ratio FROM c""")
+SELECT *, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round((tp + fp) / (tp + fp + tn + fn), 6) AS yes_ratio, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c""")
 def yes_no_answers(spark, d):
     p, y = F.col("p"), F.col("y")
     a = table(spark, d, "conversations").select(answers.says_yes(F.col("text")).alias("p"), (F.col("turn") % 2 == 0).alias("y"))
     c = a.agg(F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & ~y).alias("tn"), F.count_if(~p & y).alias("fn"))
     share = lambda a, b: F.round(F.expr(f"try_divide({a}, {b})"), 6)
     every = "tp + fp + tn + fn"
-    return c.select("tp", "fp", "tn", "fn", share("tp + tn", every).alias("accuracy"), share("tp", "tp + fp").alias("precision"), share("tp", "tp + fn").alias("recall"), share("tp + fp", every).alias("yes_ratio"))
+    return c.select("tp", "fp", "tn", "fn", share("tp + tn", every).alias("accuracy"), share("tp", "tp + fp").alias("precision"), share("tp", "tp + fn").alias("recall"), share("tp + fp", every).alias("yes_ratio"), share("2 * tp", "2 * tp + fp + fn").alias("f1"))
 
 
 @query("WITH v AS (SELECT l_partkey, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (l_returnflag = 'N') AS DOUBLE) AS c FROM lineitem GROUP BY 1) SELECT l_partkey, round((c * least(1, (c - 1) / 3) + (n - c) * least(1, c / 3)) / n, 6) AS score FROM v")
@@ -570,10 +570,10 @@ def soft_votes(spark, d):
     return v.select("l_partkey", F.round(answers.soft_vote(F.col("c"), F.col("n")), 6).alias("score"))
 
 
-@query("WITH s AS (SELECT p_type, 1 - levenshtein(lower(trim(p_name)), lower(trim(p_brand))) / greatest(length(trim(p_name)), length(trim(p_brand)), 1) AS s FROM part) SELECT p_type, round(avg(CASE WHEN s >= 0.2 THEN s ELSE 0 END), 6) AS similarity, count(*) AS n FROM s GROUP BY 1")
+@query("WITH s AS (SELECT p_type, lower(trim(p_brand)) = lower(trim(upper(p_brand) || ' ')) AS e, 1 - levenshtein(lower(trim(p_name)), lower(trim(p_brand))) / greatest(length(trim(p_name)), length(trim(p_brand)), 1) AS s FROM part) SELECT p_type, round(avg(CASE WHEN s >= 0.2 THEN s ELSE 0 END), 6) AS similarity, round(avg(CAST(e AS INT)), 6) AS exact, count(*) AS n FROM s GROUP BY 1")
 def answer_similarity(spark, d):
     s = answers.levenshtein_similarity(F.col("p_name"), F.col("p_brand"), 0.2)
-    return table(spark, d, "part").groupBy("p_type").agg(F.round(F.avg(s), 6).alias("similarity"), F.count("*").alias("n"))
+    return table(spark, d, "part").groupBy("p_type").agg(F.round(F.avg(s), 6).alias("similarity"), F.round(F.avg(answers.exact_match(F.col("p_brand"), F.concat(F.upper("p_brand"), F.lit(" "))).cast("double")), 6).alias("exact"), F.count("*").alias("n"))
 
 
 @query(f"WITH {_SCORED}, g AS (SELECT unnest(range(1, 41)) / 8.0 AS t), c AS (SELECT pos, least(greatest(score, 1e-12), 1 - 1e-12) AS p FROM s) SELECT t AS temperature, round(avg(ln(1 + exp((CASE WHEN pos THEN -1 ELSE 1 END) * ln(p / (1 - p)) / t))), 5) AS nll FROM c, g GROUP BY 1")
