@@ -122,15 +122,24 @@ def threshold_sweep(dets: DataFrame, truth: DataFrame, key: list[str], box_d: Bo
 
 def mean_ap(dets: DataFrame, truth: DataFrame, frame: str, cls: str, box_d: Box, box_t: Box, thresholds: list[float], ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """(threshold, range, cls, n_gt, ap): average precision at several overlaps and, if given, ranges [from, to) of the truth's area.
-    Truths outside the range are ignored: what they match, and free detections outside it, count neither way. cls null: the mean."""
-    out = None
-    for name, (lo, hi) in (ranges or {"all": (0.0, float("inf"))}).items():
-        for t in thresholds:
-            marked = true_positives(dets, truth, [frame, cls], box_d, box_t, t, (lo, hi)).withColumn("key_order", F.col(frame))
-            inside = truth.where((area(box_t) >= lo) & (area(box_t) < hi)).groupBy(cls).agg(F.count("*").alias("n_gt"))
-            ap = detection_ap(marked.where("NOT ignored"), [cls], inside)
-            one = inside.join(ap, cls, "left").select(F.lit(t).alias("threshold"), F.lit(name).alias("range"), cls, "n_gt", F.coalesce("ap", F.lit(0.0)).alias("ap"))
-            out = one if out is None else out.unionByName(one)
+    Truths outside the range are ignored: what they match, and free detections outside it, count neither way. cls null: the mean.
+
+    Boxes are joined once: the best truth of a detection does not depend on overlap or range, which then are two more keys.
+    """
+    levels = [F.struct(F.lit(float(t)).alias("threshold"), F.lit(n).alias("range"), F.lit(float(lo)).alias("__lo"), F.lit(float(hi)).alias("__hi")) for n, (lo, hi) in (ranges or {"all": (0.0, float("inf"))}).items() for t in thresholds]
+    outside = lambda v: (F.col(v) < F.col("__lo")) | (F.col(v) >= F.col("__hi"))
+    at = [frame, cls, "det"]
+    pairs = dets.join(truth, [frame, cls]).withColumns({"__iou": iou(box_d, box_t), "__ta": area(box_t)})
+    best = pairs.groupBy(*at).agg(F.max_by(F.struct("gt", "__iou", "__ta"), F.struct("__iou", -F.col("gt"))).alias("m"))
+    each = dets.select(*at, "score", area(box_d).alias("__da")).join(best, at, "left").select(*at, "score", "__da", "m.*").select("*", F.inline(F.array(*levels)))
+    hit = F.col("__iou") >= F.col("threshold")
+    w = Window.partitionBy("threshold", "range", frame, cls, F.when(hit, F.col("gt")), F.when(~F.coalesce(hit, F.lit(False)), F.col("det"))).orderBy(F.desc("score"), "det")
+    matched = F.coalesce(hit, F.lit(False))
+    marked = each.withColumn("__first", F.row_number().over(w) == 1).select("threshold", "range", frame, cls, "det", "score", (matched & F.col("__first") & ~outside("__ta")).alias("tp"), F.when(matched, outside("__ta")).otherwise(outside("__da")).alias("ignored"))
+    counts = truth.select(cls, area(box_t).alias("__ta")).select("*", F.inline(F.array(*levels))).where(~outside("__ta")).groupBy("threshold", "range", cls).agg(F.count("*").alias("n_gt"))
+    by = ["threshold", "range", cls]
+    ap = detection_ap(marked.where("NOT ignored").withColumn("key_order", F.col(frame)), by, counts)
+    out = counts.join(ap, by, "left").select(*by, "n_gt", F.coalesce("ap", F.lit(0.0)).alias("ap"))
     mean = out.groupBy("threshold", "range").agg(F.lit(None).cast(dict(out.dtypes)[cls]).alias(cls), F.sum("n_gt").alias("n_gt"), F.avg("ap").alias("ap"))
     return out.unionByName(mean)
 
