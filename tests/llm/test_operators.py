@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import langid, ordinal, simhash, warc
-from tidemark.llm.bpe import IdDecoder, MergeList, WordBpe, round_trip
+from tidemark.llm.bpe import IdDecoder, MergeList, byte_alphabet, round_trip
 from tidemark.llm.exact import DigestIndex, exact_dedup, exact_groups, known, salted_join
 from tidemark.llm.jaccard import JaccardJoin
 from tidemark.llm.lines import line_dedup
@@ -336,11 +336,11 @@ def test_bpe_stream_is_stable(monkeypatch):
     rng = random.Random(17)
     merges = [("a", "b"), ("b", "c"), ("ab", "c"), ("c", "ab"), ("a", "a"), ("aa", "aa"), ("c", "c")]
     names = ["a", "b", "c", *["".join(m) for m in merges]]
-    small = MergeList({t: i for i, t in enumerate(names)}, merges)
     ranks = {m: i for i, m in enumerate(merges)}
     for buffer, together in ((1, 2), (3, 8), (1024, 64)):
         monkeypatch.setattr(bpe, "BUFFER", buffer)
         monkeypatch.setattr(bpe, "TOGETHER", together)
+        small = MergeList({t: i for i, t in enumerate(names)}, merges)
         words = ["".join(rng.choice("abc") for _ in range(rng.choice([0, 1, 2, 5, 30, 90]))) for _ in range(200)]
         symbols = np.array([names.index(c) for w in words for c in w], np.int64)
         got = defaultdict(list)

@@ -56,6 +56,8 @@ class MergeList:
         self.lengths = np.ones(max(vocab.values(), default=0) + 1, np.int64)
         for t, i in vocab.items():
             self.lengths[i] = len(t.removesuffix(end)) if end else len(t)
+        # a window holds a whole token beside the lookahead, so each gives one at least
+        self.window = max(BUFFER, int(self.lengths.max())) + self.lookahead
 
     @staticmethod
     def sufficient_lookahead(merges: list[tuple[str, str]]) -> int:
@@ -129,14 +131,14 @@ class MergeList:
     def stream(self, symbols: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Tokens of the words symbols[bounds[i]:bounds[i+1]] as (ids, word numbers), emitted once stable.
 
-        All words advance together, each through a window of BUFFER + lookahead symbols at most. Of a window that doesn't reach
+        All words advance together, each through a window of about BUFFER + lookahead symbols. Of a window that doesn't reach
         its word's end, the tokens that end before the lookahead are final; the next window begins behind them. Of one word,
         tokens come in order.
         """
         at, stop = bounds[:-1].astype(np.int64), bounds[1:].astype(np.int64)
         live = np.flatnonzero(at < stop)
         while len(live):
-            end = np.minimum(at[live] + BUFFER + self.lookahead, stop[live])
+            end = np.minimum(at[live] + self.window, stop[live])
             size = end - at[live]
             short = size <= TOGETHER
             place = np.repeat(at[live][short] - np.cumsum(size[short]) + size[short], size[short]) + np.arange(int(size[short].sum()))
