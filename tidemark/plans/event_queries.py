@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import episodes as E
-from ..operators import joins, resample, timeline
+from ..operators import folds, joins, resample, timeline
 from .base import DAY, HOUR, query, rounded, table
 from .queries import EV, RUNS, _YP, _predicted, events
 
@@ -214,3 +214,12 @@ def causal_windows(spark, d):
     eight = timeline.causal_windows(events(spark, d), ["user_id"], ["us", "event_id"], "value", 8, 5)
     mean = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c), 6)
     return four.select("event_id", mean("window").alias("mean_4")).join(eight.select("event_id", mean("window").alias("mean_8")), "event_id")
+
+
+@query(f"""WITH {EV}, l AS (SELECT user_id, list_reduce(list([{{'o': us, 'h': CASE WHEN event_id % 11 > 0 THEN k END, 'a': CASE WHEN event_id % 11 > 0 THEN k END, 'keep': true}}] ORDER BY us), lambda acc, x: list_append(acc, CASE WHEN x[1].h IS NULL THEN {{'o': x[1].o, 'h': x[1].h, 'a': acc[-1].a, 'keep': true}}
+  WHEN acc[-1].a IS NULL OR bit_count(xor(x[1].h, acc[-1].a)) >= 3 THEN x[1] ELSE {{'o': x[1].o, 'h': x[1].h, 'a': acc[-1].a, 'keep': false}} END)) AS r FROM ev GROUP BY 1)
+SELECT user_id, m.o AS us, m.h AS h FROM (SELECT user_id, unnest(r) AS m FROM l) WHERE m.keep""")
+def hash_anchors(spark, d):
+    """Events whose hash differs by three bits or more from the last one kept; those without a hash are kept and move nothing."""
+    ev = events(spark, d).withColumn("h", F.when(F.col("event_id") % 11 > 0, F.col("k")))
+    return folds.keep_by_hash(ev, ["user_id"], "us", "h", 3)
