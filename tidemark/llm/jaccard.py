@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .textbytes import SHINGLE, shingle_sets
+from .textbytes import SHINGLE, released, shingle_sets
 from .workspace import Workspace
 
 #: A shingle counts as heavy from so many documents on.
@@ -43,8 +43,10 @@ SKETCH_BINS = 256
 PARITIES = [f"q{i}" for i in range(SKETCH_BINS // 64)]
 #: Fragments of the ordinary shingles; the heavy ones are one more.
 FRAGMENT_BITS = 2
-#: A profiling task counts recurring shingles over about this many at a time.
-PROFILE_SHINGLES = 1 << 22
+#: A profiling task counts recurring shingles over about this many at a time (8 MB).
+PROFILE_SHINGLES = 1 << 20
+#: An ordinary shingle that so many different sets have in their prefixes is heavy after all.
+THIN_BUCKET = 1024
 
 
 def _class_key(hashes: np.ndarray) -> int:
@@ -146,7 +148,7 @@ def _prefixes(k: int, percent: int, shared):
                 n = len(hashes)
                 if not n or (key := _class_key(hashes)) in seen:
                     continue
-                if len(seen) > 1 << 18:
+                if len(seen) > 1 << 16:
                     seen.clear()
                 seen.add(key)
                 ranks = _ranks(hashes, heavy, rank)
@@ -293,28 +295,54 @@ class JaccardJoin:
         """Members, docs(doc_id, text), heavy shingles, classes and buckets of docs(doc_id, text[, digest])."""
         ws = self.ws
         digests = docs.columns[2:]
-        profile = ws.save(docs.mapInArrow(_profile(self.k, bool(digests)), "kind int, doc_id long, n long, key long, sketch binary, " + ", ".join(f"{q} long" for q in [*PARITIES, *digests])), "profile")
+        profile = ws.save(docs.mapInArrow(released(_profile(self.k, bool(digests))), "kind int, doc_id long, n long, key long, sketch binary, " + ", ".join(f"{q} long" for q in [*PARITIES, *digests])), "profile")
         docs = docs.select("doc_id", "text")
         members = profile.where("kind = 0").select("doc_id", "n", "key", *digests)
-        heavy = self._heavy(profile.where("kind = 1"))
+        counted = self._heavy(profile.where("kind = 1"))
         classes = ws.save(profile.where("kind = 0 AND n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), *[F.first(q).alias(q) for q in PARITIES]), "classes")
-        buckets = self._buckets(docs, heavy)
-        return members, docs, heavy, classes, buckets
+        entries, heavy = self._entries(docs, counted)
+        return members, docs, heavy, classes, self._buckets(entries)
 
-    def _heavy(self, counted: DataFrame):
+    def _heavy(self, counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """(shingles, counts) of the most frequent ones."""
         top = counted.groupBy("key").agg(F.sum("n").alias("df")).where(F.col("df") >= HEAVY_DF).orderBy(F.desc("df"), "key").limit(HEAVY_ROWS).toPandas()
-        tokens = top["key"].to_numpy(np.int64).view(np.uint64)
-        rank = np.arange(len(tokens), 0, -1, dtype=np.int64)  # 1: the least frequent
-        order = np.argsort(tokens)
-        return self.spark.sparkContext.broadcast((tokens[order], rank[order]))
+        return top["key"].to_numpy(np.int64).view(np.uint64), top["df"].to_numpy(np.int64)
 
-    def _buckets(self, docs: DataFrame, heavy) -> DataFrame:
+    def _entries(self, docs: DataFrame, counted: tuple[np.ndarray, np.ndarray]):
+        """(token, key, meta, heavy) of all prefixes, and the heavy shingles that they go by.
+
+        A shingle that comes once in every buffer is not among the recurring ones, however many documents have it. If it is rare
+        enough to stand in no prefix it does no harm; else its entries show it: it is counted among the heavy ones, and the prefixes are made
+        anew, until no ordinary shingle has a large bucket (or the heavy table is twice as large as at first).
+        """
+        tokens, counts = counted
+        while True:
+            order = np.lexsort((tokens, -counts))
+            rank = np.empty(len(tokens), np.int64)
+            rank[order] = np.arange(len(tokens), 0, -1)  # 1: the least frequent
+            at = np.argsort(tokens)
+            heavy = self.spark.sparkContext.broadcast((tokens[at], rank[at]))
+            entries = self.ws.save(docs.mapInArrow(released(_prefixes(self.k, self.percent, heavy)), "token long, key long, meta long, heavy boolean"), "entries")
+            full = self.ws.save(entries.where("NOT heavy").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > THIN_BUCKET).select("token"), "full")
+            room = 2 * HEAVY_ROWS - len(tokens)
+            if full.isEmpty() or room <= 0:
+                return entries, heavy
+            # copies of one set in several tasks are one member
+            members = entries.where("NOT heavy").join(full, "token").select("token", "key").distinct()
+            thin = members.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > THIN_BUCKET).orderBy(F.desc("n"), "token").limit(room).toPandas()
+            if thin.empty:
+                return entries, heavy
+            tokens = np.concatenate([tokens, thin["token"].to_numpy(np.int64).view(np.uint64)])
+            counts = np.concatenate([counts, thin["n"].to_numpy(np.int64)])
+            self.ws.drop(entries)
+            heavy.destroy()
+
+    def _buckets(self, entries: DataFrame) -> DataFrame:
         """(token, key, meta, pivot, pivot_meta) of all prefix entries whose shingle more than one class has there."""
-        entries = docs.mapInArrow(_prefixes(self.k, self.percent, heavy), "token long, key long, meta long, heavy boolean")
         # an ordinary shingle has few entries, so its bucket fits a window; of a heavy one only the pivot is aggregated
         by = Window.partitionBy("token")
         light = entries.where("NOT heavy").select("token", F.struct("key", "meta").alias("e")).withColumns({"p": F.min("e").over(by), "q": F.max("e").over(by)}).where("p.key <> q.key")
-        many = self.ws.save(entries.where("heavy").select("token", "key", "meta"), "heavy")
+        many = entries.where("heavy").select("token", "key", "meta")
         pivots = many.groupBy("token").agg(F.min(F.struct("key", "meta")).alias("p"), F.max("key").alias("q")).where("p.key <> q")
         hot = many.join(pivots, "token").select("token", "key", "meta", F.col("p.key").alias("pivot"), F.col("p.meta").alias("pivot_meta"))
         return self.ws.save(light.select("token", "e.key", "e.meta", F.col("p.key").alias("pivot"), F.col("p.meta").alias("pivot_meta")).union(hot), "buckets")
@@ -365,7 +393,7 @@ class JaccardJoin:
         if not n:
             return ws.save(pairs.select("a", "b").limit(0), "links")
         rows = docs.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "id", "left_semi").select("id", "text")
-        sets = ws.save(rows.mapInArrow(_fragments(self.k, heavy), "key long, fragment int, tokens array<long>"), "sets")
+        sets = ws.save(rows.mapInArrow(released(_fragments(self.k, heavy)), "key long, fragment int, tokens array<long>"), "sets")
         one = pairs.join(sets.select(F.col("key").alias("a"), "fragment", F.col("tokens").alias("ta")), "a")
         both = one.join(sets.select(F.col("key").alias("b"), "fragment", F.col("tokens").alias("tb")), ["b", "fragment"])
         partial = both.select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ta", "tb")).cast("long").alias("part"))
