@@ -143,11 +143,12 @@ def _sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(spark: SparkSession, rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, epochs: int = 3) -> LanguageModel:
     """Learn from rows(id, text, label); rows with a null label are left out. Without rows the model answers und.
 
-    The sample takes each language's rows whose hash falls under per_language / count: about that many, fewer where there
-    are fewer. The same rows give the same model.
+    The sample takes of each language the rows whose hash of id and text falls under per_language / their approximate number: about
+    that many, fewer where there are fewer. Rows of equal id, text and label are one, so ids that are null or repeat do not matter; never
+    more than 2 * per_language rows for each language come to the driver. The same rows give the same model.
     """
-    rows = rows.where("label IS NOT NULL").select(F.xxhash64("id", F.lit("sample")).alias("h"), "text", "label")
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    rows = rows.where("label IS NOT NULL").select(F.xxhash64("id", "text", F.lit("sample")).alias("h"), "text", "label")
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} labels")
     languages = sorted(sizes)
@@ -159,8 +160,9 @@ def fit(spark: SparkSession, rows: DataFrame, per_language: int = SAMPLE_PER_LAN
     counted = counted[counted["bin"] >= 0]
     df[counted["bin"].to_numpy(np.int64)] = counted["df"].to_numpy(np.float64)
     idf = np.log((1 + total) / (1 + df)) + 1
-    rate = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / sizes[k]))])
-    drawn = rows.where(F.pmod(F.col("h"), F.lit(1 << 40)) / F.lit(float(1 << 40)) < F.element_at(rate, F.col("label")))
+    rate = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / max(sizes[k], 1)))])
+    drawn = rows.where(F.pmod(F.col("h"), F.lit(1 << 40)) / F.lit(float(1 << 40)) < F.element_at(rate, F.col("label"))).dropDuplicates(["h", "label"])
+    drawn = drawn.orderBy(F.pmod(F.col("h"), F.lit(1 << 40)), "h", "label").limit(2 * per_language * len(languages))
     sample = sorted(drawn.select("h", "text", "label").mapInArrow(_sparse_rows, "h long, label string, bins binary, counts binary").collect(), key=lambda r: (r["h"], r["label"], r["bins"]))
     data = []
     for r in sample:
