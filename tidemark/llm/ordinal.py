@@ -125,14 +125,23 @@ def fit_rows(data: list[tuple[np.ndarray, np.ndarray, int]], shares: np.ndarray,
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_grade: int = SAMPLE_PER_GRADE) -> OrdinalModel:
-    """Learn from docs(doc_id, text) and labels(doc_id, quality, toxic). Without rated rows everything has the top grade."""
-    rated = grade_of(labels).withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit("grade")), F.lit(1 << 40)) / F.lit(float(1 << 40)))
+    """Learn from docs(doc_id, text) and labels(doc_id, quality, toxic). Without rated rows everything has the top grade.
+
+    Of several ratings of one doc_id the lowest counts; null ids and ids without a document are not learned from. The sample takes of each
+    grade the ids whose hash falls under per_grade / their number. Rows of equal id and text are one; never more than
+    2 * per_grade rows for each grade come to the driver, those with the smallest hashes. Texts are read whole, null ones as empty; other
+    columns are not read.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    lowest = grade_of(labels).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("grade").alias("grade"))
+    rated = lowest.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit("grade")), F.lit(1 << 40)) / F.lit(float(1 << 40)))
     sizes = {r["grade"]: r["n"] for r in rated.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return OrdinalModel(np.zeros(BINS, np.float32), np.array([-30.0, -29.0]))
     rate = F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, min(1.0, per_grade / n))])
-    drawn = rated.where(F.col("h") < F.element_at(rate, F.col("grade"))).groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    rows = docs.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "grade")
+    drawn = rated.where(F.col("h") < F.element_at(rate, F.col("grade"))).select("doc_id", "grade").orderBy("h").limit(2 * per_grade * GRADES)
+    rows = docs.join(F.broadcast(drawn), "doc_id").withColumn("h", F.xxhash64("doc_id", "text")).dropDuplicates(["doc_id", "h"])
+    rows = rows.orderBy("h", "doc_id").limit(2 * per_grade * GRADES).select("doc_id", "text", "grade")
     sample = sorted(rows.mapInArrow(_sparse, "doc_id long, grade int, bins binary, values binary").collect(), key=lambda r: (r["doc_id"], r["bins"]))
     if not sample:
         return OrdinalModel(np.zeros(BINS, np.float32), np.array([-30.0, -29.0]))
@@ -141,7 +150,10 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_grade: int
 
 
 def predict(spark: SparkSession, model: OrdinalModel, docs: DataFrame) -> DataFrame:
-    """(doc_id, expected_grade, tail_prob, grade, kept) for each row of docs(doc_id, text); a null text counts as empty."""
+    """(doc_id, expected_grade, tail_prob, grade, kept) for each row of docs(doc_id, text); a null text counts as empty.
+
+    Each row is judged by its own text, read whole; repeated rows and null ids come out as they are, of equally probable grades the lowest
+    is given. Other columns are not read. An empty table gives an empty one."""
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
@@ -152,7 +164,7 @@ def predict(spark: SparkSession, model: OrdinalModel, docs: DataFrame) -> DataFr
             cols = [batch.column(0), pa.array(p @ np.arange(p.shape[1])), pa.array(tail), pa.array(p.argmax(1).astype(np.int32)), pa.array(tail >= KEEP_TAIL)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "expected_grade", "tail_prob", "grade", "kept"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, expected_grade double, tail_prob double, grade int, kept boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, expected_grade double, tail_prob double, grade int, kept boolean")
 
 
 def keep_good(spark: SparkSession, model: OrdinalModel, docs: DataFrame, least: float = KEEP_TAIL) -> DataFrame:
