@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import written
+
 
 def confusion(df: DataFrame, truth: str, pred: str, k: int) -> DataFrame:
     """(t, p, n) of the pairs of class ids in [0, k)."""
@@ -57,27 +59,22 @@ def weighted_kappa(cm: DataFrame, k: int) -> DataFrame:
     return seen.join(F.broadcast(by_chance), F.lit(True)).select((1 - F.col("o") / (F.col("e") / F.col("n"))).alias("qwk"))
 
 
-#: Parts that the range of a score is cut into, so that ranks and running sums of one class are not the work of one task.
-PARTS = 1024
-
-
 def running_sums(df: DataFrame, by: list[str], order: str, tie: list[str], sums: dict[str, Column]) -> DataFrame:
     """df with, for each name, the sum of a column over the rows of its group up to and with this one, by (order, tie).
 
-    The range of order (a number, not null) is cut into PARTS parts of equal width: each part has a window of its own, and only one
-    row a part meets in the window of the parts' totals.
+    Rows are dealt by ranges of (by, order, tie), as even as a sample of them tells however uneven order is, and written once: each
+    range has a window of its own, and only a row for each group in a range meets in the window of the ranges' totals.
     """
-    ends = df.groupBy(*by).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-    wide = df.join(ends, by) if by else df.join(F.broadcast(ends), F.lit(True))
-    share = (F.col(order) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
-    parted = wide.withColumn("__part", F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor(share * PARTS), F.lit(PARTS - 1))).otherwise(0).cast("int")).drop("__lo", "__hi")
+    keys = [*by, order, *tie]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(df.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id()), "running")
     key = [*by, "__part"]
-    totals = parted.groupBy(*key).agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
-    whole = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__part")
-    before = totals.select(*key, *[(F.sum(f"__{n}").over(whole) - F.col(f"__{n}")).alias(f"__{n}") for n in sums])
-    w = Window.partitionBy(*key).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
-    local = parted.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
-    return local.join(before, key).withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__part", *[f"__{n}" for n in sums])
+    totals = ranged.groupBy(*key).agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = totals.select(*key, *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums])
+    upto = Window.partitionBy(*key).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumns({n: F.sum(c).over(upto) for n, c in sums.items()})
+    return local.join(earlier, key).withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__part", *[f"__{n}" for n in sums])
 
 
 def mean_ranks(df: DataFrame, by: list[str], value: str, *counts: Column) -> DataFrame:

@@ -19,6 +19,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to a scratch folder and read back, so that its lineage ends there."""
+    to = scratch(df.sparkSession, name)
+    df.write.parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
+
+
 def jsonl_to_parquet(spark: SparkSession, source: str, schema: str, to: str) -> None:
     """JSON lines of a path or glob as Parquet."""
     spark.read.schema(schema).json(source).write.parquet(to)
