@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_HEADWEAR = r"(?:hijab|niqab|headscarf|head\s?scarf|head covering|turban)"
-_ADJECTIVES = r"(?:(?:black|brown|white|grey|gray|dark|light|patterned|colorful|floral)\s+)*"
-_BEARD = "(?:beard|moustache|mustache)"
+#: fixed values: head coverings, and the words that may stand before them
+COVERINGS = r"(?:hijab|niqab|headscarf|head\s?scarf|head covering|turban)"
+COVERING_WORDS = r"(?:(?:black|brown|white|grey|gray|dark|light|patterned|colorful|floral)\s+)*"
 #: fixed values: patterns and replacements that take personal descriptions out of captions, in order
 NEUTRAL = [
-    (rf"(?i)\s*\bwearing (?:a |an )?{_ADJECTIVES}{_HEADWEAR}\b\s*", " "),
-    (rf"(?i)\s*\b(?:in|with) (?:a |an )?{_ADJECTIVES}{_HEADWEAR}\b\s*", " "),
-    (rf"(?i)\b{_HEADWEAR}\b", "clothing"),
+    (rf"(?i)\s*\bwearing (?:a |an )?{COVERING_WORDS}{COVERINGS}\b\s*", " "),
+    (rf"(?i)\s*\b(?:in|with) (?:a |an )?{COVERING_WORDS}{COVERINGS}\b\s*", " "),
+    (rf"(?i)\b{COVERINGS}\b", "clothing"),
     (r"(?i)\b(?:male|female) student\b", "student"),
-    (rf"(?i)\s*(?:\band\b|,)\s*(?:a |an )?{_BEARD}\b", ""),
-    (rf"(?i)\s*\bwith (?:a |an )?{_BEARD}\b\s*", " "),
+    (r"(?i)\s*(?:\band\b|,)\s*(?:a |an )?(?:beard|moustache|mustache)\b", ""),
+    (r"(?i)\s*\bwith (?:a |an )?(?:beard|moustache|mustache)\b\s*", " "),
     (r"(?i)\b(?:bearded)\s+", ""),
-    (rf"(?i)\s*\bor (?:a |an )?{_BEARD}\b", ""),
-    (rf"(?i)\b{_BEARD}\b", "face"),
+    (r"(?i)\s*\bor (?:a |an )?(?:beard|moustache|mustache)\b", ""),
+    (r"(?i)\b(?:beard|moustache|mustache)\b", "face"),
     (r"(?i)\bhe\b|\bshe\b", "they"),
     (r"(?i)\bhis\b|\bher\b", "their"),
     (r"(?i)\bhim\b", "them"),
@@ -26,10 +26,34 @@ NEUTRAL = [
     (r"\s+([,.])", "$1"),
 ]
 #: fixed values: words that mark a guess
-GUESSES = "possibly probable probably maybe perhaps suggest suggests suggesting suggested speculate speculates speculating speculated assume assumes assuming assumed guess guesses guessing guessed suppose supposes supposing supposed appear appears appeared appearing seem seems seemed seeming indicate indicates indicating indicated hint hints hinting hinted imply implies implying implied infer infers inferring inferred expect expects expecting expected".split()
-GUESSES += ["assuming that", "tends to", "tends not to", "seems to", "looks like", "sounds like", "appears to", " no ", " not "]
+GUESSES = [
+    "possibly",
+    "probable", "probably",
+    "maybe",
+    "perhaps",
+    "suggest", "suggests", "suggesting", "suggested",
+    "speculate", "speculates", "speculating", "speculated",
+    "assume", "assumes", "assuming", "assumed",
+    "guess", "guesses", "guessing", "guessed",
+    "suppose", "supposes", "supposing", "supposed",
+    "appear", "appears", "appeared", "appearing",
+    "seem", "seems", "seemed", "seeming",
+    "indicate", "indicates", "indicating", "indicated",
+    "hint", "hints", "hinting", "hinted",
+    "imply", "implies", "implying", "implied",
+    "infer", "infers", "inferring", "inferred",
+    "expect", "expects", "expecting", "expected",
+    "assuming that", "tends to", "tends not to", "seems to", "looks like",
+    "sounds like", "appears to",
+    " no ", " not ",
+]
 #: fixed values: words that a remnant of a sentence must not begin with
-PREPOSITIONS = "in on at by with about against between into through during before after above below to from up down for of under over as".split()
+PREPOSITIONS = [
+    "in", "on", "at", "by", "with", "about", "against", "between", "into", "through", "during", "before", "after",
+    "above", "below", "to", "from", "up", "down", "for", "of", "under", "over", "as",
+]
+#: fixed values: a clause (between commas) that holds such a word
+DOUBTFUL_CLAUSE = r",?[^,]*\b(?:" + "|".join(GUESSES) + r")\b[^,]*,?"
 #: fixed values: articles, number words and marks of answers
 ARTICLES = ["a", "an", "the"]
 NUMBERS = {"none": "0", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10"}
@@ -45,11 +69,10 @@ def neutralised(text: Column) -> Column:
 
 def without_guesses(text: Column) -> Column:
     """The sentences without their clauses (between commas) that guess or deny; what then begins with a preposition, or is empty, goes."""
-    clause = r",?[^,]*\b(?:" + "|".join(GUESSES) + r")\b[^,]*,?"
     doubtful = lambda s: F.exists(F.array(*map(F.lit, GUESSES)), lambda g: F.contains(s, g))
 
     def cleaned(s):
-        rest = F.trim(F.regexp_replace(s, clause, ""))
+        rest = F.trim(F.regexp_replace(s, DOUBTFUL_CLAUSE, ""))
         rest = F.when(F.endswith(rest, F.lit(".")), rest).otherwise(F.concat(rest, F.lit(".")))
         first = F.lower(F.get(F.split(F.trim(rest), r"\s+"), F.lit(0)))
         return F.when((F.trim(rest) != ".") & ~first.isin(PREPOSITIONS), F.trim(rest))

@@ -204,3 +204,44 @@ def identity_scores(pairs: DataFrame, truths: DataFrame, preds: DataFrame, video
     size = truths.groupBy(video).agg(F.count("*").alias("__g")).join(preds.groupBy(video).agg(F.count("*").alias("__p")), video, "full").na.fill(0)
     out = size.join(best, video, "left").na.fill(0, ["idtp"])
     return out.select(video, "idtp", F.try_divide(2 * F.col("idtp"), F.col("__g") + F.col("__p")).alias("idf1"))
+
+
+def limited(dets: DataFrame, by: list[str], most: int, name: str = "place", shares: int = 64) -> DataFrame:
+    """The first most rows of each group by score (ties by det), with their place from 1. A group is ranked in shares first, so no task gets all of it."""
+    order = [F.desc("score"), "det"]
+    cut = lambda t, keys: t.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= most)
+    return cut(cut(dets.withColumn("__share", F.pmod(F.xxhash64("det"), F.lit(shares))), [*by, "__share"]).drop("__share"), by)
+
+
+def ranged_scores(dets: DataFrame, truth: DataFrame, image: str, cls: str, box_d: Box, box_t: Box, thresholds: list[float], ranges: dict[str, tuple[float, float]], limits: list[int], per_class: int | None = None) -> DataFrame:
+    """(metric, range, limit, value): `ap` of each range [from, to) of areas, the mean over thresholds and classes of the precision at 101 recalls, with the
+    largest limit; and `ar`, the mean recall, at each limit of detections of one image and class for the first range, and of the others at the largest.
+
+    truth has a boolean ignore (crowds): a detection that is free otherwise and lies in one by the threshold's share of its own area does not count, and
+    any number of them may. By score each detection takes the free truth it overlaps most; truths out of the range come after those within, and what takes
+    one does not count, nor does a free detection out of the range. Classes without a truth within a range are left out of its means. With per_class,
+    only so many detections of a class count over all images, the best scored.
+    """
+    from .detection import detection_ap
+
+    kept = dets if per_class is None else limited(dets, [cls], per_class, "__all").drop("__all")
+    kept = limited(kept, [image, cls], max(limits))
+    levels = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.lit(n).alias("range"), F.lit(float(lo)).alias("__lo"), F.lit(float(hi)).alias("__hi")) for n, (lo, hi) in ranges.items() for t in thresholds])
+    outside = lambda v: (F.col(v) < F.col("__lo")) | (F.col(v) >= F.col("__hi"))
+    over = F.when(F.col("ignore"), iof(box_d, box_t)).otherwise(iou(box_d, box_t))
+    pairs = kept.join(truth, [image, cls]).select(image, cls, "det", "score", "gt", "ignore", area(box_t).alias("__ta"), over.alias("__o")).where(F.col("__o") >= min(thresholds))
+    each = pairs.select("*", F.inline(levels)).where(F.col("__o") >= F.col("threshold")).withColumn("__out", F.col("ignore") | outside("__ta"))
+    key = ["threshold", "range", image, cls]
+    order = F.when(F.col("__out"), F.lit(2.0)).otherwise(F.lit(0.0)) - F.col("__o")
+    offers = each.select(*key, "det", "score", order.alias("order"), "gt", F.col("__out").alias("ignored"), F.col("ignore").alias("again"))
+    rows = kept.select(image, cls, "det", "score", "place", area(box_d).alias("__da")).select("*", F.inline(levels))
+    marked = _greedy(rows, offers, key).where("mark >= 0").withColumn("tp", F.col("mark") == 1).where(F.col("tp") | ~outside("__da"))
+    by = ["threshold", "range", cls]
+    n = truth.where("NOT ignore").select(cls, area(box_t).alias("__ta")).select("*", F.inline(levels)).where(~outside("__ta")).groupBy(*by).agg(F.count("*").alias("n_gt"))
+    marked = written(marked.select(*key, "det", "score", "place", "tp"), "marked")
+    ap = n.join(detection_ap(marked.withColumn("key_order", F.col(image)), by, n, 101), by, "left").groupBy("range").agg(F.avg(F.coalesce("ap", F.lit(0.0))).alias("value"))
+    hits = marked.where("tp").groupBy(*by).agg(*[F.count_if(F.col("place") <= k).alias(f"k{k}") for k in limits])
+    recall = n.join(hits, by, "left").select("range", F.explode(F.array(*[F.struct(F.lit(k).alias("limit"), (F.coalesce(f"k{k}", F.lit(0)) / F.col("n_gt")).alias("r")) for k in limits])).alias("x"))
+    first = next(iter(ranges))
+    ar = recall.where((F.col("range") == first) | (F.col("x.limit") == max(limits))).groupBy("range", F.col("x.limit").alias("limit")).agg(F.avg("x.r").alias("value"))
+    return ap.select(F.lit("ap").alias("metric"), "range", F.lit(max(limits)).alias("limit"), "value").unionByName(ar.withColumn("metric", F.lit("ar")))

@@ -50,11 +50,6 @@ def with_vector(df: DataFrame, cache: DataFrame, key: list[str], vector: str, wi
     return both.withColumn("missing", F.col(vector).isNull()).withColumn(vector, F.coalesce(vector, F.array_repeat(F.lit(0.0), width)))
 
 
-def missing_vectors(df: DataFrame) -> DataFrame:
-    """(rows, missing) of with_vector()'s rows."""
-    return df.agg(F.count("*").alias("rows"), F.count_if("missing").alias("missing"))
-
-
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -111,11 +106,11 @@ def grouped_frames(df: DataFrame, frame: str, order: str, members: list[str], le
     return g if most is None else g.orderBy(frame).limit(most)
 
 
-def nearest_match(rows: DataFrame, reference: DataFrame, frame: str, ref_id: str, iou: Column, cue: str, ref_cue: str, least: float = 0.5) -> DataFrame:
+def nearest_match(rows: DataFrame, reference: DataFrame, frame: str, row: str, ref_id: str, iou: Column, cue: str, ref_cue: str, least: float = 0.5) -> DataFrame:
     """(frame, ref_id, matched, agree) for each reference row: whether a row of its frame overlaps it by more than least, and whether
-    the one that overlaps most has the same cue."""
+    the one that overlaps most (of equal ones that with the smallest number row) has the same cue."""
     both = reference.join(rows, frame).withColumn("__iou", iou).where(F.col("__iou") > least)
-    best = both.groupBy(frame, ref_id).agg(F.max_by(F.col(cue) == F.col(ref_cue), "__iou").alias("agree"))
+    best = both.groupBy(frame, ref_id).agg(F.max_by(F.col(cue) == F.col(ref_cue), F.struct("__iou", -F.col(row))).alias("agree"))
     return reference.select(frame, ref_id).join(best, [frame, ref_id], "left").select(frame, ref_id, F.col("agree").isNotNull().alias("matched"), F.coalesce("agree", F.lit(False)).alias("agree"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,6 +48,17 @@ def bootstrap_ratio(clusters: DataFrame, cluster: str, top: str, bottom: str, re
     return many.select(F.col("point").alias("estimate"), "low", "high")
 
 
+def bootstrap_metrics(clusters: DataFrame, cluster: str, partials: list[str], finals: dict[str, Column], reps: int, level: float = 0.95, seed: str = "0") -> DataFrame:
+    """(statistic, point, low, high, boot_mean, boot_std) of any metrics that are made of sums: partials are the clusters' columns to be summed, and each of
+    finals an expression over these sums by the same names. All metrics share the draws; replicates without a value are left out."""
+    each = draws(clusters, cluster, reps, seed).join(clusters, cluster)
+    sums = each.groupBy("rep").agg(*[F.sum(F.col(p) * F.col("mult")).alias(p) for p in partials])
+    told = lambda t, name: t.select(F.inline(F.array(*[F.struct(F.lit(n).alias("statistic"), c.cast("double").alias(name)) for n, c in finals.items()])))
+    ends = told(sums, "s").groupBy("statistic").agg(F.percentile("s", F.lit((1 - level) / 2)).alias("low"), F.percentile("s", F.lit((1 + level) / 2)).alias("high"), F.avg("s").alias("boot_mean"), F.stddev_samp("s").alias("boot_std"))
+    points = told(clusters.agg(*[F.sum(p).alias(p) for p in partials]), "point")
+    return points.join(F.broadcast(ends), "statistic").select("statistic", "point", "low", "high", "boot_mean", "boot_std")
+
+
 def bootstrap_ratios(clusters: DataFrame, cluster: str, ratios: Ratios, reps: int, level: float = 0.95, seed: str = "0") -> DataFrame:
     """(statistic, point, low, high, boot_mean, boot_std) of several ratios from one set of draws; replicates without a value are
     left out."""

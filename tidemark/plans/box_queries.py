@@ -56,6 +56,14 @@ def head_boxes(spark, d):
     return _a(spark, d).select("aid", *_named(G.head_box(G.box("a"), _W, _H), ""))
 
 
+@query(f"WITH {_A} SELECT aid, {_W} - ax2 AS fx1, ay1 AS fy1, {_W} - ax1 AS fx2, ay2 AS fy2, CAST(trunc(ax1 * 0.3) AS BIGINT) AS sx1, CAST(trunc(ay1 * 1.7) AS BIGINT) AS sy1, CAST(trunc(ax2 * 0.3) AS BIGINT) AS sx2, CAST(trunc(ay2 * 1.7) AS BIGINT) AS sy2, ax1 AS wx1, ay1 AS wy1, ax1 + (ax2 - ax1) // 2 AS wx2, ay1 + ay2 - ay1 AS wy2 FROM a")
+def box_forms(spark, d):
+    """Boxes mirrored, scaled to whole numbers, and made from a corner and half the width."""
+    b = G.box("a")
+    half = G.from_xywh((b[0], b[1], F.floor((b[2] - b[0]) / 2), b[3] - b[1]))
+    return _a(spark, d).select("aid", *_named(G.flipped(b, F.lit(_W)), "f"), *_named(G.int_box(G.scaled(b, F.lit(0.3), F.lit(1.7))), "s"), *_named(half, "w"))
+
+
 _PTS = "[{'x': ax1 + 2, 'y': ay1 + 3, 'c': ascore}, {'x': ax1 + 8, 'y': ay1 + 2, 'c': 1 - ascore}, {'x': ax2 - 3, 'y': ay1 + 9, 'c': 0.5}]"
 
 

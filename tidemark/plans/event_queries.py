@@ -139,7 +139,17 @@ def _clusters(spark, d):
 SELECT statistic, round(max(pt), 6) AS point, round(quantile_cont(s, 0.025), 6) AS low, round(quantile_cont(s, 0.975), 6) AS high, round(avg(s), 6) AS boot_mean, round(stddev_samp(s), 6) AS boot_std FROM l GROUP BY 1""")
 def bootstrap_many(spark, d):
     """Two shares from one set of draws of users."""
-    out = resample.bootstrap_ratios(_clusters(spark, d), "user_id", {"errors": ("err", "n"), "clicks": ("clk", "n")}, 100)
+    out = resample.bootstrap_ratios(_clusters(spark, d), "user_id", {"errors": ("err", "n"), "clicks": ("clk", "n")}, resample.draws_for("share", 100))
+    return rounded(out, "point", "low", "high", "boot_mean", "boot_std")
+
+
+@query(f"""WITH {_CL}, sm AS (SELECT rep, sum(err) AS err, sum(clk) AS clk, sum(c.n) AS n FROM dr JOIN c USING (i) GROUP BY 1 UNION ALL SELECT NULL, sum(err), sum(clk), sum(n) FROM c
+), l AS (SELECT rep, 'odds' AS statistic, err / CAST(n - err AS DOUBLE) AS s FROM sm UNION ALL SELECT rep, 'f1', 2 * err / CAST(err + clk + n AS DOUBLE) FROM sm)
+SELECT statistic, round(max(s) FILTER (rep IS NULL), 6) AS point, round(quantile_cont(s, 0.025) FILTER (rep IS NOT NULL), 6) AS low, round(quantile_cont(s, 0.975) FILTER (rep IS NOT NULL), 6) AS high, round(avg(s) FILTER (rep IS NOT NULL), 6) AS boot_mean, round(stddev_samp(s) FILTER (rep IS NOT NULL), 6) AS boot_std FROM l GROUP BY 1""")
+def bootstrap_metrics(spark, d):
+    """Metrics given as expressions over the users' summed counts."""
+    e, c, n = F.col("err"), F.col("clk"), F.col("n")
+    out = resample.bootstrap_metrics(_clusters(spark, d), "user_id", ["err", "clk", "n"], {"odds": e / (n - e), "f1": 2 * e / (e + c + n)}, 100)
     return rounded(out, "point", "low", "high", "boot_mean", "boot_std")
 
 

@@ -111,23 +111,91 @@ def caption_units(spark, d):
     return units.groupBy("unit", "action", "valid").agg(F.count("*").alias("n"))
 
 
-@query("SELECT CASE WHEN turn % 2 = 0 THEN 'A student, and they or they reads their book.' ELSE 'A student, and they reads their book.' END AS caption, count(*) AS n FROM conversations GROUP BY 1")
+_WORDS = "list_filter(string_split(regexp_replace(coalesce(text, ''), '[^\\x21-\\x7E]+', ' ', 'g'), ' '), lambda x: x <> '')"
+
+
+def _said(i: int, j: int):
+    """Words i to j of a text, ASCII only (word boundaries of other letters are a matter of the regex engine)."""
+    words = F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x21-\x7E]+", " "), " "), lambda x: x != "")
+    return F.array_join(F.slice(words, i, j - i + 1), " ")
+
+
+def _said_sql(i: int, j: int) -> str:
+    return f"array_to_string(({_WORDS})[{i}:{j}], ' ')"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _listed(texts_: list[str]) -> str:
+    return "[" + ", ".join(map(_quoted, texts_)) + "]"
+
+
+#: parts between the words of a turn, by turn modulo their number
+_DRESS = [(" A male student wearing a black floral hijab , and he ", " with a beard ."), (" The bearded man in an turban or a moustache saw HIM ", " , her mustache and head  scarf ."), (" She, a Female Student with a niqab ", " and a beard, his book")]
+
+
+def _neutral_sql() -> str:
+    t = f"({_said_sql(1, 3)} || CASE turn % 3 " + " ".join(f"WHEN {i} THEN {_quoted(a)} || {_said_sql(4, 7)} || {_quoted(b)}" for i, (a, b) in enumerate(_DRESS)) + " END)"
+    for pattern, to in texts.NEUTRAL:
+        flags = "gi" if pattern.startswith("(?i)") else "g"
+        t = f"regexp_replace({t}, {_quoted(pattern.removeprefix('(?i)'))}, {_quoted(to.replace('$1', chr(92) + '1'))}, '{flags}')"
+    return f"SELECT conv_id, turn, trim({t}) AS caption FROM conversations"
+
+
+@query(_neutral_sql())
 def neutral_captions(spark, d):
-    t = F.concat(F.lit("A male student wearing a black hijab , and he "), F.when(F.col("turn") % 2 == 0, "or she ").otherwise(""), F.lit("reads HIS book with a beard ."))
-    return table(spark, d, "conversations").groupBy(texts.neutralised(t).alias("caption")).agg(F.count("*").alias("n"))
+    """Words of each turn with descriptions of people between them, taken out again."""
+    t = F.col("turn") % 3
+    part = lambda i: F.when(t == 0, _DRESS[0][i]).when(t == 1, _DRESS[1][i]).otherwise(_DRESS[2][i])
+    made = F.concat(_said(1, 3), part(0), _said(4, 7), part(1))
+    return table(spark, d, "conversations").select("conv_id", "turn", texts.neutralised(made).alias("caption"))
+
+
+_GUESSED = [", possibly tired,", ", and it seems to rain.", " is not there,", " in the light, which appears dim,", " as I expected."]
+
+
+def _certain_sql() -> str:
+    guess = f"{_listed(_GUESSED)}[1 + (conv_id + turn) % {len(_GUESSED)}]"
+    made = f"{_said_sql(1, 4)} || {guess} || ' ' || {_said_sql(5, 9)} || '. With ' || {_said_sql(1, 2)} || ', perhaps ' || {_said_sql(3, 4)} || ', it ends. Fine.'"
+    doubtful = f"len(list_filter({_listed(texts.GUESSES)}, lambda g: contains(s, g))) > 0"
+    rest = f"trim(regexp_replace(s, {_quoted(texts.DOUBTFUL_CLAUSE)}, '', 'g'))"
+    return rf"""WITH c AS (SELECT conv_id, turn, string_split(regexp_replace({made}, '\.\s+', '.' || chr(1), 'g'), chr(1)) AS l FROM conversations
+), r AS (SELECT conv_id, turn, list_transform(l, lambda s: CASE WHEN NOT {doubtful} THEN trim(s) ELSE list_transform([{rest}], lambda r: CASE WHEN ends_with(r, '.') THEN r ELSE r || '.' END)[1] END) AS l, list_transform(l, lambda s: {doubtful}) AS g FROM c)
+SELECT conv_id, turn, trim(array_to_string(list_filter(l, lambda s, i: NOT g[i] OR (trim(s) <> '.' AND NOT list_contains({_listed(texts.PREPOSITIONS)}, lower(regexp_extract(trim(s), '^\S+'))))), ' ')) AS caption FROM r"""
 
 
-@query("SELECT CASE turn % 3 WHEN 0 THEN 'A man reads. He sits.' WHEN 1 THEN 'A man reads. He sits at a desk.' ELSE 'A man reads.' END AS caption, count(*) AS n FROM conversations GROUP BY 1")
+@query(_certain_sql())
 def certain_captions(spark, d):
-    """Captions without the clauses that guess."""
-    more = F.when(F.col("turn") % 3 == 0, " He sits, possibly tired.").when(F.col("turn") % 3 == 1, " He sits at a desk.").otherwise(" In the room, which seems full.")
-    return table(spark, d, "conversations").groupBy(texts.without_guesses(F.concat(F.lit("A man reads."), more)).alias("caption")).agg(F.count("*").alias("n"))
+    """Words of each turn as sentences with guesses in them, without the clauses that guess."""
+    guess = F.element_at(F.array(*map(F.lit, _GUESSED)), (1 + (F.col("conv_id") + F.col("turn")) % len(_GUESSED)).cast("int"))
+    made = F.concat(_said(1, 4), guess, F.lit(" "), _said(5, 9), F.lit(". With "), _said(1, 2), F.lit(", perhaps "), _said(3, 4), F.lit(", it ends. Fine."))
+    return table(spark, d, "conversations").select("conv_id", "turn", texts.without_guesses(made).alias("caption"))
 
 
-@query("SELECT CAST(turn % 4 AS BIGINT) AS kind, CASE turn % 4 WHEN 0 THEN '2 dogs dont bark' WHEN 1 THEN 'red blue' WHEN 2 THEN '3.5 m' ELSE 'yes' END AS answer, count(*) AS n FROM conversations GROUP BY 1, 2")
+_ANSWERS = ["The two ", "red/blue; (ten) ", "3.5 m. an ", "none, a dog's "]
+
+
+def _normal_sql() -> str:
+    t = f"{_listed(_ANSWERS)}[1 + turn % 4] || {_said_sql(1, 6)} || '.'"
+    t = f"replace(replace(lower({t}), ',', ''), '?', '')"
+    t = f"trim(regexp_replace(trim(replace({t}, {_quoted(chr(39) + 's')}, {_quoted(' ' + chr(39) + 's')})), '[\\n\\t]', ' ', 'g'))"
+    marks = "w"
+    for m in texts.MARKS:
+        loose = f"contains(w, {_quoted(m + ' ')}) OR contains(w, {_quoted(' ' + m)})"
+        marks = f"replace({marks}, {_quoted(m)}, CASE WHEN {loose} THEN '' ELSE ' ' END)"
+    digits = "CASE x " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in texts.NUMBERS.items()) + " ELSE x END"
+    return rf"""WITH a AS (SELECT conv_id, turn, {t} AS w FROM conversations
+), m AS (SELECT conv_id, turn, {marks} AS t FROM a), n AS (SELECT conv_id, turn, regexp_replace(regexp_replace(t, '\.+([^0-9.]|$)', '\1', 'g'), '\.+(\.[0-9])', '\1', 'g') AS t FROM m)
+SELECT conv_id, turn, array_to_string(list_filter(list_transform(list_filter(string_split_regex(lower(t), '\s+'), lambda x: x <> ''), lambda x: {digits}), lambda x: NOT list_contains({_listed(texts.ARTICLES)}, x)), ' ') AS answer FROM n"""
+
+
+@query(_normal_sql())
 def normal_answers(spark, d):
-    a = F.when(F.col("turn") % 4 == 0, "The two dogs, DONT bark?").when(F.col("turn") % 4 == 1, "red/blue;").when(F.col("turn") % 4 == 2, "3.5 m.").otherwise("\tan YES.\n")
-    return table(spark, d, "conversations").groupBy((F.col("turn") % 4).cast("long").alias("kind"), texts.normal_answer(a).alias("answer")).agg(F.count("*").alias("n"))
+    """Words of each turn as an answer, in its normal form."""
+    head = F.element_at(F.array(*map(F.lit, _ANSWERS)), (1 + F.col("turn") % 4).cast("int"))
+    return table(spark, d, "conversations").select("conv_id", "turn", texts.normal_answer(F.concat(head, _said(1, 6), F.lit("."))).alias("answer"))
 
 
 @query("WITH w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), c AS (SELECT item_id, w[1:3] AS p, array_to_string(w[1:3], '. ') || '.' AS c FROM w) SELECT item_id, c AS caption, CAST(position(lower(p[len(p)]) IN lower(c)) - 1 AS BIGINT) AS last_from FROM c")
@@ -138,11 +206,15 @@ def caption_spans(spark, d):
     return table(spark, d, "benchmark").select("item_id", s["caption"].alias("caption"), F.element_at(s["spans"], -1)["a"].cast("long").alias("last_from"))
 
 
-@query("SELECT count(*) AS n, round(avg(CASE WHEN turn % 3 < 2 THEN conv_id % 10 END), 6) AS first, count(*) FILTER (turn % 3 < 2) AS parsed, count(*) FILTER (conv_id % 5 < 4) AS chosen FROM conversations")
+_REVIEW = "CASE turn % 4 WHEN 0 THEN CAST(length(text) % 10 AS VARCHAR) || ' 7.5' || chr(10) || text WHEN 1 THEN length(text) % 10 || ', ' || turn || chr(10) WHEN 2 THEN text ELSE 'good ' || length(text) END"
+
+
+@query(rf"""WITH r AS (SELECT conv_id, turn, {_REVIEW} AS r, upper(trim(substr(text, 1 + CAST(length(text) % 7 AS INTEGER), 1))) AS a FROM conversations), p AS (SELECT *, list_filter(string_split_regex(replace(string_split(r, chr(10))[1], ',', ' '), '\s+'), lambda x: x <> '') AS p FROM r), q AS (SELECT *, len(p) = 2 AND TRY_CAST(p[1] AS DOUBLE) IS NOT NULL AND TRY_CAST(p[2] AS DOUBLE) IS NOT NULL AS ok FROM p)
+SELECT conv_id, turn, CASE WHEN ok THEN TRY_CAST(p[1] AS DOUBLE) END AS first, CASE WHEN ok THEN TRY_CAST(p[2] AS DOUBLE) END AS second, CAST(list_position(['A', 'B', 'C', 'D', 'E'], a) - 1 AS INTEGER) AS choice FROM q""")
 def review_answers(spark, d):
-    """Scores read from reviews, and letters of choices."""
-    score = (F.col("conv_id") % 10).cast("string")
-    review = F.when(F.col("turn") % 3 == 0, F.concat(score, F.lit(" 7.5\nfine"))).when(F.col("turn") % 3 == 1, F.concat(score, F.lit(", 3\n"))).otherwise(F.concat(F.lit("good "), score))
-    letter = F.get(F.array(*map(F.lit, [" a", "B", "c ", "D", "none"])), (F.col("conv_id") % 5).cast("int"))
+    """Scores read from the first line of reviews with the turn's text, and a letter of it as a choice."""
+    n, t, text = F.length("text"), F.col("turn") % 4, F.col("text")
+    score = (n % 10).cast("string")
+    review = F.when(t == 0, F.concat(score, F.lit(" 7.5\n"), text)).when(t == 1, F.concat(score, F.lit(", "), F.col("turn").cast("string"), F.lit("\n"))).when(t == 2, text).otherwise(F.concat(F.lit("good "), n.cast("string")))
     s = texts.review_scores(review)
-    return table(spark, d, "conversations").agg(F.count("*").alias("n"), F.round(F.avg(s["first"]), 6).alias("first"), F.count(s["first"]).alias("parsed"), F.count(texts.choice_index(letter, list("ABCD"))).alias("chosen"))
+    return table(spark, d, "conversations").select("conv_id", "turn", s["first"].alias("first"), s["second"].alias("second"), texts.choice_index(F.substring("text", 1 + n % 7, 1), list("ABCDE")).alias("choice"))

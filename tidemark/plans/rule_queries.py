@@ -131,3 +131,32 @@ def identity_scores(spark, d):
     """Frames in the best pairing of whole tracks; tested against all pairings."""
     a, b, m = _track_matches(spark, d)
     return rounded(R.identity_scores(m, a, b, "video", "gt", "track"), "idf1")
+
+
+_RANGES = {"all": (0.0, 1e9), "small": (0.0, 1200.0), "large": (1200.0, 1e9)}
+_LIMITS = [1, 2, 3]
+
+
+def _ranged_sql() -> str:
+    ranges = ", ".join(f"('{n}', {lo}, {hi})" for n, (lo, hi) in _RANGES.items())
+    return f"""WITH lv AS (SELECT * FROM (VALUES {ranges}) r(range, lo, hi), (SELECT unnest([0.4, 0.6]::DOUBLE[]) AS threshold)
+), a AS (SELECT *, row_number() OVER (PARTITION BY frame, acls ORDER BY ascore DESC, aid) AS place FROM (SELECT * FROM ({_sql_boxes('a', 0)}) QUALIFY row_number() OVER (PARTITION BY acls ORDER BY ascore DESC, aid) <= 3000) QUALIFY place <= 3
+), b AS (SELECT *, bid // 1000 % 1000000 % 5 = 0 AS ig FROM ({_sql_boxes('b', 9)})
+), ab AS (SELECT *, greatest(least(ax2, bx2) - greatest(ax1, bx1), 0) * greatest(least(ay2, by2) - greatest(ay1, by1), 0) AS i, (ax2 - ax1) * (ay2 - ay1) AS sa, (bx2 - bx1) * (by2 - by1) AS sb FROM a JOIN b USING (frame) WHERE acls = bcls
+), p AS (SELECT *, CASE WHEN ig THEN i / CAST(sa AS DOUBLE) ELSE {_IOU} END AS ov, ig OR sb < lo OR sb >= hi AS x FROM ab, lv), offers AS (SELECT threshold, range, frame, acls, aid AS det, ascore AS score, CASE WHEN x THEN 2 ELSE 0 END - ov AS o, bid AS gt, x AS ignored, ig AS again FROM p WHERE ov >= threshold
+), {_FOLD.format(key='threshold, range, frame, acls')}, d AS (SELECT a.*, lv.threshold, lv.range, lo, hi, coalesce(m.mark, 0) AS mark FROM a CROSS JOIN lv LEFT JOIN (SELECT threshold, range, frame, acls, m.det, m.mark FROM marks) m ON m.threshold = lv.threshold AND m.range = lv.range AND m.frame = a.frame AND m.acls = a.acls AND m.det = a.aid
+), k AS (SELECT *, mark = 1 AS tp FROM d WHERE mark = 1 OR (mark = 0 AND (ax2 - ax1) * (ay2 - ay1) >= lo AND (ax2 - ax1) * (ay2 - ay1) < hi)
+), n AS (SELECT threshold, range, bcls AS acls, count(*) AS n_gt FROM b, lv WHERE NOT ig AND (bx2 - bx1) * (by2 - by1) >= lo AND (bx2 - bx1) * (by2 - by1) < hi GROUP BY ALL
+), c AS (SELECT *, sum(CAST(tp AS INT)) OVER w AS t, sum(CAST(tp AS INT)) OVER w / CAST(row_number() OVER w AS DOUBLE) AS pr, row_number() OVER w AS r FROM k WINDOW w AS (PARTITION BY threshold, range, acls ORDER BY ascore DESC, frame, aid)
+), e AS (SELECT *, max(pr) OVER (PARTITION BY threshold, range, acls ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v FROM c
+), h AS (SELECT threshold, range, acls, q, max(v) AS h FROM e JOIN n USING (threshold, range, acls), (SELECT unnest(range(101)) AS q) WHERE t * 100 >= q * n_gt GROUP BY ALL
+), f AS (SELECT threshold, range, acls, sum(h) / 101 AS ap FROM h GROUP BY ALL), z AS (SELECT n.threshold, n.range, n.acls, n_gt, {', '.join(f'(SELECT count(*) FROM k WHERE k.threshold = n.threshold AND k.range = n.range AND k.acls = n.acls AND tp AND place <= {q}) AS k{q}' for q in _LIMITS)} FROM n
+), y AS (SELECT range, unnest({_LIMITS}) AS lim, unnest([{', '.join(f'k{q} / CAST(n_gt AS DOUBLE)' for q in _LIMITS)}]) AS r FROM z)
+SELECT 'ap' AS metric, range, 3 AS "limit", round(avg(coalesce(ap, 0)), 6) AS value FROM n LEFT JOIN f USING (threshold, range, acls) GROUP BY range UNION ALL SELECT 'ar', range, lim, round(avg(r), 6) FROM y WHERE range = 'all' OR lim = 3 GROUP BY range, lim"""
+
+
+@query(_ranged_sql())
+def ranged_scores(spark, d):
+    """Precision and recall by ranges of area and limits of detections, crowds aside."""
+    out = R.ranged_scores(_dets(spark, d), _truth(spark, d), "frame", "cls", G.box("a"), G.box("b"), [0.4, 0.6], _RANGES, _LIMITS, 3000)
+    return rounded(out, "value")

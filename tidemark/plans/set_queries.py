@@ -100,11 +100,7 @@ def grouped_frames(spark, d):
 def nearest_matches(spark, d):
     """The box that overlaps each reference box most, and whether its class agrees."""
     a, b = _boxes(spark, d, "a", 0), _boxes(spark, d, "b", 9)
-    # of equal overlaps the smaller id, as a share too small to matter
-    iou = G.iou(G.box("a"), G.box("b"))
-    both = b.join(a, "frame").withColumn("iou", iou).where("iou > 0.5")
-    best = both.groupBy("frame", "bid").agg(F.max_by(F.col("acls") == F.col("bcls"), F.struct("iou", -F.col("aid"))).alias("agree"))
-    return b.select("frame", "bid").join(best, ["frame", "bid"], "left").select("frame", "bid", F.col("agree").isNotNull().alias("matched"), F.coalesce("agree", F.lit(False)).alias("agree"))
+    return records.nearest_match(a, b, "frame", "aid", "bid", G.iou(G.box("a"), G.box("b")), "acls", "bcls")
 
 
 @query("WITH u AS (SELECT user_id, row_number() OVER (ORDER BY substr(md5(CAST(user_id AS VARCHAR)), 1, 3), user_id) - 1 AS i FROM (SELECT DISTINCT user_id FROM events)) SELECT user_id, count(*) AS n FROM events JOIN u USING (user_id) WHERE i % 4 = 1 GROUP BY 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cues import keyword_label
 from ..functions.geometry import Box
 
 #: schema of one line of grounding data
@@ -61,3 +62,18 @@ def cue_log_rows(log: DataFrame) -> DataFrame:
     without alert_allowed allows alerts."""
     each = log.select("t", F.explode("students").alias("student", "s"))
     return each.select("t", "student", "s.cue", "s.conf", "s.dwell", F.coalesce("s.alerted", F.lit(False)).alias("alerted"), F.coalesce("s.alert_allowed", F.lit(True)).alias("alert_allowed"))
+
+
+def weak_regions(lines: DataFrame, text: Column, words: dict[str, list[str]]) -> DataFrame:
+    """(file, video, frame, box, label) of the regions of JSON records {filename, grounding: {regions: [{bbox, phrase}]}}: each is labelled by the
+    keywords in its own phrase. Regions without four sides or without a keyword go, and so do records that are no JSON.
+
+    Of a name like t000012_500_f000375_video_3.jpg the frame is 375 and the video what follows it; names of another form have none.
+    """
+    kind = "filename string, grounding struct<regions array<struct<bbox array<double>, phrase string>>>"
+    each = lines.select(F.from_json(text, kind).alias("r")).select(F.col("r.filename").alias("file"), F.explode("r.grounding.regions").alias("x"))
+    label = keyword_label(F.coalesce("x.phrase", F.lit("")), words)
+    whole = (F.size("x.bbox") == 4) & ~F.exists("x.bbox", lambda v: v.isNull())
+    found = each.where(F.coalesce(whole, F.lit(False))).withColumn("label", label).where("label IS NOT NULL")
+    part = lambda i: F.nullif(F.regexp_extract("file", r"_f(\d+)(?:_([^.]+))?\.", i), F.lit(""))
+    return found.select("file", part(2).alias("video"), part(1).cast("int").alias("frame"), F.col("x.bbox").alias("box"), "label")

@@ -62,7 +62,7 @@ def fold_by_key(stream: DataFrame, key: str, order: list[str], columns: list[str
 
     state is a DDL of its fields. With idle, a key's state is dropped when its rows pause for longer than that (order[0] holds whole
     microseconds): in the next row, as step gets None, and by an event-time timeout once the stream's watermark has passed, so that
-    keys that never come back keep nothing.
+    keys that never come back keep nothing. Rows without key or time are no one's and are left out.
     """
     kinds = dict(stream.dtypes)
     out = [key, *columns, *[c.split()[0] for c in made.split(", ")]]
@@ -149,46 +149,36 @@ def predict_every(stream: DataFrame, key: str, order: list[str], frame: str, val
     return fold_by_key(stream, key, order, [ident, frame, value], "predicted boolean, held double", "at long, held double", step, idle)
 
 
-def dwell_alerts(stream: DataFrame, key: str, time: str, tie: str, label: str, alerted: list[str], least: int, allowed: str | None = None) -> DataFrame:
+def dwell_alerts(stream: DataFrame, key: str, time: str, tie: str, label: str, alerted: list[str], least: int, allowed: str | None = None, idle: int | None = None) -> DataFrame:
     """(key, tie, label, dwell): the first row of each run of one of the alerted labels whose dwell is at least so long and, with a
     column allowed, where that is true (or null).
 
-    Rows whose key, time or label is null are left out. Each key's rows must arrive in order from batch to batch.
+    Rows whose key, time or label is null are left out. Each key's rows must arrive in order from batch to batch. With idle, a pause longer than
+    that ends a run, and the key's state goes (see fold_by_key).
     """
-    kinds = dict(stream.dtypes)
+    may = F.coalesce(F.col(allowed), F.lit(True)) if allowed else F.lit(True)
 
-    def run(keys, frames, state: GroupState):
-        last, since, told = state.get if state.exists else (None, 0, False)
-        out = []
-        for t, i, v, may in _sorted(frames, [time, tie])[[time, tie, label, "__may"]].itertuples(index=False):
-            if v != last:
-                last, since, told = v, t, False
-            if not told and may and v in alerted and t - since >= least:
-                told = True
-                out.append((keys[0], i, v, t - since))
-        state.update((last, int(since), told))
-        yield pd.DataFrame(out, columns=[key, tie, label, "dwell"])
+    def step(state, row):
+        t, _, v, may = row
+        last, since, told = state if state else (None, 0, False)
+        if v != last:
+            last, since, told = v, int(t), False
+        alert = bool(not told and may and v in alerted and t - since >= least)
+        return (last, since, told or alert), (int(t) - since, alert)
 
-    may = F.coalesce(F.col(allowed), F.lit(True)) if allowed else F.lit(True)
-    rows = stream.select(key, time, tie, label, may.alias("__may")).where(F.col(key).isNotNull() & F.col(time).isNotNull() & F.col(label).isNotNull())
-    made = f"{key} {kinds[key]}, {tie} {kinds[tie]}, {label} string, dwell long"
-    return rows.groupBy(key).applyInPandasWithState(run, made, "last string, since long, told boolean", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.where(F.col(label).isNotNull()).withColumn("may_alert", may)
+    found = fold_by_key(rows, key, [time, tie], [time, tie, label, "may_alert"], "dwell long, alert boolean", "last string, since long, told boolean", step, idle)
+    return found.where("alert").select(key, tie, label, "dwell")
 
 
-def admit_by_rate(stream: DataFrame, key: str, time: str, arrival: str, period: int) -> DataFrame:
-    """(key, arrival, time) of the rows admitted: a key's first, one earlier than the last admitted, or at least period after it."""
-    kinds = dict(stream.dtypes)
+def admit_by_rate(stream: DataFrame, key: str, time: str, arrival: str, period: int, idle: int | None = None) -> DataFrame:
+    """(key, arrival, time) of the rows admitted: a key's first, one earlier than the last admitted, or at least period after it. Rows without key or
+    time are left out. With idle, a key's state goes after so long a pause (of arrival, in whole microseconds), and its next row is a first one."""
+
+    def step(state, row):
+        last, t = state[0] if state else None, int(row[1])
+        admitted = last is None or t < last or t - last >= period
+        return (t if admitted else last,), (admitted,)
 
-    def run(keys, frames, state: GroupState):
-        last = state.get[0] if state.exists else None
-        out = []
-        for i, t in _sorted(frames, [arrival])[[arrival, time]].itertuples(index=False):
-            if last is None or t < last or t - last >= period:
-                last = int(t)
-                out.append((keys[0], i, t))
-        state.update((last,))
-        yield pd.DataFrame(out, columns=[key, arrival, time])
-
-    rows = stream.select(key, arrival, time).where(F.col(key).isNotNull() & F.col(time).isNotNull())
-    made = f"{key} {kinds[key]}, {arrival} {kinds[arrival]}, {time} long"
-    return rows.groupBy(key).applyInPandasWithState(run, made, "last long", "append", GroupStateTimeout.NoTimeout)
+    found = fold_by_key(stream.where(F.col(time).isNotNull()), key, [arrival], [arrival, time], "admitted boolean", "admitted_at long", step, idle)
+    return found.where("admitted").select(key, arrival, time)
