@@ -18,13 +18,13 @@ def test_opinions_over_batches(spark, tmp_path):
     """Late and absent opinions: each frame comes out once, with the newest opinion that the stream still had in time."""
     kind = "k long, s double, id long"
     put = lambda name, rows: spark.createDataFrame(rows, kind).withColumn("ts", F.timestamp_seconds("s")).drop("s").coalesce(1).write.mode("append").parquet(str(tmp_path / name))
-    frames = [(k, float(s), 100 * k + s) for k in (1, 2, 3) for s in range(0, 60, 3)]
-    told = [(1, 2.0, 1), (1, 2.0, 2), (1, 20.0, 3), (2, 31.0, 4), (None, 5.0, 5), (1, 400.0, 6)]
-    for lo, hi in ((0, 30), (30, 500)):
+    frames = [(k, float(s), 100 * k + s) for k in (1, 2, 3) for s in range(100, 160, 3)]
+    told = [(1, 102.0, 1), (1, 102.0, 2), (1, 120.0, 3), (2, 131.0, 4), (None, 105.0, 5), (1, 400.0, 6)]
+    for lo, hi in ((0, 130), (130, 500)):
         put("f", [r for r in frames if lo <= r[1] < hi] + ([(9, 400.0, 9)] if hi == 500 else []))
         put("o", [r for r in told if lo <= r[1] < hi])
     put("f", [(9, 500.0, 10)])
-    put("o", [(1, 10.0, 99), (9, 500.0, 7)])  # far too late
+    put("o", [(1, 110.0, 99), (9, 500.0, 7)])  # far too late
     read = lambda n: stateful.parquet_stream(spark, str(tmp_path / n), 1).withWatermark("ts", "5 seconds")
     out = live.side_opinions(read("f"), read("o").withColumnRenamed("id", "opinion"), "k", "ts", "id", ["opinion"], "opinion", "12 SECONDS")
     got = [(r["k"], r["id"], r["age_us"], r["opinion"]) for r in stateful.run_to_end(out).collect()]
@@ -32,7 +32,7 @@ def test_opinions_over_batches(spark, tmp_path):
     for k, s, i in frames:
         near = [(t, o) for a, t, o in told if a == k and s - 12 <= t <= s]
         want.append((k, i, round((s - max(near)[0]) * 1e6), max(near)[1]) if near else (k, i, None, None))
-    assert Counter(r for r in got if r[1] < 400) == Counter(want)
+    assert Counter(r for r in got if r[0] != 9) == Counter(want) and sum(r[3] is not None for r in want) > 6
 
 
 def test_newest_twice(spark, tmp_path):

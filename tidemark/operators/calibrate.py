@@ -219,7 +219,7 @@ def isotonic_score(df: DataFrame, score: str, blocks: DataFrame, out: str) -> Da
     them; null where score is. Blocks and rows meet by buckets of the score."""
     ends = blocks.agg(F.min("low").alias("__low"), F.max("high").alias("__high"))
     rows = df.join(F.broadcast(ends), F.lit(True))  # one row
-    at = F.least(F.greatest(F.col(score).cast("double"), F.col("__low")), F.col("__high"))
+    at = F.when(F.col(score).isNotNull(), F.least(F.greatest(F.col(score).cast("double"), F.col("__low")), F.col("__high")))
     bucket = lambda c: F.coalesce(F.floor(F.try_divide(c - F.col("__low"), F.col("__high") - F.col("__low")) * BUCKETS), F.lit(0))
     rows = rows.withColumn("__at", at).withColumn("__b", bucket(F.col("__at")))
     place = Window.partitionBy("g").orderBy("low")
