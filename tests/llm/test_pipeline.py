@@ -4,6 +4,7 @@ import os
 import random
 import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tidemark.llm import jaccard, langid, ordinal
 from tidemark.llm.jaccard import JaccardJoin
+from tidemark.llm.packing import GROUP_TOKENS, pack, with_step_groups
 from tidemark.llm.queries import vocabulary_file
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -114,6 +116,22 @@ def test_stages_and_pieces(spark, tmp_path):
     assert max(by.values()) <= 1024
 
 
+def test_step_groups(spark):
+    """Groups over all tasks: of one tier each, full but for a tier's last, numbered without gaps."""
+    rng = random.Random(24)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(WORDS["en"].split()) for _ in range(rng.choice([3, 60, 500, 3000])))) for i in range(700)], "doc_id long, text string").repartition(9)
+    rows = with_step_groups(spark, pack(docs, vocabulary_file("byte_bpe_50k.json"))).collect()
+    tokens, tiers = Counter(), defaultdict(set)
+    for r in rows:
+        tokens[r["step_group"]] += r["length"]
+        tiers[r["step_group"]].add(r["tier"])
+    assert sorted(tokens) == list(range(len(tokens))) and all(len(t) == 1 for t in tiers.values())
+    last = {min(tiers[g]): g for g in sorted(tokens)}
+    assert all(n == GROUP_TOKENS for g, n in tokens.items() if g not in last.values()) and len(tokens) > len(last)
+    assert [min(tiers[g]) for g in sorted(tokens)] == sorted((min(t) for t in tiers.values()), reverse=True)
+    assert with_step_groups(spark, pack(docs.limit(0), vocabulary_file("byte_bpe_50k.json"))).count() == 0
+
+
 def test_samples_of_odd_ids(spark):
     """Rows whose ids are null or equal teach as well as others, and never more than the bound come to the driver."""
     rng = random.Random(22)

@@ -19,10 +19,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import WHITE_SPACE, byte_alphabet
+from .workspace import Workspace
 
 LONGEST = 1024
 #: Documents that a task holds at a time.
@@ -128,8 +129,8 @@ class Pieces:
 class Packer:
     """add(document number, tokens), flush() at the end; pieces are placed as soon as their window is full.
 
-    Sequence numbers go up from 0. Step groups: sequences of one tier, in the order they are closed, GROUP_TOKENS each, so
-    every group of a tier has the same number of tokens (but the last).
+    Sequence numbers go up from 0. Step groups of this packer: sequences of one tier, in the order they are closed, GROUP_TOKENS each
+    (with_step_groups() numbers them over all tasks).
     """
 
     def __init__(self, longest: int = LONGEST):
@@ -218,7 +219,8 @@ def pack(docs: DataFrame, path: str, longest: int = LONGEST, end_id: int = 0) ->
     A document's ids are its text's (null: none) and then end_id; every id lies in one piece, so even an empty text has one
     piece of one id. A sequence has exactly its tier's number of tokens, a power of two up to longest. Rows are packed as
     they come: repeated rows and null doc_ids too. path: a tokenizers file that every worker can read. sequence_ids carry
-    the task's number in their upper bits, so they are unique, and the same again if a lost task runs anew.
+    the task's number in their upper bits, so they are unique, and the same again if a lost task runs anew. Texts of any length are
+    encoded whole; other columns are not read; an empty table gives an empty one.
     """
     if longest & (longest - 1) or longest < SHORTEST:
         raise ValueError("longest must be a power of two")
@@ -261,3 +263,24 @@ def pack(docs: DataFrame, path: str, longest: int = LONGEST, end_id: int = 0) ->
         yield placed()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, COLUMNS)
+
+
+def with_step_groups(spark: SparkSession, pieces: DataFrame) -> DataFrame:
+    """pieces of pack() with step_group numbered over all tasks and tiers: each group has GROUP_TOKENS tokens of one tier, only a tier's last group fewer;
+    numbers run from 0 without gaps, the longest tier first.
+
+    The pieces are written once. A row for each task and tier (ten tiers at most, and tiers of the powers of two below) tells where the task's
+    sequences begin among all of the tier; within a task they are numbered in the order they were closed.
+    """
+    held = Workspace(spark, "groups").save(pieces.drop("step_group"), "pieces")
+    first = held.where("offset = 0").select("sequence_id", "tier", F.shiftright("sequence_id", 40).alias("task"))
+    counts = first.groupBy("tier", "task").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("tier").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("tier", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("begin"))
+    groups = counts.groupBy("tier").agg(F.ceil(F.sum("n") * F.col("tier") / GROUP_TOKENS).cast("long").alias("g"))
+    longer = Window.partitionBy(F.lit(0)).orderBy(F.desc("tier")).rowsBetween(Window.unboundedPreceding, -1)
+    tiers = groups.select("tier", F.coalesce(F.sum("g").over(longer), F.lit(0)).alias("base"))
+    own = first.withColumn("r", F.row_number().over(Window.partitionBy("tier", "task").orderBy("sequence_id")) - 1)
+    placed = own.join(F.broadcast(starts), ["tier", "task"]).join(F.broadcast(tiers), "tier")
+    group = F.col("base") + F.floor((F.col("begin") + F.col("r")) * F.col("tier") / GROUP_TOKENS)
+    return held.join(placed.select("sequence_id", group.cast("long").alias("step_group")), "sequence_id").select(*pieces.columns)

@@ -10,7 +10,7 @@ from .bpe import round_trip
 from .exact import exact_groups
 from .jaccard import JaccardJoin
 from .lines import line_dedup
-from .packing import pack
+from .packing import pack, with_step_groups
 from .phrases import PhraseMiner
 from .repair import damage_and_repair
 from .sharding import ShardTree, shard_documents
@@ -69,7 +69,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"))
+    return with_step_groups(spark, pack(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json")))
 
 
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
