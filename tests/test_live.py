@@ -224,3 +224,24 @@ def test_identity(spark):
         n = Counter((g, t) for w, g, t, _ in pairs if w == v)
         best = max(sum(n[g, t] for g, t in enumerate(p)) for p in permutations(range(5), 4))
         assert got[v]["idtp"] == best and abs(got[v]["idf1"] - 2 * best / 120) < 1e-12
+
+
+def test_retrieval_in_blocks(spark):
+    from tidemark.operators.detection import retrieval
+
+    rng = random.Random(14)
+    rows = [(i, rng.randrange(6), [float(rng.randrange(3)) for _ in range(3)]) for i in range(60)] + [(60, 99, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "row long, who long, v array<float>")
+    want, n = defaultdict(float), 0
+    for i, who, v in rows:
+        if i % 4 == 0 and who != 99:
+            order = sorted((sum((a - b) ** 2 for a, b in zip(v, w, strict=True)), j) for j, _, w in rows if j != i)
+            at = [k for k, (_, j) in enumerate(order, 1) if rows[j][1] == who]
+            if at:
+                n += 1
+                want["mean_ap"] += sum((m + 1) / k for m, k in enumerate(at)) / len(at)
+                want["cmc_1"] += at[0] <= 1
+                want["cmc_5"] += at[0] <= 5
+    for block in (7, 2048):
+        got = retrieval(df.where("row % 4 = 0"), df, "who", "row", "v", [1, 5], block).first()
+        assert got["n"] == n and all(abs(got[k] - v / n) < 1e-9 for k, v in want.items())

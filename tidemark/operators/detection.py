@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, area, iou
+from ..sources.files import written
 from .metrics import running_sums
 
 #: Points of a curve in one window.
@@ -144,21 +147,43 @@ def mean_ap(dets: DataFrame, truth: DataFrame, frame: str, cls: str, box_d: Box,
     return out.unionByName(mean)
 
 
-def retrieval(queries: DataFrame, gallery: DataFrame, ident: str, row: str, vector: str, ranks: list[int]) -> DataFrame:
+def retrieval(queries: DataFrame, gallery: DataFrame, ident: str, row: str, vector: str, ranks: list[int], block: int = 2048) -> DataFrame:
     """(n, mean_ap, cmc_<rank>...): squared distances of each query to all gallery rows but itself, nearest first (ties by row); queries
     without another row of their identity are left out.
 
-    A stated set of queries meets the whole gallery, query by query; each query's distances are ordered in a window of its own.
+    A hit's rank is one more than the gallery rows before it, so no order of all rows is needed: queries and gallery meet in blocks, each pair of blocks
+    counts for every hit the rows of the gallery block that come before it, and the counts are summed. A query's hits are one array.
     """
-    q = queries.select(F.col(row).alias("__q"), F.col(ident).alias("__qi"), F.col(vector).alias("__qv"))
-    g = gallery.select(F.col(row).alias("__g"), F.col(ident).alias("__gi"), F.col(vector).alias("__gv"))
-    distance = F.aggregate(F.zip_with("__qv", "__gv", lambda a, b: (a - b).cast("double") * (a - b)), F.lit(0.0), lambda a, x: a + x)
-    # the gallery goes by blocks of queries: both sides are dealt by hash, none is broadcast
-    both = q.join(g, F.col("__q") != F.col("__g")).select("__q", "__g", F.round(distance, 9).alias("d"), (F.col("__qi") == F.col("__gi")).cast("int").alias("hit"))
-    w = Window.partitionBy("__q").orderBy("d", "__g")
-    run = both.withColumns({"rank": F.row_number().over(w), "tp": F.sum("hit").over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    each = run.groupBy("__q").agg(F.sum("hit").alias("rel"), F.sum(F.when(F.col("hit") == 1, F.col("tp") / F.col("rank"))).alias("s"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first")).where("rel > 0")
-    return each.agg(F.count("*").alias("n"), F.avg(F.col("s") / F.col("rel")).alias("mean_ap"), *[F.avg((F.col("first") <= r).cast("double")).alias(f"cmc_{r}") for r in ranks])
+    q = queries.select(F.col(row).alias("q"), F.col(ident).alias("i"), F.col(vector).alias("v"))
+    g = gallery.select(F.col(row).alias("g"), F.col(ident).alias("i"), F.col(vector).alias("w"))
+    square = F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b).cast("double") * (a - b)), F.lit(0.0), lambda a, x: a + x)
+    near = q.join(g, "i").where("q <> g").select("q", F.struct(F.round(square, 9).alias("d"), F.col("g").cast("long").alias("g")).alias("h"))
+    asked = q.join(near.groupBy("q").agg(F.sort_array(F.collect_list("h")).alias("hits")), "q")
+    asked = written(asked.select("q", "v", F.col("hits.d").alias("d"), F.col("hits.g").alias("h")), "asked")
+    parts = lambda t: max(1, -(-t.count() // block))
+    of_q, of_g = parts(asked), parts(gallery)
+    deal = lambda t, own, n, other, m: t.withColumns({f"b{own}": F.pmod(F.xxhash64(own), F.lit(n)), f"b{other}": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))})
+
+    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            w, ids = np.stack(b["w"].to_numpy()), b["g"].to_numpy()
+            for q, v, d, h in a[["q", "v", "d", "h"]].itertuples(index=False):
+                gap = (np.asarray(v, w.dtype) - w).astype(float)
+                far = np.round((gap * gap).sum(1), 9)[ids != q]
+                mine = ids[ids != q]
+                order = np.lexsort((mine, far))
+                far, mine = far[order], mine[order]
+                at, to = np.searchsorted(far, d, "left"), np.searchsorted(far, d, "right")
+                out.append((q, [int(x + np.searchsorted(mine[x:y], k)) for x, y, k in zip(at, to, h, strict=True)]))
+        return pd.DataFrame(out, columns=["q", "before"])
+
+    kind = dict(asked.dtypes)["q"]
+    pairs = deal(asked, "q", of_q, "g", of_g).groupBy("bq", "bg").cogroup(deal(g.select("g", "w"), "g", of_g, "q", of_q).groupBy("bq", "bg"))
+    counted = pairs.applyInPandas(count, f"q {kind}, before array<long>").select("q", F.posexplode("before").alias("k", "n"))
+    each = counted.groupBy("q", "k").agg((F.sum("n") + 1).alias("rank"))
+    told = each.groupBy("q").agg(F.avg((F.col("k") + 1) / F.col("rank")).alias("ap"), F.min("rank").alias("first"))
+    return told.agg(F.count("*").alias("n"), F.avg("ap").alias("mean_ap"), *[F.avg((F.col("first") <= r).cast("double")).alias(f"cmc_{r}") for r in ranks])
 
 
 def panoptic_quality(pixels: DataFrame, image: str, void: int = 0) -> DataFrame:

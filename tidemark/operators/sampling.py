@@ -102,7 +102,7 @@ def even_draw(df: DataFrame, by: str, classes: int, id_col: str, n: int, seed: s
 
 
 #: Groups that a greedy split takes at most: one row each, they are assigned one after another.
-MOST_GROUPS = 1 << 20
+MOST_GROUPS = 1 << 16
 
 
 def greedy_split(df: DataFrame, group: str, parts: dict[str, float], profile: str | None = None) -> DataFrame:
