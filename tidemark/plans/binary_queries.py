@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import annotations, binary, files
+from ..sources import annotations, binary, detection_sets, files
 from .base import query, table
 from .queries import EV, _boxes, _sql_boxes, events
 
@@ -67,3 +67,62 @@ def weak_regions(spark, d):
     line = F.to_json(F.struct(name.alias("filename"), F.struct("regions").alias("grounding")))
     lines = regions.select(F.when(F.col("conv_id") % 11 == 0, F.expr("'{\"filename\": '")).otherwise(line).alias("line"))
     return annotations.weak_regions(lines, F.col("line"), _WORDS).groupBy("video", "frame", "label").agg(F.count("*").alias("n"))
+
+
+_A = f"a AS ({_sql_boxes('a', 0)})"
+
+
+@query(f"""WITH {_A} SELECT 'f' || frame AS image, acls AS cls, CAST(count(*) AS BIGINT) AS n, count(*) FILTER (aid % 7 = 0 OR ax2 - ax1 < 25 OR ay2 - ay1 < 25) AS ignored, CAST(sum(ax1 + ay1 + ax2 + ay2) AS DOUBLE) AS sides, 90 AS width FROM a WHERE acls <> 'R' GROUP BY 1, 2""")
+def xml_boxes(spark, d):
+    """Boxes as XML files of some frames each, read as instances of two classes."""
+    folder = files.scratch(spark, "voc")
+    a = _boxes(spark, d, "a", 0)
+    side = lambda n, c: F.concat(F.lit(f"<{n}>"), (F.col(c) + 1).cast("string"), F.lit(f"</{n}>"))
+    one = F.concat(F.lit("<object><name>"), "acls", F.lit("</name>"), F.when(F.col("aid") % 7 == 0, "<difficult>1</difficult>").otherwise(""), F.lit("<bndbox>"), side("xmin", "ax1"), side("ymin", "ay1"), side("xmax", "ax2"), side("ymax", "ay2"), F.lit("</bndbox></object>"))
+    text = a.groupBy("frame").agg(F.array_join(F.collect_list(one), "").alias("o"))
+    page = F.concat(F.format_string("<annotation><filename>img/f%d.jpg</filename><size><width>90</width><height>80</height></size>", "frame"), "o", F.lit("</annotation>"))
+    each = text.select(F.floor(F.col("frame") / 512).alias("part"), page.alias("p")).groupBy("part").agg(F.array_join(F.collect_list("p"), "\n").alias("t"))
+    binary.write_files(each.select(F.format_string("part%d.xml", "part").alias("name"), F.encode(F.concat(F.lit("<set>\n"), "t", F.lit("\n</set>")), "UTF-8").alias("content")), folder)
+    got = detection_sets.xml_instances(spark, folder, ["A", "N"], 25)
+    total = F.aggregate("box", F.lit(0.0), lambda s, v: s + v)
+    return got.groupBy("image", "cls").agg(F.count("*").alias("n"), F.count_if("ignore").alias("ignored"), F.sum(total).alias("sides"), F.max("width").alias("width"))
+
+
+@query(f"""WITH {_A} SELECT acls AS tag, count(*) AS n, count(*) FILTER (acls = 'R' OR aid % 9 = 0) AS ignored, CAST(sum(ax2 - ax1) AS DOUBLE) AS width, CAST(sum((ax2 - ax1) // 2) AS DOUBLE) AS head FROM a GROUP BY 1""")
+def crowd_boxes(spark, d):
+    """Boxes as JSON lines of people with full, head and visible boxes."""
+    folder = files.scratch(spark, "crowd")
+    w, h = (F.col("ax2") - F.col("ax1")).cast("double"), (F.col("ay2") - F.col("ay1")).cast("double")
+    x, y = F.col("ax1").cast("double"), F.col("ay1").cast("double")
+    g = F.struct(F.when(F.col("acls") == "R", "mask").otherwise(F.col("acls")).alias("tag"), F.array(x, y, w, h).alias("fbox"), F.array(x, y, F.floor(w / 2).cast("double"), h).alias("hbox"), F.array(x, y, w, h).alias("vbox"), F.when(F.col("aid") % 9 == 0, F.struct(F.lit(1).alias("ignore"))).alias("extra"))
+    _boxes(spark, d, "a", 0).groupBy(F.col("frame").cast("string").alias("ID"), "acls").agg(F.collect_list(g).alias("gtboxes")).select(F.concat_ws("|", "ID", "acls").alias("ID"), "gtboxes").write.json(folder)
+    got = detection_sets.crowd_instances(spark, folder, ["A", "N"])
+    return got.groupBy(F.element_at(F.split("image", r"\|"), 2).alias("tag")).agg(F.count("*").alias("n"), F.count_if("ignore").alias("ignored"), F.sum(F.col("box")[2] - F.col("box")[0]).alias("width"), F.sum(F.col("head")[2] - F.col("head")[0]).alias("head"))
+
+
+@query(f"""WITH {_A} SELECT 'v' || frame % 5 AS video, CAST(aid // 1000000000 AS INTEGER) AS track, count(*) AS n, CAST(sum(ax2) AS DOUBLE) AS x2 FROM a WHERE ascore >= 0.25 AND ax1 + 20 < 90 AND ay1 < 80 AND aid // 1000000000 % 3 <> 0 GROUP BY 1, 2""")
+def track_files(spark, d):
+    """Boxes as a text file of tracks a video; those outside, hardly visible or of other classes go."""
+    folder = files.scratch(spark, "mot")
+    a = _boxes(spark, d, "a", 0)
+    line = F.floor(F.col("aid") / 1_000_000_000)
+    rows = a.select((F.col("frame") % 5).alias("video"), F.concat_ws(",", "frame", line, F.col("ax1") + 20, "ay1", F.col("ax2") - F.col("ax1"), F.col("ay2") - F.col("ay1"), F.lit(1), line % 3, "ascore").alias("l"))
+    text = rows.groupBy("video").agg(F.array_join(F.collect_list("l"), "\n").alias("t"))  # five files
+    binary.write_files(text.select(F.format_string("v%d/gt/gt.txt", "video").alias("name"), F.encode("t", "UTF-8").alias("content")), folder)
+    got = detection_sets.track_instances(spark, f"{folder}/*/gt/gt.txt", 90, 80, [1, 2], 0.25)
+    return got.groupBy("video", "track").agg(F.count("*").alias("n"), F.sum(F.col("box")[2] - 20).alias("x2"))
+
+
+@query(f"""WITH {_A} SELECT CASE acls WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS cls, count(*) AS n, count(*) FILTER (aid % 6 = 0) AS grouped, round(sum((ax2 - ax1) * (ay2 - ay1)) / 1e3, 3) AS area FROM a GROUP BY 1""")
+def open_boxes(spark, d):
+    """Boxes as shares of their images in a table with label codes."""
+    folder = files.scratch(spark, "open")
+    a = _boxes(spark, d, "a", 0)
+    share = lambda c, of: (F.col(c) / of).alias(c)
+    table_ = a.select(F.col("frame").cast("string").alias("ImageID"), F.lit("x").alias("Source"), F.concat(F.lit("/m/"), "acls").alias("LabelName"), F.lit(1.0).alias("Confidence"), share("ax1", 128.0), share("ax2", 128.0), share("ay1", 64.0), share("ay2", 64.0), F.lit(0).alias("o"), F.lit(0).alias("t"), (F.col("aid") % 6 == 0).cast("int").alias("g"), F.lit(0).alias("d"), F.lit(0).alias("i"))
+    table_.write.csv(folder, header=True)
+    sizes = a.select(F.col("frame").cast("string").alias("image")).distinct().select("image", F.lit(128).alias("width"), F.lit(64).alias("height"))
+    names = spark.createDataFrame([("/m/A", 0), ("/m/N", 1), ("/m/R", 2)], "label string, cls int")
+    got = detection_sets.open_instances(spark, folder, sizes, names)
+    b = F.col("box")
+    return got.groupBy("cls").agg(F.count("*").alias("n"), F.count_if("is_group").alias("grouped"), F.round(F.sum((b[2] - b[0]) * (b[3] - b[1])) / 1e3, 3).alias("area"))
