@@ -111,3 +111,16 @@ def scaled_probabilities(spark, d):
     kinds = {"raw": F.col("probs"), "temperature": fusion.tempered(F.col("probs"), t), "vector": calibrate.vector_scaled(F.col("probs"), scales, biases)}
     each = [metrics.probability_losses(rows.withColumn("probs", p), "probs", "truth").select(F.lit(k).alias("kind"), F.round("brier", 5).alias("brier"), F.round("nll", 5).alias("nll")) for k, p in kinds.items()]
     return each[0].unionAll(each[1]).unionAll(each[2])
+
+
+@query(f"WITH {EV}, p AS (SELECT *, event_id * 4 // ((SELECT max(event_id) FROM ev) + 1) AS part FROM ev) SELECT event_type, k % 10 AS seat, count(*) AS n, round(avg(value), 6) AS mean, count(DISTINCT part) AS n_pushed FROM p GROUP BY 1, 2")
+def pushed_counts(spark, d):
+    """Counts and means by type as a display gets them: only what changed, in four micro-batches."""
+    folder, out = files.scratch(spark, "split"), files.scratch(spark, "pushed")
+    ev = events(spark, d).select("event_id", "event_type", "value", (F.col("k") % 10).alias("seat"))
+    last = ev.agg(F.max("event_id")).first()[0]
+    for part in range(4):
+        ev.where(F.floor(F.col("event_id") * 4 / (last + 1)) == part).coalesce(1).write.mode("append").parquet(folder)
+    stream = stateful.parquet_stream(spark, folder, 1)
+    live.push_counts(stream, ["event_type", "seat"], {"n": F.count("*"), "mean": F.avg("value")}, out).trigger(availableNow=True).start().awaitTermination()
+    return live.pushed(spark, out, "event_type string, seat long, n long, mean double", ["event_type", "seat"]).withColumn("mean", F.round("mean", 6))

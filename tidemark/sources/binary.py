@@ -1,7 +1,7 @@
 """Binary files: a sink of named files, arrays in NPZ files, members of zip archives, images and their labels.
 
 Files are read through Spark's binaryFile source, so they may lie in any store that Spark reads; each is one row, with what is
-wrong with it as a row of its own. The sink writes to a folder that all machines have mounted.
+wrong with it as a row of its own (empty files have none: Spark passes over them). The sink writes to a folder that all machines have mounted.
 """
 
 from __future__ import annotations

@@ -48,3 +48,22 @@ def newest_rows(spark, folder: str, schema) -> DataFrame:
 def drop_counts(taken: DataFrame, source: str) -> DataFrame:
     """(source, n_read, n_taken, n_dropped) of each source so far."""
     return taken.groupBy(source).agg(F.sum("n_read").alias("n_read"), F.count("*").alias("n_taken"), (F.sum("n_read") - F.count("*")).alias("n_dropped"))
+
+
+def push_counts(stream: DataFrame, by: list[str], sums: dict, folder: str):
+    """Writer of running aggregates in update mode: each micro-batch pushes the groups that it changed, with their values so far (sums: name to an
+    aggregate expression), as one write to its own folder. A batch run twice replaces itself. With a watermark on a column of by, groups that are past it
+    are forgotten."""
+    changed = stream.groupBy(*by).agg(*[c.alias(n) for n, c in sums.items()])
+
+    def push(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return changed.writeStream.outputMode("update").foreachBatch(push).option("checkpointLocation", scratch(stream.sparkSession, "push"))
+
+
+def pushed(spark, folder: str, schema: str, by: list[str]) -> DataFrame:
+    """The last values pushed of each group, and n_pushed, how often it was pushed."""
+    rows = spark.read.schema(f"{schema}, batch long").option("basePath", folder).parquet(f"{folder}/batch=*")
+    own = [c for c in rows.columns if c not in (*by, "batch")]
+    return rows.groupBy(*by).agg(F.max_by(F.struct(*own), "batch").alias("v"), F.count("*").alias("n_pushed")).select(*by, "v.*", "n_pushed")
