@@ -57,6 +57,7 @@ def rules(version: str = "v1") -> list[tuple[str, Column]]:
     activity, gaze, target, engagement, posture, hand = map(_field, DEFAULTS)
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     reads_target = version != "v2"
+    #: fixed values: the values that each rule reads
     hidden = flag("occluded") & (F.coalesce("face_kpts", F.lit(3)) <= 2)
     nothing = (gaze == "unknown") & (engagement == "unknown") & (activity == "other")
     peer = (activity == "talking_to_peer") | flag("talking") | (gaze == "peer")
@@ -66,6 +67,7 @@ def rules(version: str = "v1") -> list[tuple[str, Column]]:
         nothing, peer, away = nothing & (target == "unknown"), peer | (target == "peer"), away | (target == "distracted")
     phone = (activity == "using_phone") | flag("phone_visible") | (gaze == "phone") | (hand == "on_phone")
     task_gaze = gaze.isin(TASK_GAZES) & target.isin(TASK_TARGETS) if reads_target else gaze.isin(TASK_GAZES)
+    #: fixed values: the rules of work, in order of precedence
     work = {
         "v1": [("screen_oriented", activity.isin(TASK_ACTIVITIES) | task_gaze)],
         "cue9": [
