@@ -7,6 +7,7 @@ Document frequencies cover all labelled rows; the steps run over a bounded sampl
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BINS = 1 << 14
-#: The fit uses at most about this many rows of each language, drawn by a hash of the row's id.
+#: The fit uses at most about this many rows of each language, drawn by a hash of id and text.
 SAMPLE_PER_LANGUAGE = 800
 #: More labels than this are refused: the weights have a row of BINS for each.
 MOST_LANGUAGES = 512
@@ -147,7 +148,7 @@ def fit(spark: SparkSession, rows: DataFrame, per_language: int = SAMPLE_PER_LAN
     that many, fewer where there are fewer. Rows of equal id, text and label are one, so ids that are null or repeat do not matter; never
     more than 2 * per_language rows for each language come to the driver. The same rows give the same model.
     """
-    rows = rows.where("label IS NOT NULL").select(F.xxhash64("id", "text", F.lit("sample")).alias("h"), "text", "label")
+    rows = rows.where("label IS NOT NULL").select(F.xxhash64("id", "text", F.lit("sample")).alias("h"), F.xxhash64("id", F.lit("sample")).alias("turn"), "text", "label")
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} labels")
@@ -163,7 +164,7 @@ def fit(spark: SparkSession, rows: DataFrame, per_language: int = SAMPLE_PER_LAN
     rate = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / max(sizes[k], 1)))])
     drawn = rows.where(F.pmod(F.col("h"), F.lit(1 << 40)) / F.lit(float(1 << 40)) < F.element_at(rate, F.col("label"))).dropDuplicates(["h", "label"])
     drawn = drawn.orderBy(F.pmod(F.col("h"), F.lit(1 << 40)), "h", "label").limit(2 * per_language * len(languages))
-    sample = sorted(drawn.select("h", "text", "label").mapInArrow(_sparse_rows, "h long, label string, bins binary, counts binary").collect(), key=lambda r: (r["h"], r["label"], r["bins"]))
+    sample = sorted(drawn.select(F.col("turn").alias("h"), "text", "label").mapInArrow(_sparse_rows, "h long, label string, bins binary, counts binary").collect(), key=lambda r: (r["h"], zlib.crc32(r["bins"]), r["label"], r["bins"]))
     data = []
     for r in sample:
         counts = np.zeros(BINS, np.int64)
