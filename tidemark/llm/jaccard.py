@@ -43,9 +43,9 @@ SKETCH_BINS = 256
 PARITIES = [f"q{i}" for i in range(SKETCH_BINS // 64)]
 #: Fragments of the ordinary shingles; the heavy ones are one more.
 FRAGMENT_BITS = 2
-#: A profiling task counts recurring shingles over about this many at a time (8 MB).
-PROFILE_SHINGLES = 1 << 20
-#: An ordinary shingle that so many different sets have in their prefixes is heavy after all.
+#: A profiling task counts recurring shingles over about this many at a time (32 MB).
+PROFILE_SHINGLES = 1 << 22
+#: Ordinary shingles with more different sets than this in their bucket are heavy after all.
 THIN_BUCKET = 1024
 
 
@@ -323,12 +323,13 @@ class JaccardJoin:
             at = np.argsort(tokens)
             heavy = self.spark.sparkContext.broadcast((tokens[at], rank[at]))
             entries = self.ws.save(docs.mapInArrow(released(_prefixes(self.k, self.percent, heavy)), "token long, key long, meta long, heavy boolean"), "entries")
-            full = self.ws.save(entries.where("NOT heavy").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > THIN_BUCKET).select("token"), "full")
+            light = entries.where("NOT heavy")
+            full = self.ws.save(light.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > THIN_BUCKET).select("token"), "full")
             room = 2 * HEAVY_ROWS - len(tokens)
             if full.isEmpty() or room <= 0:
                 return entries, heavy
             # copies of one set in several tasks are one member
-            members = entries.where("NOT heavy").join(full, "token").select("token", "key").distinct()
+            members = light.join(full, "token").select("token", "key").distinct()
             thin = members.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > THIN_BUCKET).orderBy(F.desc("n"), "token").limit(room).toPandas()
             if thin.empty:
                 return entries, heavy
