@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import joins
-from ..sources import annotations, files, jsonl
+from ..sources import annotations, binary, files, jsonl
 from ..streaming import stateful
 from .base import DAY, HOUR, query, table
 from .queries import EV, RUNS, _boxes, _sql_boxes, event_stream, events
@@ -132,25 +132,18 @@ def run_folders(spark, d):
     return found.select(F.regexp_replace("run", "^run=", "").alias("run"), "n")
 
 
-@query("SELECT 'unexpected' AS status, count(*) AS n FROM (SELECT DISTINCT n_regionkey FROM nation WHERE n_regionkey >= 3) UNION ALL SELECT 'changed', 1")
+@query(f"""WITH {EV}, u AS (SELECT user_id AS id, count(*) AS n FROM ev GROUP BY 1), f AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'missing' WHEN id % 7 = 0 THEN 'changed' END AS status FROM u UNION ALL SELECT id, 'unexpected' FROM u WHERE id % 11 = 0)
+SELECT status, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM f WHERE status IS NOT NULL GROUP BY 1""")
 def content_manifest(spark, d):
-    """Files against a manifest of their contents: those added since, and one that was changed."""
-    folder = files.scratch(spark, "manifest")
-    n = table(spark, d, "nation")
-    n.where("n_regionkey < 3").repartition("n_regionkey").select("n_name", F.concat(F.lit("f"), F.col("n_regionkey").cast("string")).alias("f")).write.partitionBy("f").text(f"{folder}/a")
-    of = lambda p: files.contents(spark, p, "*.txt").withColumn("name", F.col("sha256"))
-    made = of(f"{folder}/a").withColumn("name", F.row_number().over(_by_hash()).cast("string"))
-    made.write.parquet(f"{folder}/made")
-    expected = spark.read.parquet(f"{folder}/made")
-    extra = n.select((F.col("n_regionkey") + 1).cast("string").alias("name"), "n_regionkey").where("n_regionkey >= 3").distinct().withColumn("sha256", F.lit("x"))
-    found = expected.select("name", F.when(F.col("name") == "2", F.lit("y")).otherwise(F.col("sha256")).alias("sha256")).unionByName(extra.select("name", "sha256"))
-    return files.verify_contents(expected, found).groupBy("status").agg(F.count("*").alias("n"))
-
-
-def _by_hash():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0)).orderBy("sha256")  # one row a file
+    """A folder of one file a user against the manifest of an earlier one: files that are gone, changed and new."""
+    old, new = files.scratch(spark, "manifest"), files.scratch(spark, "manifest")
+    text = events(spark, d).groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(",", "us", "event_type"))), "\n").alias("t"))
+    named = lambda t, mark="u": t.select(F.format_string(f"{mark}%06d.csv", "user_id").alias("name"), F.encode("t", "UTF-8").alias("content"))
+    binary.write_files(named(text), old)
+    edited = text.where("user_id % 5 <> 0").withColumn("t", F.when(F.col("user_id") % 7 == 0, F.concat("t", F.lit("\n"))).otherwise(F.col("t")))
+    binary.write_files(named(edited).unionByName(named(text.where("user_id % 11 = 0"), "x")), new)
+    found = files.verify_contents(files.contents(spark, old), files.contents(spark, new))
+    return found.groupBy("status").agg(F.count("*").alias("n"), F.sum(F.regexp_extract("name", r"(\d+)", 1).cast("long")).alias("ids"))
 
 
 @query("SELECT url FROM pages ORDER BY md5('3|' || url), url LIMIT 20")
