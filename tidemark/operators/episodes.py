@@ -191,11 +191,12 @@ def segment_f1(counts: DataFrame) -> DataFrame:
 
 def relabelled(df: DataFrame, key: list[str], time: list[str], cut: Column, probs: str) -> DataFrame:
     """Adds refined: every row of a segment gets the class of the largest mean probability in it (of equal ones the first). A segment
-    begins at a row with the cut condition, but for a key's first row, which begins one anyway."""
+    begins at a row with the cut condition, but for a key's first row, which begins one anyway. Means are of decimals, so that equal ones are equal
+    in whatever order rows are summed."""
     w = Window.partitionBy(*key).orderBy(*time)
     begins = F.when(F.row_number().over(w) > 1, F.coalesce(cut, F.lit(False)).cast("long")).otherwise(0)
     parted = df.withColumn("__cut", begins).withColumn("__seg", F.sum("__cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    mean = parted.select(*key, "__seg", F.posexplode(probs).alias("c", "p")).groupBy(*key, "__seg", "c").agg(F.avg("p").alias("p"))
+    mean = parted.select(*key, "__seg", F.posexplode(probs).alias("c", "p")).groupBy(*key, "__seg", "c").agg(F.avg(F.col("p").cast("decimal(20,18)")).alias("p"))
     best = mean.groupBy(*key, "__seg").agg(F.max(F.struct("p", (-F.col("c")).alias("i"))).alias("m")).select(*key, "__seg", (-F.col("m.i")).alias("refined"))
     return parted.join(best, [*key, "__seg"]).drop("__seg", "__cut")
 
