@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.operators import episodes as E
+from tidemark.operators import sampling
 
 
 def test_relabelled_ties(spark):
@@ -15,3 +16,9 @@ def test_relabelled_ties(spark):
         rows += [(user, i, [k / 100, (100 - k) / 200, (100 - k) / 200]) for i, k in enumerate(ks)]
     df = spark.createDataFrame(rows, "user long, t long, ps array<double>").repartition(3)
     assert {r["refined"] for r in E.relabelled(df, ["user"], ["t"], F.lit(False), "ps").collect()} == {0}
+
+
+def test_many_groups(spark):
+    df = spark.range(70_000).select(F.when(F.col("id") > 0, F.col("id") + (1 << 60)).alias("g"), F.lit(1).alias("x"))
+    split = sampling.greedy_split(df, "g", {"a": 0.5, "b": 0.5})
+    assert [tuple(r) for r in split.groupBy("split").agg(F.count("*"), F.count_distinct("g"), F.count_if(F.col("g").isNull())).orderBy("split").collect()] == [("a", 35_000, 34_999, 1), ("b", 35_000, 35_000, 0)]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,40 +104,35 @@ def even_draw(df: DataFrame, by: str, classes: int, id_col: str, n: int, seed: s
     return first.unionByName(head(rest, F.col("__m"), [id_col], seed).select(*first.columns))
 
 
-#: Groups that a greedy split takes at most: one row each, they are assigned one after another.
-MOST_GROUPS = 1 << 16
-
-
 def greedy_split(df: DataFrame, group: str, parts: dict[str, float], profile: str | None = None) -> DataFrame:
     """Adds split: groups from the largest on (then by name) go to the part that is furthest below its share, of equal ones the first.
     With profile, a thousandth part of a need for the group's classes breaks near ties.
 
-    Only one row a group, with its size and class counts, meets in one task; more than MOST_GROUPS of them are an error.
+    Each choice depends on all before it, so one row a group, with its size and class counts, passes through one task in that order; only the parts'
+    sizes and class counts are held. The driver has the sums by class.
     """
-    import pandas as pd
-
     cls = F.col(profile).cast("string") if profile else F.lit("")
     counts = df.groupBy(F.col(group).alias("g"), F.coalesce(cls, F.lit("")).alias("c")).agg(F.count("*").alias("n"))
-    profiles = counts.groupBy("g").agg(F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("p"))
-    rows = profiles.limit(MOST_GROUPS + 1).orderBy(F.desc("size"), "g").collect()
-    if len(rows) > MOST_GROUPS:
-        raise ValueError(f"more than {MOST_GROUPS} groups")
-    total = max(sum(r["size"] for r in rows), 1)
-    of_class: dict[str, int] = {}
-    for r in rows:
-        for c, n in r["p"].items():
-            of_class[c] = of_class.get(c, 0) + n
-    sizes, seen, where = dict.fromkeys(parts, 0), {p: {} for p in parts}, {}
-    for r in rows:
-        need = lambda p, r=r: sum(max(0, parts[p] * of_class[c] - seen[p].get(c, 0)) for c in r["p"]) / max(r["size"], 1) if profile else 0.0
-        best = max(parts, key=lambda p: (parts[p] - sizes[p] / total) * 1000 + need(p) * 0.001)
-        where[r["g"]] = best
-        sizes[best] += r["size"]
-        for c, n in r["p"].items():
-            seen[best][c] = seen[best].get(c, 0) + n
-    kind = dict(df.dtypes)[group]
-    table = df.sparkSession.createDataFrame(pd.DataFrame({"__group": pd.Series(list(where), dtype=object), "split": list(where.values())}), f"__group {kind}, split string") if where else df.sparkSession.createDataFrame([], f"__group {kind}, split string")
-    return df.join(table, df[group].eqNullSafe(table["__group"])).drop("__group")
+    of_class = {r["c"]: r["n"] for r in counts.groupBy("c").agg(F.sum("n").alias("n")).collect()}
+    total = max(sum(of_class.values()), 1)
+    sums = counts.groupBy("g").agg(F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct("c", "n"))).alias("p"))
+    ordered = sums.select(F.col("g").alias("__group"), "size", F.col("p.c").alias("c"), F.col("p.n").alias("n")).repartition(1).sortWithinPartitions(F.desc("size"), "__group")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, seen = dict.fromkeys(parts, 0), {p: {} for p in parts}
+        for batch in batches:
+            found = []
+            for size, classes, numbers in zip(*(batch.column(c).to_pylist() for c in ("size", "c", "n")), strict=True):
+                need = lambda p, size=size, classes=classes: sum(max(0, parts[p] * of_class[c] - seen[p].get(c, 0)) for c in classes) / max(size, 1) if profile else 0.0
+                best = max(parts, key=lambda p: (parts[p] - sizes[p] / total) * 1000 + need(p) * 0.001)
+                found.append(best)
+                sizes[best] += size
+                for c, n in zip(classes, numbers, strict=True):
+                    seen[best][c] = seen[best].get(c, 0) + n
+            yield pa.RecordBatch.from_arrays([batch.column("__group"), pa.array(found, pa.string())], ["__group", "split"])
+
+    placed = ordered.mapInArrow(run, f"__group {dict(df.dtypes)[group]}, split string")
+    return df.join(placed, df[group].eqNullSafe(placed["__group"])).drop("__group")
 
 
 def drawn_split(df: DataFrame, group: str, share_of: float, seed: str = "0") -> DataFrame:
