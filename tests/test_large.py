@@ -2,10 +2,12 @@
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tidemark.operators import episodes as E
 from tidemark.operators import sampling
+from tidemark.plans import queries as Q
 
 
 def test_relabelled_ties(spark):
@@ -22,3 +24,11 @@ def test_many_groups(spark):
     df = spark.range(70_000).select(F.when(F.col("id") > 0, F.col("id") + (1 << 60)).alias("g"), F.lit(1).alias("x"))
     split = sampling.greedy_split(df, "g", {"a": 0.5, "b": 0.5})
     assert [tuple(r) for r in split.groupBy("split").agg(F.count("*"), F.count_distinct("g"), F.count_if(F.col("g").isNull())).orderBy("split").collect()] == [("a", 35_000, 34_999, 1), ("b", 35_000, 35_000, 0)]
+
+
+def test_many_shards(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.range(40_100).withColumnRenamed("id", "doc_id").write.parquet(f"{folder}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    assert sorted(duck.execute(Q.SQL["shard_layout"]).fetchall()) == sorted(tuple(r) for r in Q.QUERIES["shard_layout"](spark, folder).collect())

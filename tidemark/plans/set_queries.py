@@ -108,7 +108,7 @@ def modulo_shard(spark, d):
     return records.modulo_shard(table(spark, d, "events"), "user_id", 4, 1).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'shard_' || lpad(CAST(i // 40 AS VARCHAR), 3, '0') AS shard, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 3), doc_id) - 1 AS i FROM documents) GROUP BY 1")
+@query("SELECT printf('shard_%03d', i // 40) AS shard, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 3), doc_id) - 1 AS i FROM documents) GROUP BY 1")
 def shard_layout(spark, d):
     return records.shard_names(table(spark, d, "documents").select("doc_id"), "doc_id", 40).groupBy("shard").agg(F.count("*").alias("n"))
 
