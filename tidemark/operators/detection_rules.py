@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, area, intersection, iof, iou
 from ..sources.files import written
-from .matching import least_cost
+from .matching import least_cost, least_cost_many
 from .metrics import running_sums
 
 #: fixed values: false positives an image at which the miss rate is read, from 0.01 and from 0.0001
@@ -132,36 +135,62 @@ def crowd_curve(marked: DataFrame, truths: DataFrame, images: DataFrame, order:
 def crowd_jaccard(dets: DataFrame, truth: DataFrame, image: str, box: str, thresholds: list[float], least: float = 0.5) -> DataFrame:
     """(threshold, jaccard, matched, truths, detections) at each score: of an image the most pairs of truth and detection (score over the threshold) with
     enough overlap, by the sum of overlaps among equally many; k / (m + n - k), averaged over the images that have either. Free ones that an
-    ignored truth covers do not count. Both tables have a box of four numbers in column box; one image is in memory."""
+    ignored truth covers do not count. Both tables have a box of four numbers in column box; a batch of images is in memory, and those with equally
+    many boxes are matched at once."""
 
     def over(a: np.ndarray, b: np.ndarray, inside: bool = False) -> np.ndarray:
-        w = np.minimum(a[:, None, 2:], b[None, :, 2:]) - np.maximum(a[:, None, :2], b[None, :, :2])
-        both = np.clip(w, 0, None).prod(2)
-        size = lambda v: (v[:, 2:] - v[:, :2]).prod(1)
-        whole = size(a)[:, None] if inside else size(a)[:, None] + size(b)[None] - both
+        w = np.minimum(a[..., 2:], b[..., 2:]) - np.maximum(a[..., :2], b[..., :2])
+        both = np.clip(w, 0, None).prod(-1)
+        size = lambda v: (v[..., 2:] - v[..., :2]).prod(-1)
+        whole = size(a) + 0 * both if inside else size(a) + size(b) - both
         return np.where(whole > 0, both / np.where(whole > 0, whole, 1), 0.0)
 
-    def run(d: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        boxes = lambda f: np.array(f["box"].tolist(), float).reshape(-1, 4)
-        real, away = boxes(t[~t["ignore"].astype(bool)]), boxes(t[t["ignore"].astype(bool)])
-        covered = lambda b: (over(b, away, True).max(1) > least) if len(b) and len(away) else np.zeros(len(b), bool)
-        out = []
-        for level in thresholds:
-            own = boxes(d[d["score"] > level])
-            pairs = []
-            if len(own) and len(real):
-                o = over(own, real)
-                # a pair without enough overlap costs more than all others together
-                cost = np.where(o >= least, 1 - o, 2.0 * (len(own) + len(real)))
-                pairs = [(i, j) for i, j in least_cost(cost) if o[i, j] >= least]
-            free_d, free_t = np.ones(len(own), bool), np.ones(len(real), bool)
-            free_d[[i for i, _ in pairs]] = free_t[[j for _, j in pairs]] = False
-            k, m, n = len(pairs), len(real) - int((covered(real) & free_t).sum()), len(own) - int((covered(own) & free_d).sum())
-            out.append((level, k / (m + n - k + 1e-6), k, m, n))
-        return pd.DataFrame(out, columns=["threshold", "ratio", "k", "m", "n"])
+    def covered(rows: np.ndarray, of: np.ndarray, away: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Which rows, of the images of, one of the image's n ignored truths covers; away is in the order of the images."""
+        each = np.repeat(np.arange(len(rows)), n[of])
+        nth = np.arange(len(each)) - np.repeat(np.cumsum(n[of]) - n[of], n[of])
+        hit = over(rows[each], away[(np.cumsum(n) - n)[of[each]] + nth], True) > least
+        return np.bincount(each[hit], minlength=len(rows)) > 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("rows")
+            det, score, ignore, box_ = lists.flatten().flatten()
+            many = len(lists)
+            of = np.repeat(np.arange(many), lists.value_lengths().to_numpy())
+            det, ignore = (x.to_numpy(zero_copy_only=False).astype(bool) for x in (det, ignore))
+            score, boxes = score.to_numpy(zero_copy_only=False), box_.flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
+            count = lambda mask: np.bincount(of[mask], minlength=many)
+            begin = lambda n: np.cumsum(n) - n
+            is_real, is_away = ~det & ~ignore, ~det & ignore
+            real, n_real = boxes[is_real], count(is_real)
+            away, n_away = boxes[is_away], count(is_away)
+            hidden, hidden_det = covered(real, of[is_real], away, n_away), covered(boxes[det], of[det], away, n_away)
+            told = []
+            for level in thresholds:
+                over_level = score[det] > level
+                own, own_of, hidden_own = boxes[det][over_level], of[det][over_level], hidden_det[over_level]
+                n_own = np.bincount(own_of, minlength=many)
+                free_d, free_t, k = np.ones(len(own), bool), np.ones(len(real), bool), np.zeros(many, np.int64)
+                for n, m in {(int(x), int(y)) for x, y in zip(n_own, n_real, strict=True) if x and y}:
+                    same = np.flatnonzero((n_own == n) & (n_real == m))
+                    for at in np.array_split(same, -(-len(same) // 4096)):
+                        d, t = begin(n_own)[at][:, None] + np.arange(n), begin(n_real)[at][:, None] + np.arange(m)
+                        o = over(own[d][:, :, None], real[t][:, None])
+                        # a pair without enough overlap costs more than all others together
+                        cols = least_cost_many(np.where(o >= least, 1 - o, 2.0 * (n + m)))
+                        i, r = np.nonzero((cols >= 0) & (np.take_along_axis(o, np.maximum(cols, 0)[..., None], 2)[..., 0] >= least))
+                        free_d[d[i, r]] = free_t[t[i, cols[i, r]]] = False
+                        k[at] = np.bincount(i, minlength=len(at))
+                m_all = n_real - np.bincount(of[is_real][hidden & free_t], minlength=many)
+                n_all = n_own - np.bincount(own_of[hidden_own & free_d], minlength=many)
+                told.append([np.full(many, level), k / (m_all + n_all - k + 1e-6), k, m_all, n_all])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*told, strict=True)], ["threshold", "ratio", "k", "m", "n"])
 
     schema = "threshold double, ratio double, k long, m long, n long"
-    each = dets.select(image, "score", F.col(box).alias("box")).groupBy(image).cogroup(truth.select(image, "ignore", F.col(box).alias("box")).groupBy(image)).applyInPandas(run, schema)
+    row = lambda det, score, ignore: F.struct(F.lit(det).alias("det"), score.alias("score"), ignore.alias("ignore"), F.col(box).cast("array<double>").alias("box"))
+    rows = dets.select(image, row(True, F.col("score").cast("double"), F.lit(False)).alias("r")).unionAll(truth.select(image, row(False, F.lit(0.0), F.col("ignore")).alias("r")))
+    each = rows.groupBy(image).agg(F.collect_list("r").alias("rows")).select("rows").mapInArrow(run, schema)
     some = (F.col("m") != 0) | (F.col("n") != 0)
     return each.groupBy("threshold").agg(F.try_divide(F.sum("ratio"), F.count_if(some)).alias("jaccard"), F.sum("k").alias("matched"), F.sum("m").alias("truths"), F.sum("n").alias("detections"))
 
