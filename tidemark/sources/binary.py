@@ -121,9 +121,14 @@ def read_arrays(spark: SparkSession, path: str, names: list[str] | None = None)
     return files.mapInArrow(run, "file string, name string, shape array<long>, values array<double>, problem string")
 
 
-def pack_members(rows: DataFrame, archive: str, member: str, content: str) -> DataFrame:
-    """(name, content) of an uncompressed zip file for each archive, its members by name. One archive is in memory."""
+def pack_members(rows: DataFrame, archive: str, member: str, content: str, most: int | None = None) -> DataFrame:
+    """(name, content) of an uncompressed zip file for each archive, its members by name. One file is in memory: with most, an archive comes in parts of
+    about so many members at most, <name>-<number>.<suffix>, dealt by the members' names."""
     kept = rows.select(F.col(archive).alias("name"), F.col(member).alias("member"), F.col(content).cast("binary").alias("content"))
+    if most is not None:
+        parts = kept.groupBy("name").agg(F.ceil(F.count("*") / most).alias("parts"))
+        number = F.lpad(F.pmod(F.xxhash64("member"), F.col("parts")).cast("string"), 8, "0")
+        kept = kept.join(F.broadcast(parts), "name").withColumn("name", F.concat(F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.lit("-"), number, F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 2))).drop("parts")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         out = io.BytesIO()
@@ -135,6 +140,11 @@ def pack_members(rows: DataFrame, archive: str, member: str, content: str) -> Da
     return kept.groupBy("name").applyInPandas(run, "name string, content binary")
 
 
+def whole_archive(name: Column) -> Column:
+    """The archive's name of a part of pack_members(most=)."""
+    return F.regexp_replace(name, r"-\d{8,}(\.[^.]*)?$", "$1")
+
+
 def read_members(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     """(archive, member, content, problem) of the members of the zip files under a path whose name ends in suffix. An archive or member that is corrupt is
     one row with its problem; the others come out all the same."""
@@ -167,16 +177,26 @@ def read_members(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     return files.mapInArrow(run, "archive string, member string, content binary, problem string")
 
 
-def images(spark: SparkSession, path: str) -> DataFrame:
-    """(file, folder, bytes, kind, width, height) of the files under a path, by what their first bytes say: png or jpeg; kind is null for others. The
-    size is read for PNG."""
+def _heads(found: DataFrame, path: Column, length: Column, *more: str) -> DataFrame:
     head = lambda at, n: F.substring("content", at, n)
     number = lambda at: F.conv(F.hex(head(at, 4)), 16, 10).cast("int")
     kind = F.when(F.hex(head(1, 8)) == "89504E470D0A1A0A", "png").when(F.hex(head(1, 3)) == "FFD8FF", "jpeg")
-    part = lambda i: F.element_at(F.split("path", "/"), i)
-    found = _files(spark, path, "*").select(part(-1).alias("file"), part(-2).alias("folder"), F.col("length").alias("bytes"), kind.alias("kind"), number(17).alias("w"), number(21).alias("h"))
+    part = lambda i: F.try_element_at(F.split(path, "/"), F.lit(i))
+    rows = found.select(part(-1).alias("file"), part(-2).alias("folder"), length.alias("bytes"), kind.alias("kind"), number(17).alias("w"), number(21).alias("h"), *more)
     png = F.col("kind") == "png"
-    return found.select("file", "folder", "bytes", "kind", F.when(png, F.col("w")).alias("width"), F.when(png, F.col("h")).alias("height"))
+    return rows.select("file", "folder", "bytes", "kind", F.when(png, F.col("w")).alias("width"), F.when(png, F.col("h")).alias("height"), *more)
+
+
+def images(spark: SparkSession, path: str) -> DataFrame:
+    """(file, folder, bytes, kind, width, height) of the files under a path, by what their first bytes say: png or jpeg; kind is null for others. The
+    size is read for PNG."""
+    return _heads(_files(spark, path, "*"), F.col("path"), F.col("length"))
+
+
+def archived_images(spark: SparkSession, path: str) -> DataFrame:
+    """images() of the members of the zip files under a path, folders within the archives; with problem, what is wrong with an archive or member. Many
+    small files take little disk so."""
+    return _heads(read_members(spark, path), F.col("member"), F.length("content"), "problem")
 
 
 def labelled_images(found: DataFrame, labels: DataFrame, path: str) -> DataFrame:
