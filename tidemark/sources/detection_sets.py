@@ -43,7 +43,7 @@ def crowd_instances(spark: SparkSession, path: str, classes: list[str] | None =
 
 
 def track_instances(spark: SparkSession, path: str, width: int, height: int, classes: list[int] | None = None, least_visible: float = -1.0) -> DataFrame:
-    """(video, frame, track, cls, box, conf, visibility) of headless comma-separated tracks, `<video>/gt/gt.txt`; boxes outside the frame, with a side under
+    """(video, frame, track, cls, box, conf, visibility) of headless comma-separated tracks, `<video>/gt/gt.txt` or several files there; boxes outside the frame, with a side under
     1, of other classes, or seen by less than least_visible go."""
     rows = spark.read.schema(_MOT).csv(path).withColumn("video", F.element_at(F.split("_metadata.file_path", "/"), -3))
     x, y, w, h = (F.col(c) for c in "xywh")
@@ -57,7 +57,8 @@ def open_instances(spark: SparkSession, path: str, sizes: DataFrame, names: Data
     """(image, cls, box, is_occluded, is_truncated, is_group, is_depiction, is_inside) of a table of boxes as shares of their image, with sizes(image, width, height)
     and names(label, cls); a label without a name, or an image without a size, is an error."""
     rows = spark.read.schema(_OPEN).csv(path, header=True)
-    both = rows.join(names.withColumnRenamed("label", "LabelName"), "LabelName", "left").join(sizes.withColumnRenamed("image", "ImageID"), "ImageID", "left")
+    # a row for each label: joined by label, all boxes would come to a few tasks
+    both = rows.join(F.broadcast(names.withColumnRenamed("label", "LabelName")), "LabelName", "left").join(sizes.withColumnRenamed("image", "ImageID"), "ImageID", "left")
     known = F.when(F.col("cls").isNotNull() & F.col("width").isNotNull(), F.col("cls")).otherwise(F.raise_error(F.concat(F.lit("unknown label or image: "), "LabelName", F.lit(" "), "ImageID")).cast(dict(names.dtypes)["cls"]))
     box = F.array(F.col("XMin") * F.col("width"), F.col("YMin") * F.col("height"), F.col("XMax") * F.col("width"), F.col("YMax") * F.col("height"))
     marks = {"IsOccluded": "is_occluded", "IsTruncated": "is_truncated", "IsGroupOf": "is_group", "IsDepiction": "is_depiction", "IsInside": "is_inside"}
