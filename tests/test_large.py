@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.operators import episodes as E
@@ -32,3 +33,14 @@ def test_many_shards(spark, tmp_path):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
     assert sorted(duck.execute(Q.SQL["shard_layout"]).fetchall()) == sorted(tuple(r) for r in Q.QUERIES["shard_layout"](spark, folder).collect())
+
+
+def test_scaling_passes(spark):
+    """Each pass is one job of which a task sends sums only, whatever the number of points that it answers for."""
+    from tidemark.operators import calibrate
+
+    rows = spark.createDataFrame([([0.0, 2.0, 1.0], 1), ([1.0, 0.0, 0.5], 2), ([3.0, 1.0], 0), ([3.0, 1.0], 7)], "z array<double>, y int").repartition(2)
+    got = calibrate._summed(rows, lambda z, y: np.array([calibrate._cross_entropy(z / t, y)[0].sum() for t in (1.0, 2.0)]), 2)
+    for t, mean in zip((1.0, 2.0), got, strict=True):
+        want = [np.log(np.exp(np.array(z) / t).sum()) - z[y] / t for z, y in (([0.0, 2.0, 1.0], 1), ([1.0, 0.0, 0.5], 2), ([3.0, 1.0], 0))]
+        assert abs(mean - np.mean(want)) < 1e-12

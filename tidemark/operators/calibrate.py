@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,13 +29,39 @@ def softmax(z: Column) -> Column:
     return F.transform(e, lambda v: v / total(e))
 
 
-def _losses(temperatures: list[float], logits: str, truth: str) -> list[Column]:
-    def loss(t: float) -> Column:
-        z = F.transform(F.col(logits), lambda v: v / t)
-        high = F.array_max(z)
-        return F.avg(F.log(total(F.transform(z, lambda v: F.exp(v - high)))) + high - F.get(z, F.col(truth).cast("int")))
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(z, y) of rows with equally many classes: a matrix of logits and the true classes. Rows whose truth is none of their classes do not count."""
+    for batch in batches:
+        z, y = batch.column("z"), batch.column("y").to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, size = z.flatten().to_numpy(zero_copy_only=False).astype(float), z.value_lengths().to_numpy()
+        begin = np.cumsum(size) - size
+        for k in np.unique(size):
+            same = np.flatnonzero((size == k) & (y >= 0) & (y < k))
+            yield flat[begin[same][:, None] + np.arange(k)], y[same]
 
-    return [loss(t) for t in temperatures]
+
+def _summed(rows: DataFrame, each: Callable[[np.ndarray, np.ndarray], np.ndarray], numbers: int) -> np.ndarray:
+    """The means over all rows of the numbers whose sums each(z, y) gives for a block of rows; a task sends its sums only. Without rows it is an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total_, n = np.zeros(numbers), 0
+        for z, y in _blocks(batches):
+            total_, n = total_ + each(z, y), n + len(y)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(range(numbers)), pa.array(total_), pa.array([n] * numbers)], ["i", "s", "n"])
+
+    found = rows.select("z", "y").mapInArrow(run, "i long, s double, n long").groupBy("i").agg((F.sum("s") / F.sum("n")).alias("mean")).orderBy("i").collect()
+    if not found:
+        raise ValueError("no rows to fit")
+    return np.array([r["mean"] for r in found])
+
+
+def _cross_entropy(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(losses, probabilities) of rows of logits."""
+    high = z.max(1, keepdims=True)
+    e = np.exp(z - high)
+    whole = e.sum(1, keepdims=True)
+    return np.log(whole[:, 0]) + high[:, 0] - z[np.arange(len(y)), y], e / whole
 
 
 def golden_temperature(df: DataFrame, probs: str, truth: str, low: float = 0.05, high: float = 10.0, steps: int = 60, ahead: int = 4) -> float:
@@ -59,9 +86,8 @@ def golden_temperature(df: DataFrame, probs: str, truth: str, low: float = 0.05,
     def value(at: float, points: Iterator[float]) -> float:
         if at not in known:
             new = sorted({p for p in points} - set(known))
-            found = rows.agg(*[x.alias(f"l{i}") for i, x in enumerate(_losses([max(math.exp(p), 1e-6) for p in new], "z", "y"))]).first()
-            if found[0] is None:
-                raise ValueError("no rows to fit")
+            steps_ = [max(math.exp(p), 1e-6) for p in new]
+            found = _summed(rows, lambda z, y: np.array([_cross_entropy(z / t, y)[0].sum() for t in steps_]), len(steps_)).tolist()
             known.update(zip(new, found, strict=True))
         return known[at]
 
@@ -115,15 +141,14 @@ def vector_scaling(df: DataFrame, probs: str, truth: str, classes: int, steps: i
 
     def evaluate(x: np.ndarray) -> tuple[float, np.ndarray]:
         w, b = x[:classes], x[classes:]
-        scaled = F.array(*[F.get("z", F.lit(k)) * float(w[k]) + float(b[k]) for k in range(classes)])
-        each = rows.select("z", "y", scaled.alias("s")).withColumn("p", softmax(F.col("s")))
-        off = [F.get("p", F.lit(k)) - (F.col("y") == k).cast("double") for k in range(classes)]
-        high = F.array_max("s")
-        loss = F.log(total(F.transform("s", lambda v: F.exp(v - high)))) + high - F.get("s", F.col("y"))
-        found = each.agg(F.avg(loss), *[F.avg(off[k] * F.get("z", F.lit(k))) for k in range(classes)], *[F.avg(o) for o in off]).first()
-        if found[0] is None:
-            raise ValueError("no rows to fit")
-        return float(found[0]), np.array(found[1:], float)
+
+        def each(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+            loss, p = _cross_entropy(z * w + b, y)
+            off = p - (y[:, None] == np.arange(classes))
+            return np.concatenate([[loss.sum()], (off * z).sum(0), off.sum(0)])
+
+        found = _summed(rows, each, 1 + 2 * classes)
+        return float(found[0]), found[1:]
 
     best = lbfgs(evaluate, np.concatenate([np.ones(classes), np.zeros(classes)]), steps)
     return best[:classes].tolist(), best[classes:].tolist()
