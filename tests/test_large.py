@@ -44,3 +44,15 @@ def test_scaling_passes(spark):
     for t, mean in zip((1.0, 2.0), got, strict=True):
         want = [np.log(np.exp(np.array(z) / t).sum()) - z[y] / t for z, y in (([0.0, 2.0, 1.0], 1), ([1.0, 0.0, 0.5], 2), ([3.0, 1.0], 0))]
         assert abs(mean - np.mean(want)) < 1e-12
+
+
+def test_retrieval_sends_no_hits(spark):
+    """What is kept of the queries does not grow with their hits."""
+    import os
+
+    from tidemark.operators.detection import retrieval
+
+    df = spark.range(3000).select(F.col("id").alias("row"), (F.col("id") % 2).alias("who"), F.array(F.col("id").cast("float")).alias("v"))
+    out = retrieval(df.where("row % 50 = 0"), df, "who", "row", "v", [1], 16)
+    sources = [f.removeprefix("file://") for f in out.inputFiles()]
+    assert sources and sum(os.path.getsize(f) for f in sources) < 60 * 500 and out.first()["n"] == 60

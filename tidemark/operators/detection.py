@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,43 +149,80 @@ def mean_ap(dets: DataFrame, truth: DataFrame, frame: str, cls: str, box_d: Box,
     return out.unionByName(mean)
 
 
-def retrieval(queries: DataFrame, gallery: DataFrame, ident: str, row: str, vector: str, ranks: list[int], block: int = 2048) -> DataFrame:
+def retrieval(queries: DataFrame, gallery: DataFrame, ident: str, row: str, vector: str, ranks: list[int], block: int = 128) -> DataFrame:
     """(n, mean_ap, cmc_<rank>...): squared distances of each query to all gallery rows but itself, nearest first (ties by row); queries
     without another row of their identity are left out.
 
-    A hit's rank is one more than the gallery rows before it, so no order of all rows is needed: queries and gallery meet in blocks, each pair of blocks
-    counts for every hit the rows of the gallery block that come before it, and the counts are summed. A query's hits are one array.
+    Queries go in blocks by identity, about block of them each, and the gallery's rows stream past each block: first those of its identities, which
+    are held with their distances, then all others, of which only the number before each hit is kept. So the gallery is sent once a block.
     """
-    q = queries.select(F.col(row).alias("q"), F.col(ident).alias("i"), F.col(vector).alias("v"))
-    g = gallery.select(F.col(row).alias("g"), F.col(ident).alias("i"), F.col(vector).alias("w"))
-    square = F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b).cast("double") * (a - b)), F.lit(0.0), lambda a, x: a + x)
-    near = q.join(g, "i").where("q <> g").select("q", F.struct(F.round(square, 9).alias("d"), F.col("g").cast("long").alias("g")).alias("h"))
-    asked = q.join(near.groupBy("q").agg(F.sort_array(F.collect_list("h")).alias("hits")), "q")
-    asked = written(asked.select("q", "v", F.col("hits.d").alias("d"), F.col("hits.g").alias("h")), "asked")
-    parts = lambda t: max(1, -(-t.count() // block))
-    of_q, of_g = parts(asked), parts(gallery)
-    deal = lambda t, own, n, other, m: t.withColumns({f"b{own}": F.pmod(F.xxhash64(own), F.lit(n)), f"b{other}": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))})
-
-    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            w, ids = np.stack(b["w"].to_numpy()), b["g"].to_numpy()
-            for q, v, d, h in a[["q", "v", "d", "h"]].itertuples(index=False):
-                gap = (np.asarray(v, w.dtype) - w).astype(float)
-                far = np.round((gap * gap).sum(1), 9)[ids != q]
-                mine = ids[ids != q]
-                order = np.lexsort((mine, far))
-                far, mine = far[order], mine[order]
-                at, to = np.searchsorted(far, d, "left"), np.searchsorted(far, d, "right")
-                out.append((q, [int(x + np.searchsorted(mine[x:y], k)) for x, y, k in zip(at, to, h, strict=True)]))
-        return pd.DataFrame(out, columns=["q", "before"])
-
-    kind = dict(asked.dtypes)["q"]
-    pairs = deal(asked, "q", of_q, "g", of_g).groupBy("bq", "bg").cogroup(deal(g.select("g", "w"), "g", of_g, "q", of_q).groupBy("bq", "bg"))
-    counted = pairs.applyInPandas(count, f"q {kind}, before array<long>").select("q", F.posexplode("before").alias("k", "n"))
-    each = counted.groupBy("q", "k").agg((F.sum("n") + 1).alias("rank"))
-    told = each.groupBy("q").agg(F.avg((F.col("k") + 1) / F.col("rank")).alias("ap"), F.min("rank").alias("first"))
-    return told.agg(F.count("*").alias("n"), F.avg("ap").alias("mean_ap"), *[F.avg((F.col("first") <= r).cast("double")).alias(f"cmc_{r}") for r in ranks])
+    q = queries.select(F.col(row).cast("long").alias("g"), F.col(ident).alias("i"), F.col(vector).alias("v"))
+    g = gallery.select(F.col(row).cast("long").alias("g"), F.col(ident).alias("i"), F.col(vector).alias("v"))
+    parts = max(1, -(-q.count() // block))
+    asked = written(q.where("i IS NOT NULL").repartitionByRange(parts, "i", "g").withColumn("b", F.spark_partition_id()), "asked")
+    own = asked.select("b", "i").distinct().withColumn("own", F.lit(True))
+    dealt = g.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(F.broadcast(own), ["b", "i"], "left")  # one row a block and identity
+    kind = F.when(F.col("own"), 1).otherwise(2)
+    rows = asked.select("b", F.lit(0).alias("kind"), "g", "i", "v").unionAll(dealt.select("b", kind.alias("kind"), "g", "i", "v"))
+
+    def far(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        gap = (v - w).astype(float)
+        return np.round((gap * gap).sum(1), 9)
+
+    def places(d: np.ndarray, h: np.ndarray, far_: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """How many of the rows (far_, ids) come at each place between the hits (d, h)."""
+        at, to = np.searchsorted(d, far_, "left"), np.searchsorted(d, far_, "right")
+        for k in np.flatnonzero(at < to):
+            at[k] += np.searchsorted(h[at[k] : to[k]], ids[k])
+        return np.bincount(at, minlength=len(d) + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asked_, held, hits = None, [], [], None
+
+        def found() -> list:
+            """(query, vector, distances, rows, counts before) of each query, from the rows of the block's identities."""
+            out = []
+            if held:
+                ids, who, w = (np.concatenate(x) for x in zip(*held, strict=True))
+                for q_, i_, v in ((x, y, z) for part in asked_ for x, y, z in zip(*part, strict=True)):
+                    d, mine = far(v, w), who == i_
+                    same, other = mine & (ids != q_), ~mine & (ids != q_)
+                    order = np.lexsort((ids[same], d[same]))
+                    at, h = d[same][order], ids[same][order]
+                    if len(h):
+                        out.append((q_, v, at, h, places(at, h, d[other], ids[other])))
+            return out
+
+        def told() -> pa.RecordBatch:
+            ap, first = [], []
+            for _, _, d, _, n in found() if hits is None else hits:
+                rank = np.cumsum(n)[: len(d)] + np.arange(1, len(d) + 1)
+                ap.append(float((np.arange(1, len(d) + 1) / rank).mean()))
+                first.append(int(rank[0]))
+            return pa.RecordBatch.from_arrays([pa.array(ap, pa.float64()), pa.array(first, pa.int64())], ["ap", "first"])
+
+        for batch in batches:
+            b, k, ids, who = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("b", "kind", "g", "i"))
+            w = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            cuts = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (k[1:] != k[:-1])])
+            for x, y in zip(cuts, [*cuts[1:], len(b)], strict=True):
+                if b[x] != now:
+                    if now is not None:
+                        yield told()
+                    now, asked_, held, hits = b[x], [], [], None
+                part = (ids[x:y], who[x:y], w[x:y])
+                if k[x] < 2:
+                    (held if k[x] else asked_).append(part)
+                    continue
+                hits = found() if hits is None else hits
+                for q_, v, d, h, n in hits:
+                    other = part[0] != q_
+                    n += places(d, h, far(v, part[2])[other], part[0][other])
+        if now is not None:
+            yield told()
+
+    each = rows.repartition(parts, "b").sortWithinPartitions("b", "kind").mapInArrow(run, "ap double, first long")
+    return each.agg(F.count("*").alias("n"), F.avg("ap").alias("mean_ap"), *[F.avg((F.col("first") <= r).cast("double")).alias(f"cmc_{r}") for r in ranks])
 
 
 def panoptic_quality(pixels: DataFrame, image: str, void: int = 0) -> DataFrame:
