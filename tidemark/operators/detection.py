@@ -38,8 +38,8 @@ def detection_ap(marked: DataFrame, by: list[str], truths: DataFrame, points: in
     recalls from 0 to 1 (11 as a rule). truths: (by, n_gt). Equal scores go by det. A class without truth has none."""
     rows = marked.select(*by, "key_order", "det", "tp", (-F.col("score")).alias("__down"))
     run = running_sums(rows, by, "__down", ["key_order", "det"], {"tps": F.col("tp").cast("long"), "rank": F.lit(1)})
-    # equal counts of true positives make one point: the best precision there
-    curve = run.groupBy(*by, "tps").agg(F.max(F.col("tps") / F.col("rank")).alias("precision"), F.min("rank").alias("rank"))
+    # of equal counts of true positives the first row has the best precision: a true positive, or the group's first row
+    curve = run.where("tp OR rank = 1").select(*by, "tps", (F.col("tps") / F.col("rank")).alias("precision"), "rank")
     env = suffix_max(curve, by, "tps", "precision").join(truths, by)
     if points is None:
         return env.where("tps > 0").groupBy(*by).agg((F.sum("envelope") / F.max("n_gt")).alias("ap"))

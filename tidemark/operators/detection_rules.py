@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, area, intersection, iof, iou
 from ..sources.files import written
+from .frames import first_of, near, per_frame
+from .frames import iof as iof_of
+from .frames import iou as iou_of
 from .matching import least_cost, least_cost_many
 from .metrics import running_sums
 
@@ -84,24 +87,38 @@ def allowed_detections(dets: DataFrame, truth: DataFrame, image: str, cls: str,
     return dets.join(known.distinct(), [image, cls], "left_semi")
 
 
-def grouped_positives(dets: DataFrame, truth: DataFrame, key: list[str], box_d: Box, box_t: Box, least: float = 0.5, least_inside: float = 0.5) -> DataFrame:
+def grouped_positives(dets: DataFrame, truth: DataFrame, key: list[str], box_d: Box, box_t: Box, least: float = 0.5, least_inside: float = 0.5, annotated: bool = False, deal: list[str] | None = None, above: tuple[str, DataFrame] | None = None) -> DataFrame:
     """(key, det, score, tp) of the detections that count, where a truth with is_group is a crowd of its class.
 
     Other truths first: a detection's best truth (then the smallest gt) goes to the best scored one. A detection that reaches no such truth but
     lies in a group by least_inside of its area belongs to the group that covers most of it: the best scored of a group's is its one
-    true positive, the others do not count.
+    true positive, the others do not count. annotated: detections of keys without any truth do not count either (see allowed_detections()). deal and
+    above: see per_frame(), above as with_classes_above().
     """
-    single, groups = truth.where("NOT is_group"), truth.where("is_group")
-    pairs = dets.join(single, key).withColumn("__o", iou(box_d, box_t)).where(F.col("__o") >= least)
-    best = pairs.groupBy(*key, "det", "score").agg(F.max_by("gt", F.struct("__o", -F.col("gt"))).alias("gt"))
-    first = F.row_number().over(Window.partitionBy(*key, "gt").orderBy(F.desc("score"), "det")) == 1
-    hit = best.select(*key, "det", first.alias("tp"))
-    rest = dets.join(hit, [*key, "det"], "left_anti")
-    inside = rest.join(groups, key).withColumn("__o", iof(box_d, box_t)).where(F.col("__o") >= least_inside)
-    own = inside.groupBy(*key, "det", "score").agg(F.max_by("gt", F.struct("__o", -F.col("gt"))).alias("gt"))
-    one = own.withColumn("__r", F.row_number().over(Window.partitionBy(*key, "gt").orderBy(F.desc("score"), "det")))
-    out = dets.join(hit, [*key, "det"], "left").join(one.select(*key, "det", "__r"), [*key, "det"], "left").where("__r IS NULL OR __r = 1")
-    return out.select(*key, "det", "score", F.coalesce(F.col("__r") == 1, F.col("tp"), F.lit(False)).alias("tp"))
+
+    def fold(d: dict, t: dict) -> tuple:
+        over = lambda f: lambda i, j: f(d["box"][i], t["box"][j])
+        n = len(d["id"])
+        tp, counts = np.zeros(n, bool), np.ones(n, bool)
+        if annotated:
+            counts = np.isin(d["of"], t["of"])
+        taken = np.zeros(n, bool)
+        for group, f, limit in ((False, iou_of, least), (True, iof_of, least_inside)):
+            where = np.flatnonzero(t["is_group"] == group)
+            some = np.flatnonzero(~taken)
+            i, j, o = near(d["of"][some], t["of"][where], lambda i, j: over(f)(some[i], where[j]), limit)
+            i, j = some[i], where[j]
+            own = first_of(i, -o, t["id"][j])
+            i, j = i[own], j[own]
+            best = i[first_of(j, -d["score"][i], d["id"][i])]
+            taken[i], tp[best] = True, True
+            if group:
+                counts[i] = False
+                counts[best] = True
+        told = np.flatnonzero(counts)
+        return told, [tp[told]]
+
+    return per_frame(dets, truth, key, box_d, box_t, {"is_group": F.col("is_group")}, "tp boolean", fold, None, deal, above)
 
 
 def crowd_matches(dets: DataFrame, truth: DataFrame, key: list[str], box_d: Box, box_t: Box, least: float = 0.5) -> DataFrame:

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..sources.files import written
+from .frames import starts
 
 
 def confusion(df: DataFrame, truth: str, pred: str, k: int) -> DataFrame:
@@ -62,19 +70,48 @@ def weighted_kappa(cm: DataFrame, k: int) -> DataFrame:
 def running_sums(df: DataFrame, by: list[str], order: str, tie: list[str], sums: dict[str, Column]) -> DataFrame:
     """df with, for each name, the sum of a column over the rows of its group up to and with this one, by (order, tie).
 
-    Rows are dealt by ranges of (by, order, tie), as even as a sample of them tells however uneven order is, and written once: each
-    range has a window of its own, and only a row for each group in a range meets in the window of the ranges' totals.
+    Rows are dealt by ranges of (by, order, tie), as even as a sample of them tells however uneven order is, and each range is summed in order
+    and written once; only a row for each group in a range meets in the window of the ranges' totals. A null adds nothing.
     """
     keys = [*by, order, *tie]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = written(df.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id()), "running")
+    own = df.withColumns({f"__{n}": F.coalesce(c, F.lit(0)) for n, c in sums.items()})
+    own = own.withColumns({f"__{n}": F.col(f"__{n}").cast("double" if dict(own.dtypes)[f"__{n}"] in ("double", "float") else "bigint") for n in sums})
+    kinds = dict(own.dtypes)
+    dealt = own.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id())
+    columns, names = dealt.columns, list(sums)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, upto = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = starts([batch.column(k) for k in by]) if by else np.arange(batch.num_rows) == 0
+            begin = np.flatnonzero(new)
+            size = np.diff(np.r_[begin, batch.num_rows])
+            ends = [[batch.column(k)[i].as_py() for k in by] for i in (0, -1)]
+            told = []
+            for n in names:
+                run_ = np.cumsum(batch.column(f"__{n}").to_numpy())
+                # of the groups that begin here what was summed before them goes, the first may go on from the last batch
+                before = np.r_[0, run_[begin[1:] - 1]].astype(run_.dtype)
+                run_ = run_ - np.repeat(before, size)
+                if ends[0] == last:
+                    run_[: size[0]] += upto[n]
+                told.append(run_)
+            last, upto = ends[1], {n: t[-1] for n, t in zip(names, told, strict=True)}
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *map(pa.array, told)], [*columns, *names])
+
+    shape = StructType([*dealt.schema.fields, *[StructField(n, DoubleType() if kinds[f"__{n}"] == "double" else LongType()) for n in sums]])
+    ranged = written(dealt.mapInArrow(run, shape), "running")
     key = [*by, "__part"]
-    totals = ranged.groupBy(*key).agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    totals = ranged.groupBy(*key).agg(*[F.sum(f"__{n}").alias(f"__{n}") for n in sums])
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = totals.select(*key, *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums])
-    upto = Window.partitionBy(*key).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumns({n: F.sum(c).over(upto) for n, c in sums.items()})
-    return local.join(earlier, key).withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__part", *[f"__{n}" for n in sums])
+    earlier = written(totals.select(*key, *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums]), "earlier")
+    local = ranged.drop(*[f"__{n}" for n in sums])
+    same = [local[k].eqNullSafe(earlier[k]) for k in key]
+    joined = local.join(earlier, reduce(and_, same)).select(*[local[c] for c in local.columns if c != "__part"], *[earlier[f"__{n}"] for n in sums])
+    return joined.withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop(*[f"__{n}" for n in sums])
 
 
 def mean_ranks(df: DataFrame, by: list[str], value: str, *counts: Column) -> DataFrame:

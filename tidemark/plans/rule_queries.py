@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import detection
 from ..operators import detection_rules as R
+from ..sources.files import written
 from .base import query, rounded
 from .queries import _PAIRS, _boxes, _sql_boxes
 
@@ -55,10 +56,9 @@ SELECT cls, any_value(n_gt) AS n_gt, count(*) AS n, count(*) FILTER (tp) AS tp,
 def class_tree_ap(spark, d):
     """Average precision where truths and detections count for the classes above them too, crowds of a class as one truth."""
     closure = R.class_closure(spark.createDataFrame(_TREE, "child string, parent string"))
-    truth = R.with_classes_above(_truth(spark, d), "cls", closure)
-    dets = R.allowed_detections(R.with_classes_above(_dets(spark, d), "cls", closure), truth, "frame", "cls")
-    marked = R.grouped_positives(dets, truth, ["frame", "cls"], G.box("a"), G.box("b"))
-    truths = truth.groupBy("cls").agg(F.count("*").alias("n_gt"))
+    found = R.grouped_positives(_dets(spark, d), _truth(spark, d), ["frame", "cls"], G.box("a"), G.box("b"), annotated=True, deal=["frame"], above=("cls", closure))
+    marked = written(found, "marked")
+    truths = R.with_classes_above(_truth(spark, d).select("cls"), "cls", closure).groupBy("cls").agg(F.count("*").alias("n_gt"))
     ap = detection.detection_ap(marked.withColumn("key_order", F.col("frame")), ["cls"], truths)
     counts = marked.groupBy("cls").agg(F.count("*").alias("n"), F.count_if("tp").alias("tp"))
     return truths.join(counts, "cls").join(ap, "cls", "left").select("cls", "n_gt", "n", "tp", F.round(F.coalesce("ap", F.lit(0.0)), 6).alias("ap"))
