@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, area, iou
 from ..sources.files import written
+from . import frames
 from .metrics import running_sums
 
 #: Points of a curve in one window.
@@ -131,20 +132,39 @@ def mean_ap(dets: DataFrame, truth: DataFrame, frame: str, cls: str, box_d: Box,
 
     Boxes are joined once: the best truth of a detection does not depend on overlap or range, which then are two more keys.
     """
-    levels = [F.struct(F.lit(float(t)).alias("threshold"), F.lit(n).alias("range"), F.lit(float(lo)).alias("__lo"), F.lit(float(hi)).alias("__hi")) for n, (lo, hi) in (ranges or {"all": (0.0, float("inf"))}).items() for t in thresholds]
-    outside = lambda v: (F.col(v) < F.col("__lo")) | (F.col(v) >= F.col("__hi"))
-    at = [frame, cls, "det"]
-    pairs = dets.join(truth, [frame, cls]).withColumns({"__iou": iou(box_d, box_t), "__ta": area(box_t)})
-    best = pairs.groupBy(*at).agg(F.max_by(F.struct("gt", "__iou", "__ta"), F.struct("__iou", -F.col("gt"))).alias("m"))
-    each = dets.select(*at, "score", area(box_d).alias("__da")).join(best, at, "left").select(*at, "score", "__da", "m.*").select("*", F.inline(F.array(*levels)))
-    hit = F.col("__iou") >= F.col("threshold")
-    w = Window.partitionBy("threshold", "range", frame, cls, F.when(hit, F.col("gt")), F.when(~F.coalesce(hit, F.lit(False)), F.col("det"))).orderBy(F.desc("score"), "det")
-    matched = F.coalesce(hit, F.lit(False))
-    marked = each.withColumn("__first", F.row_number().over(w) == 1).select("threshold", "range", frame, cls, "det", "score", (matched & F.col("__first") & ~outside("__ta")).alias("tp"), F.when(matched, outside("__ta")).otherwise(outside("__da")).alias("ignored"))
-    counts = truth.select(cls, area(box_t).alias("__ta")).select("*", F.inline(F.array(*levels))).where(~outside("__ta")).groupBy("threshold", "range", cls).agg(F.count("*").alias("n_gt"))
+    every = [(float(t), n, float(lo), float(hi)) for n, (lo, hi) in (ranges or {"all": (0.0, float("inf"))}).items() for t in thresholds]
+    level = lambda i: F.struct(F.lit(every[i][0]).alias("threshold"), F.lit(every[i][1]).alias("range"))
+
+    def fold(d: dict, t: dict) -> tuple:
+        i, j, o = frames.near(d["of"], t["of"], lambda i, j: frames.iou(d["box"][i], t["box"][j]), min(thresholds))
+        own = frames.first_of(i, -o, t["id"][j])
+        i, j, o = i[own], j[own], o[own]
+        size_d, size_t = frames.area(d["box"]), frames.area(t["box"])
+        told = []
+        for at, _, lo, hi in every:
+            hit = o >= at
+            a, b = i[hit], j[hit]
+            out = (size_t[b] < lo) | (size_t[b] >= hi)
+            ignored = (size_d < lo) | (size_d >= hi)
+            ignored[a] = out
+            tp = np.zeros(len(size_d), bool)
+            tp[a[frames.first_of(b, -d["score"][a], d["id"][a])]] = True
+            told += [tp & ~ignored, ~ignored]
+        return np.arange(len(size_d)), told
+
+    made = ", ".join(f"tp{i} boolean, in{i} boolean" for i in range(len(every)))
+    marked = frames.per_frame(dets, truth, [frame, cls], box_d, box_t, {}, made, fold)
+    # the order of detections is that of all levels, whose counts are summed side by side
+    rows = written(marked.withColumns({"__down": -F.col("score")}).drop("score"), "marked")
+    sums = {f"{n}{i}": F.col(f"{c}{i}").cast("long") for i in range(len(every)) for n, c in (("tps", "tp"), ("rank", "in"))}
+    run = running_sums(rows, [cls], "__down", [frame, "det"], sums)
+    points = run.select(cls, F.inline(F.array(*[F.struct(level(i).alias("l"), F.col(f"tp{i}").alias("tp"), F.col(f"tps{i}").alias("tps"), F.try_divide(F.col(f"tps{i}"), F.col(f"rank{i}")).alias("precision")) for i in range(len(every))]))).where("tp")
     by = ["threshold", "range", cls]
-    ap = detection_ap(marked.where("NOT ignored").withColumn("key_order", F.col(frame)), by, counts)
-    out = counts.join(ap, by, "left").select(*by, "n_gt", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+    levels = F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(n).alias("range"), F.lit(lo).alias("__lo"), F.lit(hi).alias("__hi")) for t, n, lo, hi in every])
+    inside = (F.col("__ta") >= F.col("__lo")) & (F.col("__ta") < F.col("__hi"))
+    counts = truth.select(cls, area(box_t).alias("__ta")).select("*", F.inline(levels)).where(inside).groupBy(*by).agg(F.count("*").alias("n_gt"))
+    env = suffix_max(points.select("l.*", cls, "tps", "precision"), by, "tps", "precision").groupBy(*by).agg(F.sum("envelope").alias("s"))
+    out = counts.join(env, by, "left").select(*by, "n_gt", F.coalesce(F.col("s") / F.col("n_gt"), F.lit(0.0)).alias("ap"))
     mean = out.groupBy("threshold", "range").agg(F.lit(None).cast(dict(out.dtypes)[cls]).alias(cls), F.sum("n_gt").alias("n_gt"), F.avg("ap").alias("ap"))
     return out.unionByName(mean)
 

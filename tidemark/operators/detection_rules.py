@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Box, area, intersection, iof, iou
+from ..functions.geometry import Box, area, intersection
 from ..sources.files import written
-from .frames import first_of, near, per_frame
+from .frames import first_of, greedy, near, per_frame
+from .frames import area as area_of
 from .frames import iof as iof_of
 from .frames import iou as iou_of
-from .matching import least_cost, least_cost_many
+from .matching import least_cost_many
 from .metrics import running_sums
 
 #: fixed values: false positives an image at which the miss rate is read, from 0.01 and from 0.0001
@@ -25,25 +26,6 @@ REFERENCES = {
 }
 
 
-def _greedy(dets: DataFrame, offers: DataFrame, key: list[str]) -> DataFrame:
-    """dets with mark: 1 where a detection takes a truth, -1 where it only meets an ignored one, 0 else. By score (ties by det) each takes
-    the first of its offers(key, det, order, gt, ignored, again) whose truth is free; an ignored truth taken again and again if again. One
-    key's offers fold in one array."""
-    item = F.struct("order", F.col("gt").cast("bigint").alias("gt"), F.col("ignored").alias("ignored"), F.col("again").alias("again"))
-    each = offers.groupBy(*key, "det", "score").agg(F.array_sort(F.collect_list(item)).alias("c"))
-    lists = each.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).cast("double").alias("s"), F.col("det").cast("bigint").alias("d"), "c"))).alias("ds"))
-
-    def take(acc, x):
-        free = F.get(F.filter(x["c"], lambda c: ~F.array_contains(acc["used"], c["gt"])), F.lit(0))
-        used = F.when(free.isNotNull() & ~free["again"], F.array_append(acc["used"], free["gt"])).otherwise(acc["used"])
-        mark = F.when(free.isNull(), 0).when(free["ignored"], -1).otherwise(1)
-        return F.struct(used.alias("used"), F.array_append(acc["out"], F.struct(x["d"].alias("d"), mark.alias("m"))).alias("out"))
-
-    zero = F.expr("named_struct('used', array_repeat(cast(0 AS bigint), 0), 'out', cast(array() AS array<struct<d:bigint,m:int>>))")
-    marks = lists.select(*key, F.inline(F.aggregate("ds", zero, take, lambda a: a["out"]))).withColumnsRenamed({"d": "det", "m": "mark"})
-    return dets.join(marks, [*key, "det"], "left").withColumn("mark", F.coalesce("mark", F.lit(0)))
-
-
 def sized_positives(dets: DataFrame, truth: DataFrame, key: list[str], box_d: Box, box_t: Box, least: float = 0.5, areas: tuple[float, float] | None = None) -> DataFrame:
     """dets(key, det, score, ...) with tp and ignored: by score, each detection takes the free truth it overlaps most (then the smallest gt) among those
     whose own threshold it reaches, the smaller of least and w h / ((w + 10) (h + 10)), so that small truths are met more easily.
@@ -55,9 +37,13 @@ def sized_positives(dets: DataFrame, truth: DataFrame, key: list[str], box_d: Bo
     need = F.least(F.lit(least), w * h / ((w + 10.0) * (h + 10.0)))
     out = (area(box_t) < areas[0]) | (area(box_t) >= areas[1]) if areas else F.lit(False)
     own = F.col("ignore") if "ignore" in truth.columns else F.lit(False)
-    pairs = dets.join(truth, key).withColumns({"__o": iou(box_d, box_t), "__need": need}).where("__o >= __need")
-    offers = pairs.select(*key, "det", "score", (-F.col("__o")).alias("order"), "gt", (own | out).alias("ignored"), F.lit(False).alias("again"))
-    marked = _greedy(dets, offers, key)
+
+    def fold(d: dict, t: dict) -> tuple:
+        i, j, o = near(d["of"], t["of"], lambda i, j: iou_of(d["box"][i], t["box"][j]), lambda j: t["need"][j])
+        return np.arange(len(d["id"])), [greedy(d["id"], d["score"], d["of"], i, j, -o, t["id"], t["ignored"], np.zeros(len(t["id"]), bool))]
+
+    keep = [c for c in dets.columns if c not in (*key, "det", "score")]
+    marked = per_frame(dets, truth, key, box_d, box_t, {"ignored": own | out, "need": need}, "mark int", fold, keep)
     outside = (area(box_d) < areas[0]) | (area(box_d) >= areas[1]) if areas else F.lit(False)
     return marked.withColumns({"tp": F.col("mark") == 1, "ignored": (F.col("mark") == -1) | ((F.col("mark") == 0) & outside)}).drop("mark")
 
@@ -124,12 +110,14 @@ def grouped_positives(dets: DataFrame, truth: DataFrame, key: list[str], box_d:
 def crowd_matches(dets: DataFrame, truth: DataFrame, key: list[str], box_d: Box, box_t: Box, least: float = 0.5) -> DataFrame:
     """dets with mark: by score each takes the free truth it overlaps most (1); failing that, an ignored truth (truth.ignore) that covers least of
     its area takes it out of the count (-1), any number of times; else it is false (0)."""
-    over = F.when(F.col("ignore"), iof(box_d, box_t)).otherwise(iou(box_d, box_t))
-    pairs = dets.join(truth, key).withColumn("__o", over).where(F.col("__o") >= least)
-    # free truths come before ignored ones
-    order = F.when(F.col("ignore"), F.lit(2.0)).otherwise(F.lit(0.0)) - F.col("__o")
-    offers = pairs.select(*key, "det", "score", order.alias("order"), "gt", F.col("ignore").alias("ignored"), F.col("ignore").alias("again"))
-    return _greedy(dets, offers, key)
+
+    def fold(d: dict, t: dict) -> tuple:
+        away = t["ignore"]
+        i, j, o = near(d["of"], t["of"], lambda i, j: np.where(away[j], iof_of(d["box"][i], t["box"][j]), iou_of(d["box"][i], t["box"][j])), least)
+        # free truths come before ignored ones
+        return np.arange(len(d["id"])), [greedy(d["id"], d["score"], d["of"], i, j, np.where(away[j], 2.0, 0.0) - o, t["id"], away, away)]
+
+    return per_frame(dets, truth, key, box_d, box_t, {"ignore": F.col("ignore")}, "mark int", fold, [c for c in dets.columns if c not in (*key, "det", "score")])
 
 
 def crowd_curve(marked: DataFrame, truths: DataFrame, images: DataFrame, order: list[str], references: list[float] | None = None) -> DataFrame:
@@ -242,11 +230,34 @@ def identity_scores(pairs: DataFrame, truths: DataFrame, preds: DataFrame, video
     a row a frame, are as many as possible. A video's counts by pair of tracks are in memory."""
     counts = pairs.groupBy(video, gt, track).agg(F.count("*").alias("n"))
 
-    def run(frames: pd.DataFrame) -> pd.DataFrame:
-        table = frames.pivot_table(index=gt, columns=track, values="n", fill_value=0).to_numpy()
-        return pd.DataFrame({video: [frames[video].iloc[0]], "idtp": [int(sum(table[i, j] for i, j in least_cost(-table.astype(float))))]})
-
-    best = counts.groupBy(video).applyInPandas(run, f"{video} {dict(counts.dtypes)[video]}, idtp long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column("cells")
+            size = cells.value_lengths().to_numpy()
+            of = np.repeat(np.arange(len(size)), size)
+            g, t, n = cells.flatten().flatten()
+            # numbers from 0 of a video's truths and tracks
+            at = []
+            for x in (g, t):
+                code = pc.fill_null(x.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                pair, back = np.unique(np.stack([of, code], 1), axis=0, return_inverse=True)
+                count = np.bincount(pair[:, 0], minlength=len(size))
+                at.append((back.ravel() - (np.cumsum(count) - count)[of], count))
+            (row, rows), (col, cols) = at
+            best = np.zeros(len(size), np.int64)
+            for r, c in {(int(x), int(y)) for x, y in zip(rows, cols, strict=True)}:
+                same = np.flatnonzero((rows == r) & (cols == c))
+                place = np.full(len(size), -1)
+                place[same] = np.arange(len(same))
+                some = place[of] >= 0
+                table = np.zeros((len(same), r, c))
+                table[place[of[some]], row[some], col[some]] = n.to_numpy()[some]
+                found = least_cost_many(-table)
+                best[same] = (np.take_along_axis(table, np.maximum(found, 0)[..., None], 2)[..., 0] * (found >= 0)).sum(1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(video), pa.array(best)], [video, "idtp"])
+
+    cells = F.collect_list(F.struct(F.col(gt).alias("g"), F.col(track).alias("t"), "n"))
+    best = counts.groupBy(video).agg(cells.alias("cells")).mapInArrow(run, f"{video} {dict(counts.dtypes)[video]}, idtp long")
     size = truths.groupBy(video).agg(F.count("*").alias("__g")).join(preds.groupBy(video).agg(F.count("*").alias("__p")), video, "full").na.fill(0)
     out = size.join(best, video, "left").na.fill(0, ["idtp"])
     return out.select(video, "idtp", F.try_divide(2 * F.col("idtp"), F.col("__g") + F.col("__p")).alias("idf1"))
@@ -274,14 +285,23 @@ def ranged_scores(dets: DataFrame, truth: DataFrame, image: str, cls: str, box_d
     kept = limited(kept, [image, cls], max(limits))
     levels = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.lit(n).alias("range"), F.lit(float(lo)).alias("__lo"), F.lit(float(hi)).alias("__hi")) for n, (lo, hi) in ranges.items() for t in thresholds])
     outside = lambda v: (F.col(v) < F.col("__lo")) | (F.col(v) >= F.col("__hi"))
-    over = F.when(F.col("ignore"), iof(box_d, box_t)).otherwise(iou(box_d, box_t))
-    pairs = kept.join(truth, [image, cls]).select(image, cls, "det", "score", "gt", "ignore", area(box_t).alias("__ta"), over.alias("__o")).where(F.col("__o") >= min(thresholds))
-    each = pairs.select("*", F.inline(levels)).where(F.col("__o") >= F.col("threshold")).withColumn("__out", F.col("ignore") | outside("__ta"))
+    every = [(float(t), float(lo), float(hi)) for lo, hi in ranges.values() for t in thresholds]
+
+    def fold(d: dict, t: dict) -> tuple:
+        away, size = t["ignore"], area_of(t["box"])
+        i, j, o = near(d["of"], t["of"], lambda i, j: np.where(away[j], iof_of(d["box"][i], t["box"][j]), iou_of(d["box"][i], t["box"][j])), min(thresholds))
+        marks = []
+        for level, lo, hi in every:
+            out, ok = away | (size < lo) | (size >= hi), o >= level
+            order = np.where(out[j[ok]], 2.0, 0.0) - o[ok]
+            marks.append(greedy(d["id"], d["score"], d["of"], i[ok], j[ok], order, t["id"], out, away))
+        return np.arange(len(d["id"])), [pa.array(list(np.stack(marks, 1)), pa.list_(pa.int32())), area_of(d["box"])]
+
     key = ["threshold", "range", image, cls]
-    order = F.when(F.col("__out"), F.lit(2.0)).otherwise(F.lit(0.0)) - F.col("__o")
-    offers = each.select(*key, "det", "score", order.alias("order"), "gt", F.col("__out").alias("ignored"), F.col("ignore").alias("again"))
-    rows = kept.select(image, cls, "det", "score", "place", area(box_d).alias("__da")).select("*", F.inline(levels))
-    marked = _greedy(rows, offers, key).where("mark >= 0").withColumn("tp", F.col("mark") == 1).where(F.col("tp") | ~outside("__da"))
+    found = per_frame(kept.drop("place"), truth, [image, cls], box_d, box_t, {"ignore": F.col("ignore")}, "marks array<int>, __da double", fold)
+    placed = limited(found, [image, cls], max(limits))
+    told = placed.select("*", F.posexplode(levels).alias("__i", "__l")).select(image, cls, "det", "score", "place", "__da", "__l.*", F.get("marks", F.col("__i")).alias("mark"))
+    marked = told.where("mark >= 0").withColumn("tp", F.col("mark") == 1).where(F.col("tp") | ~outside("__da"))
     by = ["threshold", "range", cls]
     n = truth.where("NOT ignore").select(cls, area(box_t).alias("__ta")).select("*", F.inline(levels)).where(~outside("__ta")).groupBy(*by).agg(F.count("*").alias("n_gt"))
     marked = written(marked.select(*key, "det", "score", "place", "tp"), "marked")

@@ -117,9 +117,11 @@ def per_frame(dets: DataFrame, truth: DataFrame, key: list[str], box_d: Box, box
     """
     kinds, deal, keep = dict(dets.dtypes), deal or key, keep or []
     side = lambda t, det, ident, score, box, own, other: t.select(*key, F.lit(det).alias("__det"), F.col(ident).cast("bigint").alias("__id"), score.cast("double").alias("__score"), *[v.cast("double").alias(f"__{i}") for i, v in enumerate(box)], *own, *other)
-    flag = lambda make: [F.coalesce(make(n), F.lit(False)).alias(f"__f_{n}") for n in flags]
-    one = side(dets, True, "det", F.col("score"), box_d, flag(lambda n: F.lit(False)), keep)
-    two = side(truth.dropna(subset=key), False, "gt", F.lit(0.0), box_t, flag(lambda n: flags[n]), [F.lit(None).cast(kinds[c]).alias(c) for c in keep])
+    whole = truth.dropna(subset=key)
+    kind_of = {n: "boolean" if whole.select(c).dtypes[0][1] == "boolean" else "double" for n, c in flags.items()}
+    flag = lambda make: [F.coalesce(make(n).cast(kind_of[n]), F.lit(0).cast(kind_of[n])).alias(f"__f_{n}") for n in flags]
+    one = side(dets, True, "det", F.col("score"), box_d, flag(lambda n: F.lit(0)), keep)
+    two = side(whole, False, "gt", F.lit(0.0), box_t, flag(lambda n: flags[n]), [F.lit(None).cast(kinds[c]).alias(c) for c in keep])
     rows = one.unionAll(two).repartition(*deal)
     if above:
         cls, closure = above
