@@ -105,19 +105,20 @@ def crop_box(b: Box, width: int, height: int, mode: str = "head_wide", head: flo
 def keypoint_box(points: Column, person: Box, width: int, height: int, confidence: float, head: list[int], shoulders: list[int], margin: float = 0.25, down: float = 1.5) -> Column:
     """struct(x1, y1, x2, y2, head_kpts, head_span) around the sure ones of an array of points struct(x, y, c): the head's points and,
     for context, the shoulders', widened aside and above, and down, but not below the person's box. Null without a head point."""
-    sure = lambda at: F.filter(F.array(*[F.get(points, F.lit(i)) for i in at]), lambda p: p["c"] >= confidence)
-    own = sure(head)
-    every = F.concat(own, sure(shoulders))
-    xs, ys = F.transform(every, lambda p: p["x"]), F.transform(every, lambda p: p["y"])
-    x1, x2, y1, y2 = F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys)
+    point = lambda i: F.get(points, F.lit(i))
+    sure = lambda i: point(i)["c"] >= confidence
+    # plain expressions, so that they are compiled; least and greatest pass over nulls
+    ends = lambda f, c: f(F.lit(None), F.lit(None), *[F.when(sure(i), point(i)[c]) for i in (*head, *shoulders)])
+    x1, x2, y1, y2 = ends(F.least, "x"), ends(F.greatest, "x"), ends(F.least, "y"), ends(F.greatest, "y")
+    n_own = sum((F.when(sure(i), 1).otherwise(0) for i in head), F.lit(0))
     span = F.greatest(x2 - x1, y2 - y1)
     unit = F.greatest(y2 - y1, span)
     aside = (x2 - x1 + 1) * margin
     bottom = F.least(y2 + unit * down, person[3])
     low = lambda v: F.greatest(v.cast("int"), F.lit(0))
     high = lambda v, most: F.least(v.cast("int"), F.lit(most))
-    found = F.struct(low(x1 - aside).alias("x1"), low(y1 - unit * margin * 1.6).alias("y1"), high(x2 + aside, width).alias("x2"), high(bottom, height).alias("y2"), F.size(own).alias("head_kpts"), span.alias("head_span"))
-    return F.when(F.size(own) > 0, found)
+    found = F.struct(low(x1 - aside).alias("x1"), low(y1 - unit * margin * 1.6).alias("y1"), high(x2 + aside, width).alias("x2"), high(bottom, height).alias("y2"), n_own.alias("head_kpts"), span.alias("head_span"))
+    return F.when(n_own > 0, found)
 
 
 def box_features(b: Box, width: int, height: int) -> dict[str, Column]:
