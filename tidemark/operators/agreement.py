@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import kappa
+from ..sources.files import written
+from .metrics import counted_kappa
 
 
 def by_field(df: DataFrame, fields: list[str], *keep: str) -> DataFrame:
@@ -21,7 +22,8 @@ def field_kappas(df: DataFrame, fields: list[str], a_rejected: Column, b_rejecte
     used = by_field(marked.where("NOT __ra AND NOT __rb"), fields)
     decision = marked.select(F.lit("status").alias("field"), F.col("__ra").cast("string").alias("a"), F.col("__rb").cast("string").alias("b"))
     both = used.unionByName(decision)
-    scores = kappa(both, ["field"], "a", "b").join(both.groupBy("field").agg(F.count("*").alias("n")), "field").select("field", "n", "agreement", "kappa")
+    # the rows are looked at once: all else comes from the counts of pairs of values
+    scores = counted_kappa(written(both.groupBy("field", "a", "b").agg(F.count("*").alias("n")), "pairs"), ["field"])
     fields_only = scores.where("field <> 'status'")
     mean = fields_only.agg(F.lit("mean").alias("field"), F.max("n").alias("n"), F.lit(None).cast("double").alias("agreement"), F.avg("kappa").alias("kappa"))
     return scores.unionByName(mean)
@@ -44,10 +46,11 @@ def concrete_rates(df: DataFrame, variant: str, fields: list[str], vague: list[s
 
 def unanimous(df: DataFrame, item: str, fields: list[str]) -> DataFrame:
     """(field, n, share): of items with several rows, the share whose rows all have one value of the field."""
-    values = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in fields])
-    each = df.select(item, F.inline(values)).groupBy(item, "field").agg(F.count("*").alias("rows"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("set"))
-    same = ((F.col("set") == 0) | ((F.col("set") == F.col("rows")) & (F.col("lo") == F.col("hi")))).cast("double")
-    return each.where("rows > 1").groupBy("field").agg(F.count("*").alias("n"), F.avg(same).alias("share"))
+    v = lambda f: F.col(f).cast("string")
+    own = df.groupBy(item).agg(F.count("*").alias("rows"), *[g(v(f)).alias(f"{n}{i}") for i, f in enumerate(fields) for n, g in (("lo", F.min), ("hi", F.max), ("set", F.count))])
+    same = lambda i: ((F.col(f"set{i}") == 0) | ((F.col(f"set{i}") == F.col("rows")) & (F.col(f"lo{i}") == F.col(f"hi{i}")))).cast("double")
+    each = own.where("rows > 1").agg(F.count("*").alias("n"), *[F.avg(same(i)).alias(f"share{i}") for i in range(len(fields))]).where("n > 0")
+    return each.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col("n"), F.col(f"share{i}").alias("share")) for i, f in enumerate(fields)])))
 
 
 def predictability(df: DataFrame, given: str, target: str) -> DataFrame:

@@ -48,13 +48,17 @@ def summary(cm: DataFrame, k: int) -> DataFrame:
 
 def kappa(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Cohen's kappa and share of agreement of two labels, by group; kappa is 1 if chance agreement is."""
-    n = df.groupBy(*by, F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+    return counted_kappa(df.groupBy(*by, F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n")), by).drop("n")
+
+
+def counted_kappa(n: DataFrame, by: list[str]) -> DataFrame:
+    """kappa() of counts n(by, a, b, n), with n, the rows of the group."""
     total = n.groupBy(*by).agg(F.sum("n").alias("total"), F.sum(F.when(F.col("a").eqNullSafe(F.col("b")), F.col("n")).otherwise(0)).alias("same"))
     side = lambda c: n.groupBy(*by, F.col(c).alias("v")).agg(F.sum("n").alias(f"n{c}"))
     chance = side("a").join(side("b"), [*by, "v"]).groupBy(*by).agg(F.sum(F.col("na") * F.col("nb")).alias("both"))
     joined = total.join(chance, by, "left") if by else total.join(F.broadcast(chance), F.lit(True), "left")
     po, pe = F.col("same") / F.col("total"), F.coalesce("both", F.lit(0)) / (F.col("total") * F.col("total"))
-    return joined.select(*by, po.alias("agreement"), F.when(pe == 1, 1.0).otherwise((po - pe) / (1 - pe)).alias("kappa"))
+    return joined.select(*by, F.col("total").alias("n"), po.alias("agreement"), F.when(pe == 1, 1.0).otherwise((po - pe) / (1 - pe)).alias("kappa"))
 
 
 def weighted_kappa(cm: DataFrame, k: int) -> DataFrame:
