@@ -107,18 +107,24 @@ def keypoint_box(points: Column, person: Box, width: int, height: int, confidenc
     for context, the shoulders', widened aside and above, and down, but not below the person's box. Null without a head point."""
     point = lambda i: F.get(points, F.lit(i))
     sure = lambda i: point(i)["c"] >= confidence
-    # plain expressions, so that they are compiled; least and greatest pass over nulls
+    # least and greatest pass over nulls
     ends = lambda f, c: f(F.lit(None), F.lit(None), *[F.when(sure(i), point(i)[c]) for i in (*head, *shoulders)])
-    x1, x2, y1, y2 = ends(F.least, "x"), ends(F.greatest, "x"), ends(F.least, "y"), ends(F.greatest, "y")
     n_own = sum((F.when(sure(i), 1).otherwise(0) for i in head), F.lit(0))
-    span = F.greatest(x2 - x1, y2 - y1)
-    unit = F.greatest(y2 - y1, span)
-    aside = (x2 - x1 + 1) * margin
-    bottom = F.least(y2 + unit * down, person[3])
     low = lambda v: F.greatest(v.cast("int"), F.lit(0))
     high = lambda v, most: F.least(v.cast("int"), F.lit(most))
-    found = F.struct(low(x1 - aside).alias("x1"), low(y1 - unit * margin * 1.6).alias("y1"), high(x2 + aside, width).alias("x2"), high(bottom, height).alias("y2"), n_own.alias("head_kpts"), span.alias("head_span"))
-    return F.when(n_own > 0, found)
+
+    def found(m: Column) -> Column:
+        x1, x2, y1, y2 = (m[c] for c in ("x1", "x2", "y1", "y2"))
+        span = F.greatest(x2 - x1, y2 - y1)
+        unit = F.greatest(y2 - y1, span)
+        aside = (x2 - x1 + 1) * margin
+        bottom = F.least(y2 + unit * down, m["bottom"])
+        told = F.struct(low(x1 - aside).alias("x1"), low(y1 - unit * margin * 1.6).alias("y1"), high(x2 + aside, width).alias("x2"), high(bottom, height).alias("y2"), m["n"].alias("head_kpts"), span.alias("head_span"))
+        return F.when(m["n"] > 0, told)
+
+    # the ends are found once for all that is made of them
+    known = F.struct(ends(F.least, "x").alias("x1"), ends(F.greatest, "x").alias("x2"), ends(F.least, "y").alias("y1"), ends(F.greatest, "y").alias("y2"), n_own.alias("n"), person[3].alias("bottom"))
+    return F.get(F.transform(F.array(known), found), F.lit(0))
 
 
 def box_features(b: Box, width: int, height: int) -> dict[str, Column]:
