@@ -40,3 +40,28 @@ def test_groups_over_batches(spark):
             yield from t.group_by("g").aggregate([("id", "count")]).to_batches()
 
     assert sorted(r[1] for r in df.mapInArrow(run, "g long, n long").collect())[1:] == [7] * 142
+
+
+def test_fragments_share_no_pairs(spark):
+    """The pairs of chains are not shuffled, and merging them needs none."""
+    from tidemark.operators import chains
+
+    rows = [(0, f, c, [float(c), float(f)]) for c, at in {1: (0, 1, 2, 3), 2: (4, 5), 3: (1, 2), 4: (7, 8)}.items() for f in at]
+    df = spark.createDataFrame(rows, "room int, frame long, chain long, look array<double>")
+    pairs = chains.fragment_pairs(df, ["room"], "frame", "chain", "look")
+    assert "Aggregate" not in pairs._jdf.queryExecution().executedPlan().toString()
+    names = spark.createDataFrame([(0, 1, "a", 2), (0, 3, "a", 1)], "room int, chain long, name string, n long")
+    one = {tuple(r) for r in chains.merge_fragments(pairs, names, "room").collect()}
+    assert {tuple(r) for r in chains.merge_chains(df, names, "room", "frame", "chain", "look").collect()} == one
+    got = {(r["fragment"], r["chain"]): (r["shared"], r["before"], r["after"]) for r in pairs.collect()}
+    assert got[3, 1] == (2, 0, 1) and got[2, 4] == (0, None, 7) and len(got) == 9
+
+
+def test_points_null_and_unsure(spark):
+    p = lambda x, y, c: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(c).alias("c"))
+    person = tuple(F.lit(v) for v in (0, 0, 50, 50))
+    df = spark.range(1)
+    k = G.keypoint_box(F.array(p(10, 10, 0.9), p(20, 10, 0.1), p(30, 20, 0.9)), person, 90, 80, 0.4, [0, 1], [2])
+    assert tuple(df.select(k.alias("k")).first()["k"]) == (4, 2, 35, 50, 1, 20)
+    none = G.keypoint_box(F.array(p(10, 10, 0.1), p(20, 10, 0.1), p(30, 20, 0.9)), person, 90, 80, 0.4, [0, 1], [2])
+    assert df.select(none.alias("k")).first()["k"] is None

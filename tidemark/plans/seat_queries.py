@@ -82,8 +82,7 @@ def merged_fragments(spark, d):
     """What broken chains are merged into; tested against a plain loop."""
     rows = _anchored(spark, d)
     anchors = rows.where("name IS NOT NULL").groupBy("room", "chain", "name").agg(F.count("*").alias("n"))
-    pairs = files.written(C.fragment_pairs(rows, ["room"], "frame", "chain", "look"), "pairs")
-    return C.merge_fragments(pairs, anchors, "room")
+    return C.merge_chains(rows, anchors, "room", "frame", "chain", "look")
 
 
 @query(f"""WITH {_LOOKS}, v AS (SELECT room, vec_id % 11 AS chain, CASE WHEN vec_id % 5 = 0 THEN 'v' || label END AS name FROM lk), n AS (SELECT room, chain, name, count(*) AS n FROM v WHERE name IS NOT NULL GROUP BY 1, 2, 3
