@@ -1,4 +1,4 @@
-"""Cluster bootstrap from pre-aggregated clusters and one table of draws."""
+"""Cluster bootstrap from pre-aggregated clusters and their draws."""
 
 from __future__ import annotations
 
@@ -18,15 +18,22 @@ def numbered(rows: DataFrame, key: str) -> DataFrame:
     return within.join(F.broadcast(before), "__b").withColumn("i", F.col("__before") + F.col("__r") - 1).drop("__b", "__r", "__before")
 
 
-def draws(clusters: DataFrame, cluster: str, reps: int, seed: str = "0") -> DataFrame:
-    """(rep, cluster, mult): for each replicate as many clusters as there are, drawn with replacement by md5 of the draw's number."""
+def drawn(clusters: DataFrame, cluster: str, reps: int, seed: str = "0") -> DataFrame:
+    """clusters' rows with rep, once for each time that their cluster is drawn: for each replicate as many clusters as there are, drawn with
+    replacement by md5 of the draw's number.
+
+    Draws are made in all tasks and stream past the clusters of their part, which alone are in memory.
+    """
     each = numbered(clusters.select(cluster).distinct(), cluster)
     n = each.agg(F.count("*").alias("__n"))
-    # as many draws as clusters, made beside them: draw j of replicate r has the number r * n + j
-    every = each.select("i").join(F.broadcast(n), F.lit(True)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("rep", F.col("rep").cast("long"))
+    # as many draws as clusters, made beside them: draw j of replicate r has the number r * n + j. The clusters are a small table, whose parts Spark
+    # would put together, so they are dealt to a stated number of tasks before they are multiplied
+    tasks = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = each.select("i").repartition(tasks, "i").join(F.broadcast(n), F.lit(True)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("rep", F.col("rep").cast("long"))
     number = F.col("rep") * F.col("__n") + F.col("i")
-    drawn = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), number.cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint"), F.col("__n"))
-    return every.select("rep", drawn.alias("i")).groupBy("rep", "i").agg(F.count("*").alias("mult")).join(each, "i").select("rep", cluster, "mult")
+    taken = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), number.cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint"), F.col("__n"))
+    rows = each.join(clusters, cluster).hint("shuffle_hash")
+    return every.select("rep", taken.alias("i")).join(rows, "i").drop("i")
 
 
 Ratios = dict[str, tuple[str, str]]
@@ -34,8 +41,7 @@ Ratios = dict[str, tuple[str, str]]
 
 def _replicates(clusters: DataFrame, cluster: str, ratios: Ratios, reps: int, seed: str) -> DataFrame:
     """(rep, one column for each ratio): sum(top) / sum(bottom) over each replicate's clusters, all from the same draws."""
-    each = draws(clusters, cluster, reps, seed).join(clusters, cluster)
-    return each.groupBy("rep").agg(*[F.try_divide(F.sum(F.col(t) * F.col("mult")), F.sum(F.col(b) * F.col("mult"))).alias(n) for n, (t, b) in ratios.items()])
+    return drawn(clusters, cluster, reps, seed).groupBy("rep").agg(*[F.try_divide(F.sum(t), F.sum(b)).alias(n) for n, (t, b) in ratios.items()])
 
 
 def _points(clusters: DataFrame, ratios: Ratios) -> DataFrame:
@@ -51,8 +57,7 @@ def bootstrap_ratio(clusters: DataFrame, cluster: str, top: str, bottom: str, re
 def bootstrap_metrics(clusters: DataFrame, cluster: str, partials: list[str], finals: dict[str, Column], reps: int, level: float = 0.95, seed: str = "0") -> DataFrame:
     """(statistic, point, low, high, boot_mean, boot_std) of any metrics that are made of sums: partials are the clusters' columns to be summed, and each of
     finals an expression over these sums by the same names. All metrics share the draws; replicates without a value are left out."""
-    each = draws(clusters, cluster, reps, seed).join(clusters, cluster)
-    sums = each.groupBy("rep").agg(*[F.sum(F.col(p) * F.col("mult")).alias(p) for p in partials])
+    sums = drawn(clusters, cluster, reps, seed).groupBy("rep").agg(*[F.sum(p).alias(p) for p in partials])
     told = lambda t, name: t.select(F.inline(F.array(*[F.struct(F.lit(n).alias("statistic"), c.cast("double").alias(name)) for n, c in finals.items()])))
     ends = told(sums, "s").groupBy("statistic").agg(F.percentile("s", F.lit((1 - level) / 2)).alias("low"), F.percentile("s", F.lit((1 + level) / 2)).alias("high"), F.avg("s").alias("boot_mean"), F.stddev_samp("s").alias("boot_std"))
     points = told(clusters.agg(*[F.sum(p).alias(p) for p in partials]), "point")
