@@ -3,9 +3,11 @@
 import hashlib
 import re
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark.operators import resample
+from tidemark.streaming import seats, stateful
 
 
 def test_draws_stream_past_clusters(spark):
@@ -21,3 +23,61 @@ def test_draws_stream_past_clusters(spark):
         drawn = [order[int(md5(f"0|{rep * 60 + i}")[:8], 16) % 60] for i in range(60)]
         each.append(sum(r[1] for r in drawn) / sum(r[2] for r in drawn))
     assert abs(got["boot_mean"] - sum(each) / 9) < 1e-12 and abs(got["point"] - sum(r[1] for r in rows) / sum(r[2] for r in rows)) < 1e-12
+
+
+class Handle:
+    """A session's state that counts the calls, each of which goes through a socket."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_seats_ask_state_once(spark):
+    """However many seats there are, a session's micro-batch reads and writes its state once, and its timer follows it."""
+    handle, row = Handle(), Row("s", "t", seats.TOLD)
+    p = seats.SeatProcessor("s", "t", seats.SeatRules(), 60.0)
+    p.init(handle)
+    told = lambda n: "[%s]" % ",".join('{"track":%d,"box":[%d,0,%d,90]}' % (k, 100 * k, 100 * k + 60) for k in range(n))
+    handle.now = 0
+    first = list(p.handleInputRows((1,), iter([row(1, 6.0, told(30)), row(1, 5.0, told(30))]), handle))
+    assert [r["t"] for r in first] == [5.0, 6.0] and len(first[0]["events"]) == 30 and handle.calls == 3 and handle.timers == [66_001]
+    second = list(p.handleInputRows((1,), iter([row(1, 50.0, told(30))]), handle))
+    assert handle.calls == 5 and second[0]["events"] == [] and {s["track"]: s["seat"] for s in second[0]["seats"]} == {k: k + 1 for k in range(30)}
+    handle.now = 70_000  # the timer goes off, the session is alive
+    list(p.handleExpiredTimer((1,), handle, None))
+    assert handle.value and handle.timers == [66_001, 110_001]
+    handle.now = 110_001
+    list(p.handleExpiredTimer((1,), handle, None))
+    assert handle.value is None
+
+
+def test_run_in_parts(spark, tmp_path):
+    """Each part is one micro-batch, of however many files."""
+    path = str(tmp_path)
+    put = lambda i: spark.range(i * 100, i * 100 + 100, 1, 3).write.mode("append").parquet(path)
+    put(0)
+    seen = stateful.parquet_stream(spark, path).withColumn("batch", F.current_timestamp())
+    out = stateful.run_to_end(seen, [lambda: put(1), lambda: put(2)]).groupBy("batch").agg(F.min("id").alias("a"), F.count("*").alias("n"))
+    assert sorted((r["a"], r["n"]) for r in out.collect()) == [(0, 100), (100, 100), (200, 100)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..operators import chains as C
@@ -124,8 +126,11 @@ def stream_seat_registry(spark, d):
     folder = files.scratch(spark, "frames")
     frames = files.written(_frames(events(spark, d)).withColumn("ts", F.timestamp_micros((F.col("t") * 1_000_000).cast("long"))), "frames")
     low, high = frames.agg(F.min("t"), F.max("t")).first()
-    for i in range(4):
+
+    def bring(i):
         cut = [low + (high - low) * j / 4 for j in (i, i + 1)]
-        frames.where((F.col("t") >= cut[0]) & ((F.col("t") < cut[1]) | F.lit(i == 3))).coalesce(1).write.mode("append").parquet(folder)
-    stream = stateful.parquet_stream(spark, folder, 1).withWatermark("ts", "1 second")
-    return _told(stateful.run_to_end(seats.stream_seat_numbers(stream, "user_id", "t", "tracks", 100_000.0, seats.SeatRules(settle_s=0.4, keep_s=4.0))))
+        frames.where((F.col("t") >= cut[0]) & ((F.col("t") < cut[1]) | F.lit(i == 3))).write.mode("append").parquet(folder)
+
+    bring(0)
+    told = seats.stream_seat_numbers(stateful.parquet_stream(spark, folder).withWatermark("ts", "1 second"), "user_id", "t", "tracks", 100_000.0, seats.SeatRules(settle_s=0.4, keep_s=4.0))
+    return _told(stateful.run_to_end(told, [functools.partial(bring, i) for i in (1, 2, 3)]))

@@ -6,8 +6,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -162,6 +161,13 @@ class _Frame:
 #: Tracks as JSON. (A stream's rows come as named tuples, whose names can't begin with an underscore.)
 TOLD = "told_tracks"
 _MADE = "seats array<struct<track:bigint,seat:int>>, events array<struct<track:bigint,seat:int,how:string>>, cleared array<int>, moved array<struct<source:int,target:int>>"
+_NAMES = [c.split()[0] for c in _MADE.split(", ")]
+
+
+def _unpacked(registry: str) -> dict:
+    """A registry from JSON, whose names are strings."""
+    state = json.loads(registry)
+    return state | {k: {int(n): v for n, v in state[k].items()} for k in ("seats", "live")}
 
 
 def _frame(state: dict, t: float, tracks: str | None, rules: SeatRules) -> tuple:
@@ -189,60 +195,39 @@ def seat_numbers(df: DataFrame, key: str, time: str, tracks: str, rules: SeatRul
 
 
 class SeatProcessor(StatefulProcessor):
-    """seat_numbers() of a session whose frames arrive bit by bit. Seats are a map state, tracks another, free numbers a list; a
-    timer ends the session after a pause of idle_s in event time, and nothing is kept of it."""
+    """seat_numbers() of a session whose frames arrive bit by bit. A session's registry is one value of the state, read and written once a micro-batch
+    (each call goes through a socket); a timer ends the session after a pause of idle_s in event time, and nothing is kept of it. The timer is
+    set once: if it goes off while the session is alive, it is set anew."""
 
     def __init__(self, key: str, time: str, rules: SeatRules, idle_s: float):
         self.key, self.time, self.rules, self.idle_s = key, time, rules, idle_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.session = handle.getValueState("session", "next int, last double, timer long")
-        self.seats = handle.getMapState("seats", "seat int", "place int, x1 double, y1 double, x2 double, y2 double, seen double, first double, taken double, opened double")
-        self.live = handle.getMapState("live", "track long", "seat int")
-        self.free = handle.getListState("free", "seat int")
-
-    def _load(self) -> tuple[dict, int | None]:
-        state = no_seats()
-        if not self.session.exists():
-            return state, None
-        state["next"], state["last"], timer = self.session.get()
-        for (seat,), (_, *box, seen, first, on, opened) in sorted(self.seats.iterator(), key=lambda kv: kv[1][0]):
-            state["seats"][int(seat)] = {"box": None if box[0] is None else list(box), "seen": seen, "first": first, "on": on, "opened": opened}
-        state["live"] = {int(k[0]): int(v[0]) for k, v in sorted(self.live.iterator(), key=lambda kv: kv[0][0])}
-        state["free"] = sorted(int(r[0]) for r in self.free.get())
-        return state, timer
-
-    def _store(self, state: dict, timer: int) -> None:
-        self.seats.clear()
-        self.live.clear()
-        self.free.clear()
-        for place, (s, v) in enumerate(state["seats"].items()):
-            box = v["box"] or [None] * 4
-            self.seats.updateValue((s,), (place, *box, v["seen"], v["first"], v["on"], v["opened"]))
-        for k, s in state["live"].items():
-            self.live.updateValue((k,), (s,))
-        if state["free"]:
-            self.free.put([(s,) for s in state["free"]])
-        self.session.update((state["next"], state["last"], timer))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state, timer = self._load()
-        out = []
-        for row in pd.concat(list(rows)).sort_values(self.time)[[self.time, TOLD]].itertuples(index=False):
-            if state["last"] is not None and row[0] - state["last"] > self.idle_s:
+        self.session = handle.getValueState("session", "registry string")
+
+    def _due(self, state: dict) -> int:
+        return int((state["last"] + self.idle_s) * 1000) + 1
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        found = self.session.get()
+        state, out = (_unpacked(found[0]) if found else no_seats()), []
+        for row in sorted(rows, key=lambda r: r[self.time]):
+            if state["last"] is not None and row[self.time] - state["last"] > self.idle_s:
                 state = no_seats()  # the same session number, but another session
-            out.append((key[0], row[0], *_frame(state, *row, self.rules)))
-        if timer is not None:
-            self.handle.deleteTimer(timer)
-        timer = max(int((state["last"] + self.idle_s) * 1000) + 1, timerValues.getCurrentWatermarkInMs() + 1)
-        self.handle.registerTimer(timer)
-        self._store(state, timer)
-        yield pd.DataFrame(out, columns=[self.key, self.time, *[c.split()[0] for c in _MADE.split(", ")]])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        for s in (self.session, self.seats, self.live, self.free):
-            s.clear()
+            told = _frame(state, row[self.time], row[TOLD], self.rules)
+            out.append(Row(**{self.key: key[0], self.time: row[self.time], **dict(zip(_NAMES, told, strict=True))}))
+        if not found:
+            self.handle.registerTimer(max(self._due(state), timerValues.getCurrentWatermarkInMs() + 1))
+        self.session.update((json.dumps(state),))
+        return iter(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        due = self._due(_unpacked(self.session.get()[0]))
+        if due > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due)
+        else:
+            self.session.clear()
         return iter([])
 
     def close(self) -> None:
@@ -256,6 +241,6 @@ def stream_seat_numbers(stream: DataFrame, key: str, time: str, tracks: str, idl
     kinds = dict(stream.dtypes)
     schema = ", ".join([f"{key} {kinds[key]}", f"{time} double", _MADE])
     rows = _told(stream.where(F.col(key).isNotNull() & F.col(time).isNotNull()), tracks).drop(tracks)
-    return rows.groupBy(key).transformWithStateInPandas(SeatProcessor(key, time, rules or SeatRules(), idle_s), schema, "append", "EventTime")
+    return rows.groupBy(key).transformWithState(SeatProcessor(key, time, rules or SeatRules(), idle_s), schema, "append", "EventTime")
 
 

@@ -6,7 +6,7 @@ bounds them; nothing else is kept but the state.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,12 +22,17 @@ def parquet_stream(spark: SparkSession, path: str, files: int | None = None) ->
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
-def run_to_end(stream: DataFrame) -> DataFrame:
-    """All that the stream yields from the input there is now, appended to Parquet in the shared folder and read again."""
+def run_to_end(stream: DataFrame, parts: Iterable[Callable[[], None]] = ()) -> DataFrame:
+    """All that the stream yields from the input there is now, appended to Parquet in the shared folder and read again. Each of parts brings more
+    input after that and is one micro-batch, which goes on from the state of those before."""
     spark = stream.sparkSession
     folder = scratch(spark, "stream")
-    writer = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
-    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append")
+    parts = list(parts)
+    for bring in parts:
+        writer.trigger(once=True).start().awaitTermination()
+        bring()
+    writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
