@@ -1,12 +1,14 @@
 """What grew faster than the tables, or in one task: bootstrap draws, state of seats, trackers, pairs of a frame, many small files, density clusters."""
 
 import hashlib
+import random
 import re
 
+import numpy as np
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from tidemark.operators import resample
+from tidemark.operators import matching, resample
 from tidemark.streaming import seats, stateful
 
 
@@ -81,3 +83,48 @@ def test_run_in_parts(spark, tmp_path):
     seen = stateful.parquet_stream(spark, path).withColumn("batch", F.current_timestamp())
     out = stateful.run_to_end(seen, [lambda: put(1), lambda: put(2)]).groupBy("batch").agg(F.min("id").alias("a"), F.count("*").alias("n"))
     assert sorted((r["a"], r["n"]) for r in out.collect()) == [(0, 100), (100, 100), (200, 100)]
+
+
+def test_tracks_by_loops(spark):
+    """Many videos, features and frames not looked at, against the plain rule; rows go through the tasks as columns."""
+    rng, rows, want = random.Random(5), [], {}
+    size = lambda v: max(0.0, v[2] - v[0]) * max(0.0, v[3] - v[1])
+    for video in range(25):
+        tracks, n = {}, 0
+        for t in range(14):
+            dets = None
+            if rng.random() < 0.9:
+                dets = []
+                for i in range(rng.randrange(6)):
+                    x, y = rng.randrange(0, 60), rng.randrange(0, 60)
+                    dets.append((100 * t + i, [float(x), float(y), float(x + rng.randrange(20, 60)), float(y + rng.randrange(20, 60))], None if rng.random() < 0.5 else [rng.random(), rng.random()]))
+            rows.append((video, t, dets))
+            took = {}
+            if dets is not None:
+                free = dict(enumerate(dets))
+                for k, v in tracks.items():
+                    fits = []
+                    for i, (_, b, f) in free.items():
+                        both = max(0.0, min(v["box"][2], b[2]) - max(v["box"][0], b[0])) * max(0.0, min(v["box"][3], b[3]) - max(v["box"][1], b[1]))
+                        o = both / (size(v["box"]) + size(b) - both + 1e-6)
+                        like = 0.0 if f is None or v["f"] is None else float(np.array(v["f"]) @ np.array(f) / (np.linalg.norm(v["f"]) * np.linalg.norm(f)))
+                        if o >= 0.175:
+                            fits.append((0.65 * o + 0.35 * max(0.0, like), -i))
+                    if fits and max(fits)[0] >= 0.25:
+                        took[k] = free.pop(-max(fits)[1])
+                for k, v in tracks.items():
+                    v["age"] = 0 if k in took else v["age"] + 1
+                    if k in took:
+                        f = took[k][2]
+                        v["hits"], v["box"] = v["hits"] + 1, took[k][1]
+                        v["f"] = v["f"] if f is None else np.array(f) if v["f"] is None else 0.8 * v["f"] + 0.2 * np.array(f)
+                for d in free.values():
+                    n += 1
+                    tracks[n] = {"box": d[1], "f": None if d[2] is None else np.array(d[2]), "age": 1, "hits": 1}
+                    took[n] = d
+                tracks = {k: v for k, v in tracks.items() if v["age"] <= 2}
+            want[video, t] = [(k, took[k][0] if k in took else None) for k, v in tracks.items() if v["hits"] >= 2]
+    df = spark.createDataFrame(rows, "v long, t int, dets array<struct<det: long, box: array<double>, feature: array<double>>>")
+    out = matching.tracks(df.repartition(3), "v", "t", "", [], max_age=2, min_hits=2)
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r["v"], r["t"]): [tuple(x) for x in r["tracks"]] for r in out.collect()} == want and sum(map(len, want.values())) > 300
