@@ -1,4 +1,4 @@
-"""What grew faster than the tables, or in one task: bootstrap draws, state of seats, trackers, pairs of a frame, many small files, density clusters."""
+"""What grew faster than the tables, or in one task: bootstrap draws, state of seats, trackers, pairs of a frame."""
 
 import hashlib
 import random
@@ -128,3 +128,24 @@ def test_tracks_by_loops(spark):
     out = matching.tracks(df.repartition(3), "v", "t", "", [], max_age=2, min_hits=2)
     assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
     assert {(r["v"], r["t"]): [tuple(x) for x in r["tracks"]] for r in out.collect()} == want and sum(map(len, want.values())) > 300
+
+
+def test_pairs_are_not_sorted(spark):
+    """Units and boxes are ranked before they are paired; what is made of the pairs of a frame needs no sort of them."""
+    from tidemark.plans import match_queries
+
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    plan = match_queries.matching_costs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "SortMergeJoin" in plan and "Sort [" not in plan[: plan.index("SortMergeJoin")]
+    units = spark.createDataFrame([(1, 1), (1, 2), (2, 4)], "f long, u int")
+    boxes = spark.createDataFrame([(1, 7, 5.0), (1, 8, 1.0), (1, 9, 3.0), (2, 3, 1.0)], "f long, b int, x double")
+    pairs = matching.costs(matching.spatial_pairs(units, boxes, "f", "u", "b", F.col("x")).withColumn("s", F.col("u") * F.col("b")), "f", "s", "spatial", None, (1.0, 0.5, 0.0))
+    got = {(r["f"], r["u"], r["b"]): (r["cost"], r["margin"]) for r in matching.margins(pairs, spark.createDataFrame([(1, 1, 8), (1, 2, 9), (2, 4, 3)], "f long, u int, b int"), "f", "u", "b").collect()}
+    sims = np.array([[7.0, 8.0, 9.0], [14.0, 16.0, 18.0]])
+    # ranks from left to right: box 8, 9, 7
+    cost = -((sims - sims.mean()) / (sims.std() + 1e-8) + 0.5 * (1 - np.abs(np.array([[0 - 2, 0, 0 - 1], [1 - 2, 1, 0]])) / 2))
+    assert set(got) == {(1, 1, 8), (1, 2, 9), (2, 4, 3)} and got[2, 4, 3][1] is None
+    assert abs(got[1, 1, 8][0] - cost[0, 1]) < 1e-9 and abs(got[1, 1, 8][1] - (min(cost[0, 0], cost[0, 2]) - cost[0, 1])) < 1e-9
+    assert abs(got[1, 2, 9][0] - cost[1, 2]) < 1e-9 and abs(got[1, 2, 9][1] - (min(cost[1, 0], cost[1, 1]) - cost[1, 2])) < 1e-9
