@@ -91,6 +91,21 @@ def test_touching_cells_need_points(spark):
         assert len({r["seat"] for r in clusters.density_clusters(df, ["k"], "id", "x", "y", "eps").collect()}) == n
 
 
+def test_points_are_not_sent_to_every_cell_around(spark):
+    """A point goes to the blocks that it can reach, not to each of the 25 cells: a few records a point are shuffled in all."""
+    df = spark.range(4000).selectExpr("id % 10 AS k", "id", "(id * 7919) % 4001 / 4.0 AS x", "(id * 104729) % 3989 / 4.0 AS y", "14.0D AS eps")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    sc, store = spark.sparkContext, spark.sparkContext._jsc.sc().statusStore()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    sc.setJobGroup("density", "density")
+    got = {r["id"]: r["seat"] for r in clusters.density_clusters(df, ["k"], "id", "x", "y", "eps").collect()}
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("density") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    sent = sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+    assert len(got) == 4000 and 4000 * 5 < sent < 4000 * 25
+
+
 def chained(rows, gate):
     """Chains of one key's rows (frame, ident, feature), every assignment of a frame tried."""
     frames = defaultdict(list)
