@@ -7,6 +7,7 @@ wrong with it as a row of its own (empty files have none: Spark passes over them
 from __future__ import annotations
 
 import io
+import itertools
 import os
 import uuid
 import zipfile
@@ -16,12 +17,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from ..operators.frames import starts, whole_groups
+
 #: Bytes of members that come to one batch.
 BATCH_BYTES = 16 << 20
+#: Bytes of NPZ files that come to one archive.
+ARCHIVE_BYTES = 4 << 20
 
 
 @dataclass
@@ -80,44 +86,92 @@ def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
 
 
-def pack_arrays(rows: DataFrame, key: list[str], order: list[str], arrays: dict[str, str], name: Column) -> DataFrame:
+def pack_arrays(rows: DataFrame, key: list[str], order: list[str], arrays: dict[str, str], name: Column, archive: str | None = None) -> DataFrame:
     """(name, content) of an NPZ file for each key: of each of arrays (name in the file: column, a number) the values in order. One key's rows are one file,
-    and so in memory."""
+    and so in memory. With archive, NPZ files of small keys come many in one uncompressed zip file, <archive>-<task>-<number>.zip, of some ARCHIVE_BYTES."""
     kept = rows.select(*key, *order, *[F.col(c).alias(f"v_{a}") for a, c in arrays.items()], name.alias("file"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_turn = kept.repartition(tasks, *key).sortWithinPartitions(*key, *[F.asc_nulls_last(c) for c in order])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+        for table in whole_groups(batches, key):
+            column = {c: table.column(c).combine_chunks() for c in table.column_names}
+            for a, b in itertools.pairwise([*np.flatnonzero(starts([column[k] for k in key])).tolist(), table.num_rows]):
+                out = io.BytesIO()
+                np.savez(out, **{c: column[f"v_{c}"].slice(a, b - a).to_numpy(zero_copy_only=False) for c in arrays})
+                yield column["file"][a].as_py(), out.getvalue()
+
+    def zipped(found: Iterator[tuple[str, bytes]]) -> Iterator[tuple[str, bytes]]:
+        for n in itertools.count():
+            one = next(found, None)
+            if one is None:
+                return
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+                while one is not None:
+                    z.writestr(*one)
+                    one = next(found, None) if out.tell() < ARCHIVE_BYTES else None
+            yield f"{archive}-{TaskContext.get().partitionId():05d}-{n:05d}.zip", out.getvalue()
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, out = frame.sort_values(order), io.BytesIO()
-        np.savez(out, **{a: frame[f"v_{a}"].to_numpy() for a in arrays})
-        return pd.DataFrame({"name": [frame["file"].iloc[0]], "content": [out.getvalue()]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, c in zipped(packed(batches)) if archive else packed(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.string()), pa.array([c], pa.binary())], ["name", "content"])
 
-    return kept.groupBy(*key).applyInPandas(run, "name string, content binary")
+    return in_turn.mapInArrow(run, "name string, content binary")
 
 
 def read_arrays(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
-    """(file, name, shape, values, problem) of each array of the NPZ files under a path, or of those with the given names only; values as doubles, in
-    row-major order. A file that can't be read, and an array that holds no numbers, is one row with its problem."""
+    """(file, name, shape, values, problem) of each array of the NPZ files under a path, those in zip files too, or of those with the given names only; values as
+    doubles, in row-major order. A file that can't be read, and an array that holds no numbers, is one row with its problem."""
+    kinds = {"file": pa.string(), "name": pa.string(), "shape": pa.list_(pa.int64()), "values": pa.list_(pa.float64()), "problem": pa.string()}
+    broken = (ValueError, OSError, zipfile.BadZipFile, EOFError, NotImplementedError)
+    told = lambda e: f"{type(e).__name__}: {e}"
+
+    def arrays(file: str, content: bytes) -> Iterator[tuple]:
+        try:
+            with np.load(io.BytesIO(content), allow_pickle=False) as found:
+                for n in found.files:
+                    if names is not None and n not in names:
+                        continue
+                    try:
+                        a = found[n]
+                        yield file, n, list(a.shape), a.astype(np.float64).ravel(), None
+                    except (ValueError, TypeError, zipfile.BadZipFile) as e:
+                        yield file, n, None, None, told(e)
+        except broken as e:
+            yield file, None, None, None, told(e)
+
+    def members(file: str, content: bytes) -> Iterator[tuple]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for m in z.infolist():
+                    if m.filename.endswith(".npz"):
+                        name = m.filename.rsplit("/", 1)[-1]
+                        try:
+                            one = z.read(m)
+                        except broken as e:
+                            yield name, None, None, None, told(e)
+                        else:
+                            yield from arrays(name, one)
+        except broken as e:
+            yield file, None, None, None, told(e)
+
+    pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
-                try:
-                    with np.load(io.BytesIO(content), allow_pickle=False) as found:
-                        for n in found.files:
-                            if names is not None and n not in names:
-                                continue
-                            try:
-                                a = found[n]
-                                rows.append((file, n, list(a.shape), a.astype(np.float64).ravel(), None))
-                            except (ValueError, TypeError, zipfile.BadZipFile) as e:
-                                rows.append((file, n, None, None, f"{type(e).__name__}: {e}"))
-                except (ValueError, OSError, zipfile.BadZipFile, EOFError) as e:
-                    rows = [(file, None, None, None, f"{type(e).__name__}: {e}")]
-                if rows:
-                    kinds = [pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "name", "shape", "values", "problem"])
-
-    files = _files(spark, path, "*.npz").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+            for file, content in zip(*batch.columns, strict=True):
+                for row in (members if file.as_py().endswith(".zip") else arrays)(file.as_py(), content.as_py()):
+                    rows.append(row)
+                    size += 100 + (0 if row[3] is None else row[3].nbytes)
+                    if size > BATCH_BYTES:
+                        yield pack(rows)
+                        rows, size = [], 0
+        if rows:
+            yield pack(rows)
+
+    files = _files(spark, path, "*.{npz,zip}").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     return files.mapInArrow(run, "file string, name string, shape array<long>, values array<double>, problem string")
 
 
